@@ -67,14 +67,14 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[ends] - sums[starts]) * down[starts]), starts
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, start of each text in the bytes and their end) of runs of texts; each text ends with a line feed."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     lengths = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(texts):
         room = np.cumsum(lengths[at:] + 1)
-        to = at + max(1, int(np.searchsorted(room, SLICE_BYTES, side="right")))
+        to = at + max(1, int(np.searchsorted(room, size, side="right")))
         part = "\n".join([*texts.slice(at, to - at).fill_null("").to_pylist(), ""])
         data = np.frombuffer(part.encode(), np.uint8)
         yield at, to, data, np.concatenate([[0], np.cumsum(lengths[at:to] + 1)])
