@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import edited_fingerprints, edited_fingerprints_sql
+from .mixing import Mix, domain_of, mix_documents, mix_sql
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
+from .sharding import kd_shards
 from .token_counts import context_totals, length_histogram
 
 
@@ -24,6 +27,16 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+#: Domains, and target weights at each level, of the mixing query.
+DOMAINS = {"web": [f"src{i}" for i in range(7)], "reference": [f"src{i}" for i in range(7, 14)], "books": [f"src{i}" for i in range(14, 20)]}
+MIX = Mix(weights={"domain": {"web": 50, "reference": 30, "books": 20}, "lang": {"en": 40, "de": 20, "es": 20, "fr": 20}})
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain_of("source", DOMAINS))
+    return mix_documents(docs, MIX).select("doc_id", "domain", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -33,13 +46,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join,
+        op2_mixing,
         op3_packing,
         op6_token_counts,
+        op7_sharding,
+        op9_fingerprints,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mix_sql("documents", MIX, DOMAINS),
+    "op9_fingerprints": edited_fingerprints_sql("documents"),
+}
