@@ -109,6 +109,48 @@ def _beside(rows: DataFrame, small: DataFrame, levels: Sequence[str], bounded: b
     return rows.join(F.broadcast(other) if bounded else other, on).drop(*[f"_leaf_{c}" for c in levels])
 
 
+def plan_mix(rows: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame, bool]:
+    """Decisions for the leaves of rows (doc_id, levels..., _tokens), and whether they are few enough to be broadcast:
+
+    (levels..., _full, _rest): whole epochs and the words of the next one; (levels..., _edge, _room): the bucket of the
+    seeded order in which that epoch's budget ends, and the words that it has left there.
+    """
+    levels = list(mix.levels)
+    leaves = rows.where("_tokens > 0").groupBy(*levels).agg(F.sum("_tokens").alias("tokens"))
+    plan = cut(leaf_quotas(leaves, mix).where("quota > 0").select(*levels, F.expr("quota div tokens").alias("_full"), F.expr("quota % tokens").alias("_rest")))
+    bounded = plan.count() <= BROADCAST_LEAVES
+    sums = _ordered(rows, plan, mix, bounded).where("_rest > 0").groupBy(*levels, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
+    over = Window.partitionBy(*levels).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0).cast("long"))).where("_before < _rest and _rest <= _before + _sum")
+    return plan, cut(edge.select(*levels, F.col("_bucket").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))), bounded
+
+
+def _ordered(rows: DataFrame, plan: DataFrame, mix: Mix, bounded: bool) -> DataFrame:
+    """Rows of the leaves that are taken, with their place in the seeded order of the last epoch."""
+    mine = _beside(rows.where("_tokens > 0"), plan, mix.levels, bounded)
+    key = F.concat_ws(":", F.lit(str(mix.seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return mine.withColumn("_key", F.md5(key.cast("binary"))).withColumn("_bucket", F.substring("_key", 1, mix.buckets_hex))
+
+
+def take_mix(rows: DataFrame, plan: DataFrame, edge: DataFrame, bounded: bool, mix: Mix) -> DataFrame:
+    """The rows that the decisions take, with _epoch and _take."""
+    levels = list(mix.levels)
+    mine = _ordered(rows, plan, mix, bounded)
+    ends = edge.select(*levels, "_edge", "_room")
+    other = ends.select(*[F.col(c).alias(f"_leaf_{c}") for c in levels], "_edge", "_room")
+    on = F.lit(True)
+    for c in levels:
+        on = on & mine[c].eqNullSafe(other[f"_leaf_{c}"])
+    mine = mine.join(F.broadcast(other) if bounded else other, on, "left")
+    columns = [*rows.columns, "_epoch", "_take"]
+    epochs = F.sequence(F.lit(0).cast("long"), F.col("_full") - F.when(F.col("_bucket") < F.col("_edge"), 0).otherwise(1))
+    whole = mine.where("_full > 0 or _bucket < _edge").withColumn("_epoch", F.explode(epochs)).withColumn("_take", F.col("_tokens"))
+    within = Window.partitionBy(*levels).orderBy("_key", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("_room") - F.coalesce(F.sum("_tokens").over(within), F.lit(0).cast("long"))
+    last = mine.where("_bucket = _edge").withColumn("_epoch", F.col("_full")).withColumn("_take", F.least(F.col("_tokens"), room)).where("_take > 0")
+    return whole.select(columns).unionByName(last.select(columns))
+
+
 def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """Rows of docs taken into the mix, with their columns and _tokens (words of the text), _epoch and _take.
 
@@ -117,27 +159,16 @@ def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     without words (null, empty, blank) are never taken. A null level value is a child like any other. Rows that repeat
     are documents of their own; their order among each other is not defined. An empty table gives an empty mix.
     """
-    levels = list(mix.levels)
-    rows = docs.withColumn("_tokens", word_count(F.col("text"))).where("_tokens > 0")
-    leaves = rows.groupBy(*levels).agg(F.sum("_tokens").alias("tokens"))
-    plan = leaf_quotas(leaves, mix).where("quota > 0").select(*levels, F.expr("quota div tokens").alias("_full"), F.expr("quota % tokens").alias("_rest"))
-    plan = cut(plan)
-    bounded = plan.count() <= BROADCAST_LEAVES
-    mine = _beside(rows, plan, levels, bounded)
-    mine = mine.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    mine = mine.withColumn("_bucket", F.substring("_key", 1, mix.buckets_hex))
-    whole = mine.where("_full > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1))).withColumn("_take", F.col("_tokens"))
-    part = mine.where("_rest > 0")
-    sums = part.groupBy(*levels, "_bucket", "_rest").agg(F.sum("_tokens").alias("_sum"))
-    over = Window.partitionBy(*levels).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over), F.lit(0).cast("long"))).where("_before < _rest and _rest <= _before + _sum")
-    edge = edge.select(*levels, F.col("_bucket").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))
-    part = _beside(part, edge, levels, bounded).withColumn("_epoch", F.col("_full"))
-    under = part.where("_bucket < _edge").withColumn("_take", F.col("_tokens"))
-    within = Window.partitionBy(*levels).orderBy("_key", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = part.where("_bucket = _edge").withColumn("_take", F.least(F.col("_tokens"), F.col("_room") - F.coalesce(F.sum("_tokens").over(within), F.lit(0).cast("long")))).where("_take > 0")
-    columns = [*docs.columns, "_tokens", "_epoch", "_take"]
-    return whole.select(columns).unionByName(under.select(columns)).unionByName(last.select(columns))
+    rows = docs.withColumn("_tokens", word_count(F.col("text")))
+    plan, edge, bounded = plan_mix(cut(rows.select("doc_id", *mix.levels, "_tokens")), mix)
+    return take_mix(rows, plan, edge, bounded, mix)
+
+
+def mix_table(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The same rows as (doc_id, levels..., _tokens, _epoch, _take), from one scan of the texts."""
+    rows = cut(docs.select("doc_id", *mix.levels, word_count(F.col("text")).alias("_tokens")))
+    plan, edge, bounded = plan_mix(rows, mix)
+    return take_mix(rows, plan, edge, bounded, mix)
 
 
 def cut_to_words(text: Column, words: Column) -> Column:

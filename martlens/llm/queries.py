@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import edited_fingerprints, edited_fingerprints_sql
-from .mixing import Mix, domain_of, mix_documents, mix_sql
+from .mixing import Mix, domain_of, mix_sql, mix_table
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
 from .sharding import kd_shards
@@ -34,7 +34,7 @@ MIX = Mix(weights={"domain": {"web": 50, "reference": 30, "books": 20}, "lang":
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain_of("source", DOMAINS))
-    return mix_documents(docs, MIX).select("doc_id", "domain", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
+    return mix_table(docs, MIX).select("doc_id", "domain", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
