@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .chat import conversation_digests
+from .embedding_join import embedding_components
 from .fingerprints import edited_fingerprints, edited_fingerprints_sql
 from .mixing import Mix, domain_of, mix_sql, mix_table
 from .ngram_join import ngram_jaccard_components
@@ -42,6 +44,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: A conversation whose texts hold the control strings of the template.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -51,6 +62,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -61,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_join,
         op2_mixing,
         op3_packing,
+        op4_chat_format,
         op6_token_counts,
         op7_sharding,
+        op8_embedding_join,
         op9_fingerprints,
     )
 }
