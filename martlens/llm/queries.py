@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .chat import conversation_digests
 from .embedding_join import embedding_components
 from .fingerprints import edited_fingerprints, edited_fingerprints_sql
+from .language import identify_languages
 from .mixing import Mix, domain_of, mix_sql, mix_table
 from .ngram_join import ngram_jaccard_components
 from .packing import pack_documents
+from .quality import score_quality
 from .sharding import kd_shards
 from .token_counts import context_totals, length_histogram
 
@@ -53,6 +55,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_languages(docs, docs.where(~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -70,6 +77,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
+    scores = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, least=0.3)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mixing,
         op3_packing,
         op4_chat_format,
+        op5_language_id,
         op6_token_counts,
         op7_sharding,
         op8_embedding_join,
         op9_fingerprints,
+        op10_quality,
     )
 }
 
