@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCEPT, HIGH, SPECS_ABOVE = 70, 85, 70
 
@@ -26,7 +27,7 @@ def _ratio(a: str, b: str) -> int:
     return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_sort_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Similarity 0 to 100 of two strings whose words are already sorted."""
     for a, b in pairs:
