@@ -1,0 +1,67 @@
+"""Small cases of functions and operators, ties and missing values included."""
+
+from __future__ import annotations
+
+import itertools
+
+from pyspark.sql import functions as F
+
+from martlens.functions import prices, text
+from martlens.operators import catalog, matching
+from martlens.streaming.events import run_available, tumbling
+
+
+def column(spark, values, f, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[1] for r in rows.select("i", f(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_clean_price(spark):
+    got = column(spark, ["1.234,50 EUR", "1,234.50", "12,5", "99", "abc", "", None, "2000000", "-5"], prices.clean_price)
+    assert got == [1234.5, 1234.5, 12.5, 99.0, None, None, None, None, None]
+
+
+def test_names(spark):
+    assert column(spark, ["  Écran  HP (24\") ", None, ""], text.normalize_name) == ["ecran hp 24", "", ""]
+    assert column(spark, ["Laptop Western Digital HP", "zzz 12", "12 ab", None], text.extract_brand) == ["WESTERN DIGITAL", "ZZZ", "Unknown", "Unknown"]
+
+
+def test_latest_by_url(spark):
+    rows = spark.createDataFrame([("u", "2024-01-01", 1), ("u", "2024-01-02", 2), ("u", "2024-01-02", 3), ("v", None, 4)], "product_url string, scraped_at string, x int")
+    got = {r["product_url"]: r["x"] for r in catalog.latest_by_url(rows, ["x"]).collect()}
+    assert got == {"u": 2, "v": 4}
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    names = ["hp laptop 15 silver", "hp laptop 15", "dell screen 24", "dell 24 screen", "asus rog mouse", "asus mouse", "acer nitro five", ""]
+    left = [(i, n, (n.split() or ["none"])[0], n) for i, n in enumerate(names[::2])]
+    right = [(i, n, (n.split() or ["none"])[0], n) for i, n in enumerate(names[1::2])]
+    found = matching.fuzzy_matches(
+        spark.createDataFrame(left, "left_id int, name string, brand string, signature string"), spark.createDataFrame(right, "right_id int, name string, brand string, signature string")
+    )
+    got = {r["left_id"]: (r["right_id"], r["score"]) for r in found.collect()}
+    want = {}
+    for (i, a, brand_a, _), (j, b, brand_b, _) in itertools.product(left, right):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        if brand_a == brand_b and a and b:
+            score = round(200 * _lcs(a, b) / (len(a) + len(b)))
+            if score >= matching.ACCEPT and score > want.get(i, (0, 0))[1]:
+                want[i] = (j, score)
+    assert got == want
+
+
+def test_stream_equals_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    got = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tumbling(events).collect()))
