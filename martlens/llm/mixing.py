@@ -196,11 +196,11 @@ q{depth} AS (SELECT {', '.join(path)}, CASE WHEN is_full THEN cap ELSE rest * cu
         parent = f"q{depth}"
     levels = ", ".join(mix.levels)
     same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in mix.levels)
-    budget = f"CAST(sum(tokens) AS BIGINT) * {mix.budget_share[0]} // {mix.budget_share[1]}" if mix.budget_tokens is None else str(mix.budget_tokens)
+    budget = f"CAST(sum(tokens) AS BIGINT) * {mix.budget_share[0]} // {mix.budget_share[1]} AS b FROM leaves" if mix.budget_tokens is None else f"{mix.budget_tokens} AS b"
     return f"""
 WITH docs AS (SELECT doc_id, lang, source, CASE {listed} ELSE 'other' END AS domain, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+')) AS BIGINT) AS n FROM {documents}),
 leaves AS (SELECT {levels}, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) * {mix.epochs} AS cap FROM docs WHERE n > 0 GROUP BY {levels}),
-root AS (SELECT {budget} AS b FROM leaves),{','.join(ctes)},
+root AS (SELECT {budget}),{','.join(ctes)},
 plan AS (SELECT l.*, q.b // l.tokens AS whole, q.b % l.tokens AS rest FROM leaves l JOIN {parent} q ON {same('l', 'q')} WHERE q.b > 0),
 mine AS (SELECT d.*, p.whole, p.rest, md5('{mix.seed}:' || p.whole || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS k FROM docs d JOIN plan p ON {same('d', 'p')} WHERE d.n > 0),
 cum AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY {levels} ORDER BY k, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM mine),

@@ -126,6 +126,8 @@ def parse(source: str) -> list[tuple]:
     at = 0
     for m in [*_TAG.finditer(source), None]:
         if text := source[at : m.start() if m else None]:
+            if "{{" in text or "{%" in text:
+                raise TemplateError(f"a tag is not closed: {text!r}")
             stack[-1][1].append(("text", text))
         if m is None:
             break
