@@ -320,7 +320,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     named = docs.where("doc_id is not null and text is not null")
     sets = cut(set_digests(docs, k))
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(named, k, sketch_bits))
-    classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls"))
+    # written out: a join with rows of one digest can then be split where a class has very many copies
+    classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls")))
     reps = classes.select("cls", F.col("rep").alias("doc_id"))
     prefixes = named.mapInArrow(_prefix_rows(k, sketch, num, den), "token long, cls long, n int, least byte")
     lists = prefixes.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_list_rows(num, den, hot), _PAIR)
