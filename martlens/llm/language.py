@@ -157,8 +157,11 @@ def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, languages: int
     from pyspark.sql import Window
 
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= texts).select("doc_id", "lang")
+    # first within salted parts of a language, so that no task gets what all tasks have kept of one
+    for part in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):
+        order = Window.partitionBy(*part).orderBy("h", "doc_id")
+        rows = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= texts).drop("i")
+    chosen = rows.select("doc_id", "lang")
     n = F.octet_length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.lit(0), n - WINDOW) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
     # at most texts * languages rows of bounded size
