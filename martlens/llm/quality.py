@@ -171,7 +171,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
     smallest hashes. labels has doc_id and quality; None if no text has a label."""
     vectors = word_vectors(docs)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # at most rows labels, and so of features
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary").limit(2 * rows).collect()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary").limit(2 * rows).collect()
     sample.sort(key=lambda r: (r[0], bytes(r[2])))
     if not sample:
         return None
