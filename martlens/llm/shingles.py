@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in slices of about this many bytes, so that scratch arrays stay small however long the batch is.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

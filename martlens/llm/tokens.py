@@ -19,7 +19,7 @@ import pyarrow as pa
 from .shingles import _BYTE, _STEP, _power_tables, mix64, slices, word_spans
 
 #: Texts are encoded in slices of about this many bytes.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 3 << 19
 #: White space beyond ASCII; a text that holds any is encoded in one go.
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: The pattern by which this family of tokenizers cuts a text before merging bytes.
@@ -67,7 +67,7 @@ def _segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 class SegmentIds:
     """The ids of segments seen so far, by their two 64-bit names; forgotten when there are more than ``most``."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.enc, self.most = encoder(path), most
         ranks = self.enc._mergeable_ranks
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
