@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prices, text
-from ..operators import catalog, export, lifecycle, matching, monitoring, reviews, stats
+from ..operators import catalog, export, lifecycle, matching, monitoring, reviews, stats, training
 from ..sources import pages
 from ..sources.tables import OFFERS_SQL, REVIEWS_SQL, RUNS_SQL, SCORES_SQL, TITLES_SQL, VERSIONS_SQL, offers, scores, table, titles, versions
 from ..sources.tables import reviews as review_rows
@@ -454,6 +454,39 @@ def model_metrics(spark, sf):
     return reviews.metrics(_scored(spark, sf), "is_fake", "is_fake_predicted", "ensemble_score")
 
 
+# Models fitted by MLlib: no SQL; tests hold them against planted labels
+
+
+def _trained(spark, sf, kind: str):
+    rows = training.with_features(reviews.stratified_split(review_rows(spark, sf), "doc_id", "is_fake"))
+    return training.fit(rows.where("part = 'train'"), kind, "is_fake"), rows
+
+
+def _held_out_metrics(spark, sf, kind: str) -> DataFrame:
+    model, rows = _trained(spark, sf, kind)
+    return reviews.metrics(training.predict(model, rows.where("part = 'test'")), "is_fake", "predicted", "score")
+
+
+@query()
+def logreg_train(spark, sf):
+    return _held_out_metrics(spark, sf, "logreg")
+
+
+@query()
+def gbt_train(spark, sf):
+    return _held_out_metrics(spark, sf, "boosted")
+
+
+@query()
+def rf_train(spark, sf):
+    return _held_out_metrics(spark, sf, "forest")
+
+
+@query()
+def rf_importance(spark, sf):
+    return training.importances(_trained(spark, sf, "forest")[0], spark)
+
+
 # Exports, registry, monitoring
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from martlens.functions import prices, text
-from martlens.operators import catalog, matching
+from martlens.operators import catalog, matching, reviews, training
 from martlens.streaming.events import run_available, tumbling
 
 
@@ -65,3 +67,19 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     got = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tumbling(events).collect()))
+
+
+@pytest.mark.parametrize("kind", ["logreg", "forest", "boosted"])
+def test_models_learn_a_planted_rule(spark, kind, monkeypatch):
+    monkeypatch.setitem(training.ESTIMATORS, "boosted", lambda n: GBTClassifier(maxIter=5, maxDepth=3, seed=42, featuresCol="_features", labelCol="_label"))
+    texts = [("buy now!!! " * (1 + i % 4), 5, 1) if i % 2 else (" ".join(f"word{j}" for j in range(3 + i % 30)) + ".", i % 5, 0) for i in range(120)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)] + [(200, None, None, 1), (201, "no label", 3, None)], "doc_id long, text string, rating int, is_fake int")
+    rows = training.with_features(rows)
+    model = training.fit(rows.where("doc_id % 3 <> 0"), kind, "is_fake")
+    scored = training.predict(model, rows)
+    assert scored.count() == 122 and scored.where("score is null or score < 0 or score > 1").count() == 0
+    got = reviews.metrics(scored.where("doc_id % 3 = 0 and doc_id < 200"), "is_fake", "predicted", "score").first()
+    assert got["accuracy"] > 0.95 and got["auc"] > 0.95
+    if kind != "logreg":
+        found = training.importances(model, spark).collect()
+        assert [r["feature"] for r in found] == training.FEATURES and abs(sum(r["importance"] for r in found) - 1) < 1e-6
