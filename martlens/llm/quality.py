@@ -23,6 +23,8 @@ from .shingles import _BYTE, _power_tables, mix64, slices
 #: Buckets of words (as bits), dimensions, non-zero components of an index vector, and reach of a context.
 WORD_BITS, DIMS, NONZERO, REACH = 14, 32, 4, 2
 _SEGMENT = 1 << 10
+#: Splits of the input that one task turns into one table, and tables (256 KB a segment) that one group adds up.
+SPLITS_A_TASK, TABLES_A_GROUP = 4, 64
 #: Bound of the training sample.
 SAMPLE_ROWS = 12_000
 _KIND = np.full(256, 2, np.int8)
@@ -65,21 +67,26 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     for j in range(NONZERO):
                         total += np.bincount(x * DIMS + places[y, j], signs[y, j], len(total))
     total = total.reshape(-1, _SEGMENT * DIMS)
-    rows = [(i, zlib.crc32(t.tobytes()) % 64, t.tobytes()) for i, t in enumerate(total) if t.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "salt", "data"])
+    rows = [(i, zlib.crc32(t.tobytes()), t.tobytes()) for i, t in enumerate(total) if t.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "salt", "data"])
 
 
 def _sum_rows(key: tuple, table: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x) for x in table.column("data").to_pylist()], axis=0)
-    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The vectors of all buckets, of unit length about their mean: a table of fixed size, from all texts of docs."""
-    schema = "segment int, salt int, data binary"
-    few = 4 * docs.sparkSession.sparkContext.defaultParallelism  # each task returns one table
-    parts = docs.select("text").coalesce(few).mapInArrow(_context_rows, schema)
-    parts = parts.groupBy("segment", "salt").applyInArrow(_sum_rows, schema).groupBy("segment").applyInArrow(_sum_rows, schema)
+    schema = "segment int, salt long, data binary"
+    texts = docs.select("text")
+    # each task returns one table; tasks grow with the input, so that each reads a bounded part of it
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-texts.rdd.getNumPartitions() // SPLITS_A_TASK))
+    parts = texts.coalesce(tasks).mapInArrow(_context_rows, schema)
+    groups = tasks
+    while groups > 1:  # a tree of sums: at most about TABLES_A_GROUP tables in one group, however many tasks there are
+        groups = -(-groups // TABLES_A_GROUP)
+        parts = parts.withColumn("salt", F.col("salt") % groups).groupBy("segment", "salt").applyInArrow(_sum_rows, schema)
     vectors = np.zeros((1 << WORD_BITS, DIMS))
     for segment, _, data in parts.toLocalIterator():
         vectors[segment * _SEGMENT : (segment + 1) * _SEGMENT] = np.frombuffer(bytes(data)).reshape(-1, DIMS)
