@@ -373,3 +373,10 @@ def test_quality_of_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == sql_rows(connect(sf), queries.ORACLE_SQL[name])
+
+
+def test_word_vectors_do_not_depend_on_how_tables_are_summed(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = quality.word_vectors(docs.coalesce(1))
+    monkeypatch.setattr(quality, "TABLES_A_GROUP", 3)  # 32 tasks: sums in four levels
+    assert whole.any() and np.array_equal(quality.word_vectors(docs.repartition(12)), whole)
