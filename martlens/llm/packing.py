@@ -33,11 +33,11 @@ def binary_cuts(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return doc, before - (np.cumsum(lengths) - lengths)[doc], size
 
 
-def _pieces(path: str, window: int, end_id: int):
+def _pieces(path: str, window: int, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, texts = batch.column("doc_id"), batch.column("text")
-            for first, last, ids, edges in encode_slices(texts, path):
+            for first, last, ids, edges in encode_slices(texts, path, added):
                 ids = np.insert(ids, edges[1:], end_id).astype("<u4")
                 lengths = np.diff(edges) + 1
                 doc, start, size = binary_cuts(lengths, window)
@@ -53,18 +53,19 @@ def _pieces(path: str, window: int, end_id: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, added: bool = False) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, doc_tokens, ids, sequence_id, offset, bucket).
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers, ``start`` the number of the document's ids
     before it, ``doc_tokens`` the document's ids with the end id, ``bucket`` the sequence's length. Each piece is a
-    sequence of its own, so ``offset`` is 0. ``sequence_id`` is unique. A null or empty text has the end id alone. Every
+    sequence of its own, so ``offset`` is 0. ``sequence_id`` is unique. With ``added`` the tokenizer's added tokens get their
+    own ids wherever a text holds them, else they are ordinary text. A null or empty text has the end id alone. Every
     row is a document, also rows that repeat and rows without doc_id; other columns are ignored; an empty table gives an
     empty result. The window must be a power of two.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, window, end_id), _SCHEMA)
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, window, end_id, added), _SCHEMA)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.col("length"))
 
 

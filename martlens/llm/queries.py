@@ -42,7 +42,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -61,7 +61,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_totals(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return context_totals(length_histogram(table(spark, sf_dir, "documents"), tokenizer_path(), added=True))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from .tokens import encode_slices
 
 
-def _lengths(path: str):
+def _lengths(path: str, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
         for batch in batches:
-            for _, _, _, edges in encode_slices(batch.column("text"), path):
+            for _, _, _, edges in encode_slices(batch.column("text"), path, added):
                 for length, n in zip(*np.unique(np.diff(edges), return_counts=True), strict=True):
                     counts[int(length)] = counts.get(int(length), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["length", "docs"])
@@ -24,9 +24,12 @@ def _lengths(path: str):
     return run
 
 
-def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(length, docs): how many documents have that many tokens. A null or empty text has 0; every row counts."""
-    return docs.select("text").mapInArrow(_lengths(tokenizer), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+def length_histogram(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
+    """(length, docs): how many documents have that many tokens. A null or empty text has 0; every row counts.
+
+    With ``added`` the tokenizer's added tokens count as one token each, else they are ordinary text.
+    """
+    return docs.select("text").mapInArrow(_lengths(tokenizer, added), "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def context_totals(histogram: DataFrame, block: int = 1024) -> DataFrame:

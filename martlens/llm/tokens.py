@@ -53,6 +53,24 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=vocab, special_tokens={})
 
 
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers JSON file and their ids, longest first; they are found in a text before it is cut."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", ())
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that take in more than their own text")
+    return {t["content"]: t["id"] for t in sorted(tokens, key=lambda t: -len(t["content"]))}
+
+
+def _encode_around(enc, text: str, added: dict[str, int]) -> list[int]:
+    """Ids of a text whose added tokens stand for themselves; what lies between two of them is encoded on its own."""
+    if not added:
+        return enc.encode_ordinary(text)
+    parts = re.split("(" + "|".join(map(re.escape, added)) + ")", text)
+    return [i for n, part in enumerate(parts) for i in ([added[part]] if n % 2 else enc.encode_ordinary(part))]
+
+
 def _segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the segments and the first segment of each text; texts end with a line feed, which is left out."""
     _, ends = word_spans(data)
@@ -118,9 +136,14 @@ def _known(path: str) -> SegmentIds:
     return SegmentIds(path)
 
 
-def encode_slices(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, ids of these texts one after the other, where each text's ids start and the end); null counts as empty."""
+def encode_slices(texts: pa.Array, path: str, added: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, ids of these texts one after the other, where each text's ids start and the end); null counts as empty.
+
+    With ``added`` the file's added tokens get their own ids wherever a text holds them, else they are ordinary text.
+    """
     enc, known = encoder(path), _known(path)
+    special = added_tokens(path) if added else {}
+    held = re.compile("|".join(map(re.escape, special)).encode()) if special else None
     for first, last, data, bounds in slices(texts, ENCODE_BYTES):
         start, stop, at = _segments(data, bounds)
         up, down = _power_tables(len(data) + 1)
@@ -129,16 +152,19 @@ def encode_slices(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.nda
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(values[data] * up[:-1], out=sums[1:])
             names.append(mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * _STEP))
-        found = known.find(names[0], names[1], data.tobytes(), start, stop)
+        raw = data.tobytes()
+        found = known.find(names[0], names[1], raw, start, stop)
         many = known.size[found]
         to = np.concatenate([[0], np.cumsum(many)])
         ids = known.flat[np.repeat(known.begin[found] - to[:-1], many) + np.arange(to[-1])]
         edges = to[at]
         whole = set((np.searchsorted(at, np.flatnonzero(found < 0), side="right") - 1).tolist())
         whole |= {i for i in range(last - first) if (t := texts[first + i].as_py()) and not t.isascii() and _WIDE_SPACE.search(t)}
+        if held is not None:
+            whole |= set((np.searchsorted(bounds, [m.start() for m in held.finditer(raw)], side="right") - 1).tolist())
         if whole:
             parts = [ids[edges[i] : edges[i + 1]] for i in range(last - first)]
             for i in whole:
-                parts[i] = np.array(enc.encode_ordinary(texts[first + i].as_py()), np.uint32)
+                parts[i] = np.array(_encode_around(enc, texts[first + i].as_py() or "", special), np.uint32)
             ids, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         yield first, last, ids, edges
