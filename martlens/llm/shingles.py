@@ -92,7 +92,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         at = np.searchsorted(starts, bounds)
         full = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
         for j in range(k):
-            full += hashes[j : len(hashes) - k + 1 + j] * seeds[j]
+            full += hashes[j : len(full) + j] * seeds[j]
         full = mix64(full)
         for i in range(last - first):
             a, b = at[i], at[i + 1]
