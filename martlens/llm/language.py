@@ -21,6 +21,8 @@ from .shingles import slices
 HIDDEN, WINDOW, BATCH = 8, 96, 2048
 #: Bounds of the training sample: labelled texts for each language, languages, and windows of a text.
 SAMPLE_TEXTS, MOST_LANGUAGES, SAMPLE_WINDOWS = 400, 200, 6
+#: Share of a language's labelled texts that may fall under its least score.
+LOST_SHARE = 0.005
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -151,9 +153,8 @@ class ByteGru:
             yield first, last, total / n[:, None]
 
 
-def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, windows, index of each window's language) from docs (doc_id, text, lang): for each language the texts with
-    the smallest hashes of doc_id, up to ``texts``, and of each of them windows spread over the whole text."""
+def sample_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """(doc_id, lang) of the labelled texts with the smallest hashes of doc_id, up to ``texts`` for each language."""
     from pyspark.sql import Window
 
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
@@ -161,7 +162,13 @@ def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, languages: int
     for part in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):
         order = Window.partitionBy(*part).orderBy("h", "doc_id")
         rows = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= texts).drop("i")
-    chosen = rows.select("doc_id", "lang")
+    return rows.select("doc_id", "lang")
+
+
+def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, windows, index of each window's language) from docs (doc_id, text, lang): windows spread over each whole
+    text of the sample."""
+    chosen = sample_texts(docs, texts)
     n = F.octet_length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.lit(0), n - WINDOW) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
     # at most texts * languages rows of bounded size
@@ -200,6 +207,15 @@ def predict_language(docs: DataFrame, model: ByteGru | None, text: str = "text")
     return predict(docs[text])
 
 
+def least_scores(docs: DataFrame, model: ByteGru, share: float = LOST_SHARE, texts: int = SAMPLE_TEXTS) -> dict[str, float]:
+    """For each language the score that all but ``share`` of its rightly predicted texts in the sample of docs (doc_id, text,
+    lang) reach; a language without such texts is left out."""
+    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(sample_texts(docs, texts)), ["doc_id", "lang"])
+    scores = sample.select("lang", predict_language(sample, model).alias("p")).where("p.lang = lang")
+    # less a little, for scores of one value differ in their last digits
+    return {lang: least - 1e-6 for lang, least in scores.groupBy("lang").agg(F.percentile("p.score", F.lit(share))).collect()}
+
+
 def identify_languages(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs (doc_id, text), learning from the rows of learn (doc_id, text, lang).
 
