@@ -3,8 +3,9 @@
 The documents are points in a small space of metadata. A node with more than one shard's share of bytes is split at its
 weighted median along its widest dimension, again and again, so shards hold documents that are alike and are nearly
 equal in bytes. A median is found without sorting: rows carry a 63-bit key (coordinate, crc32 of the text, hash of the
-id) and each round sums the bytes of one 16-bit digit of the key, within the digits already settled. Equal texts have
-equal coordinates and lie next to each other; a cut passes beside such a group unless the group is too large for that.
+id) and each round sums the bytes of one 16-bit digit of the key, within the digits already settled. Coordinates belong
+to texts, not rows: all copies of a text have those of its least source and language, so they lie next to each other and
+a cut passes beside them. Only a group of copies that outweighs ``SNAP`` of a shard on both sides of the cut is parted.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from .common import cut
 
 #: Shifts and masks of the digits of a key; the first three settle coordinate and text.
 _DIGITS = ((47, 0xFFFF), (31, 0xFFFF), (15, 0xFFFF), (0, 0x7FFF))
-#: A cut avoids splitting a group of equal texts if that moves it by at most this share of a shard.
-SNAP = 0.005
+#: A cut goes beside a group of equal texts if that moves it by at most this share of a shard. Cuts of three levels add up
+#: to 1.75 times that, and a group of up to twice that share is never parted.
+SNAP = 0.015
 #: Buckets for numbering the rows of a shard.
 SLOT_BUCKETS = 256
 
@@ -28,6 +30,20 @@ def _category(name: str) -> Column:
     return (F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 65536).cast("int")
 
 
+def by_text(rows: DataFrame) -> DataFrame:
+    """Rows (text_key, lang, source, ...) with lang and source of their text: the least of all its copies, null before others.
+
+    Texts with one row keep their own. The table of the others has one row for each text that repeats; the join with it is
+    on a written table, so that copies of a very frequent text can be dealt to several tasks.
+    """
+    rows = cut(rows)
+    least = F.min(F.struct(F.col("source").isNotNull().alias("a"), "source", F.col("lang").isNotNull().alias("b"), "lang"))
+    texts = rows.groupBy("text_key").agg(F.count("*").alias("copies"), least.alias("m")).where("copies > 1")
+    texts = cut(texts.select("text_key", F.lit(True).alias("again"), F.col("m.source").alias("text_source"), F.col("m.lang").alias("text_lang")))
+    own = lambda c: F.when(F.col("again"), F.col(f"text_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.join(texts, "text_key", "left").select(*[own(c) if c in ("lang", "source") else F.col(c) for c in rows.columns])
+
+
 def metadata_dimensions() -> Mapping[str, Column]:
     """Coordinates from 0 to 65535: the logarithm of the size, source and language."""
     return {"by_size": (F.log2(F.col("size").cast("double")) * 2048).cast("int"), "by_source": _category("source"), "by_lang": _category("lang")}
@@ -37,9 +53,10 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     """(doc_id, size, text_crc32, shard, slot) of every row of docs (doc_id, text, lang, source).
 
     There are ``shards`` leaves, or as many as bring leaves to ``target_bytes``. size is the text's UTF-8 bytes plus 1,
-    a null text having none. Shards are numbered from 0; slot numbers a shard's rows without gaps from 0. Null language
-    or source is a category of its own; repeated rows and null ids are rows like others; other columns are ignored; an
-    empty table gives an empty result.
+    a null text having none and counting as the same text as an empty one. Shards are numbered from 0; slot numbers a
+    shard's rows without gaps from 0. Rows of equal text are in one shard unless they weigh more than twice SNAP of it.
+    Null language or source is a category of its own; repeated rows and null ids are rows like others; other columns are
+    ignored; an empty table gives an empty result.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -47,7 +64,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
     )
+    rows = by_text(rows)
     dims = metadata_dimensions()
     rows = cut(rows.select("doc_id", "size", "text_crc32", *[c.alias(n) for n, c in dims.items()], F.lit(0).alias("node")))
     spark = docs.sparkSession

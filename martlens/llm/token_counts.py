@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import encode_slices
 
 
@@ -39,8 +40,10 @@ def context_totals(histogram: DataFrame, block: int = 1024) -> DataFrame:
     tokens_kept: tokens if each document is cut to L; tokens_cut: those lost; rank_from, rank_to: the 1-based ranks of
     these documents by length, from which every quantile follows.
 
-    Suffix sums run within blocks of lengths and over block totals, so no task gets all lengths.
+    Suffix sums run within blocks of lengths and over block totals, so no task gets all lengths. The histogram, one row for
+    each length, is written out first: three aggregates read it, and its texts are encoded once. An empty one gives no rows.
     """
+    histogram = cut(histogram)
     rows = histogram.withColumn("block", F.floor(F.col("length") / block)).withColumn("tokens", F.col("length") * F.col("docs"))
     over = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
