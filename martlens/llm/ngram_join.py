@@ -7,14 +7,17 @@ candidates costs least, and a pair must share as many prefix shingles as the sma
 
 Steps, none of which meets a group in one place:
 
-1. One scan gives each text's set size and 128-bit set digest, another a frequency sketch of fixed size. Any order of
-   the shingles gives exact results; the sketch only keeps very frequent ones out of the prefixes.
-2. Texts with the same set are one class; all later steps work on one representative of each.
+1. One scan gives each text's set size and 128-bit set digest, another a frequency sketch, sized by the number of
+   shingles. Any order of the shingles gives exact results; the sketch keeps frequent ones out of the prefixes.
+2. Texts with the same set are one class; all later steps work on one representative of each. A set so small that one
+   more shingle takes it below the threshold is only ever like itself and has no prefix.
 3. Prefix shingles are dealt by shingle. A list of up to ``hot`` classes gives its pairs of compatible size; those that
    share enough prefix shingles are verified on whole texts. Their number is at most ``hot / 2`` for each prefix entry.
-4. Longer lists give no pairs. The classes they join are put in bands of set size, each band in chunks of bounded bytes,
-   and the chunks of neighbouring bands are compared in blocks by exact overlap counts. A block returns a spanning
-   forest of its links, so its output is as long as its input, however many links there are.
+4. Longer lists give no pairs. Their classes are compared in blocks by exact overlap counts: bands of set size, each in
+   chunks of bounded bytes, and the chunks of neighbouring bands with each other. The lists of a group of near copies
+   overlap, so what is compared is the union of lists that are connected, unless that has more pairs than its lists have
+   together; then each list is compared by itself. So no more pairs are compared than the lists hold. A block returns a
+   spanning forest of its links, so its output is as long as its input, however many links there are.
 5. Components over representatives, carried back to all documents.
 """
 
@@ -33,9 +36,10 @@ from .common import cut
 from .components import connected_components
 from .shingles import shingle_sets
 
-#: Buckets of the frequency sketch; its size does not grow with the corpus.
-SKETCH_BITS = 20
-_SEGMENT = 1 << 14
+#: Buckets of the frequency sketch, as bits: one for every sixteen shingles of the corpus between these bounds, so that the
+#: sketch that is broadcast has 1 to 16 MB and that of a task 4 to 64 MB.
+SKETCH_BITS, MOST_SKETCH_BITS = 20, 24
+_SEGMENT = 1 << 16
 #: Lists of more classes than this are compared in blocks.
 HOT = 32
 #: Bounds of a block side: classes, and shingles over all of them.
@@ -75,49 +79,51 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_set_rows(k), "doc_id long, n_shingles long, digest binary, cls long")
 
 
+def sketch_bits(shingles: int) -> int:
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (shingles // 16).bit_length()))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a segment for the shuffle: most are 0 or 1, so they shrink well."""
+    return zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _sketch_rows(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
+
+        one = np.uint32(1)
         for batch in batches:
-            held: list[np.ndarray] = []
             for s in shingle_sets(batch.column("text"), k):
-                held.append(s)
-                if len(held) == 2000:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
-                    held = []
-            if held:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
-        segment, data = [], []
-        for i in range(0, len(counts), _SEGMENT):
-            part = counts[i : i + _SEGMENT]
-            if at := np.flatnonzero(part).astype(np.uint16).tobytes():
-                segment.append(i // _SEGMENT)
-                data.append(at + part[part > 0].tobytes())
+                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), one)
+        segment = [i for i in range(0, len(counts), _SEGMENT) if counts[i : i + _SEGMENT].any()]
+        data = [_packed(counts[i : i + _SEGMENT]) for i in segment]
         salt = [zlib.crc32(data[0]) % 256 if data else 0] * len(segment)
-        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(salt, pa.int32()), pa.array(data, pa.binary())], ["segment", "salt", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([i // _SEGMENT for i in segment], pa.int32()), pa.array(salt, pa.int32()), pa.array(data, pa.binary())], ["segment", "salt", "data"])
 
     return run
 
 
 def _sum_segments(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.zeros(_SEGMENT, np.int64)
-    for data in table.column("data").to_pylist():
-        n = len(data) // 10
-        total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data[2 * n :], np.int64, n)
-    at = np.flatnonzero(total)
-    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([at.astype(np.uint16).tobytes() + total[at].tobytes()], pa.binary())})
+    total = np.zeros(_SEGMENT, np.uint64)
+    for data in table.column("data"):
+        total += _unpacked(data.as_py())
+    return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([_packed(total)], pa.binary())})
 
 
 def shingle_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many sets hold a shingle, by the shingle's leading bits, as eighths of an octave: 2 ** bits bytes, whatever the corpus."""
+    """How many sets hold a shingle, by the shingle's leading bits, as eighths of an octave: 2 ** bits bytes."""
     schema = "segment int, salt int, data binary"
     parts = docs.select("text").mapInArrow(_sketch_rows(k, bits), schema)
     parts = parts.groupBy("segment", "salt").applyInArrow(_sum_segments, schema).groupBy("segment").applyInArrow(_sum_segments, schema)
-    counts = np.zeros(1 << bits, np.float64)
+    counts = np.zeros(1 << bits, np.float32)
     for segment, _, data in parts.toLocalIterator():
-        n = len(data) // 10
-        counts[segment * _SEGMENT + np.frombuffer(data, np.uint16, n).astype(np.int64)] = np.frombuffer(bytes(data[2 * n :]), np.int64, n)
-    over = np.maximum(counts - counts.mean(), 0.0)
+        counts[segment * _SEGMENT : (segment + 1) * _SEGMENT] = _unpacked(bytes(data))
+    over = np.maximum(counts - counts.mean(dtype=np.float64), 0.0)
     return np.minimum(np.round(8 * np.log2(1 + over)), 255).astype(np.uint8)
 
 
@@ -141,7 +147,7 @@ def _prefix_rows(k: int, sketch, num: int, den: int):
             held: list[tuple[np.ndarray, int, int, int]] = []
             rows = 0
             for s in shingle_sets(batch.column("text"), k):
-                if not len(s):
+                if den * len(s) < num * (len(s) + 1):  # no other set is like it
                     continue
                 cls = _class(_digest(s))
                 if cls in seen:
@@ -284,19 +290,29 @@ def _block_rows(k: int, num: int, den: int):
     return run
 
 
+def _hot_groups(hot: DataFrame) -> DataFrame:
+    """(by_list, key, cls, n): the groups of classes to compare; hot has (cls, n, token), the members of hot lists.
+
+    Lists connected by their members are one group, or each is its own where the union has more pairs than they have.
+    """
+    lists = cut(hot.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").cast("double").alias("size")))
+    unions = cut(connected_components(hot.join(lists, "token").select("cls", "hub"), "cls", "hub").withColumnRenamed("id", "cls"))
+    pairs = lists.join(unions, lists["hub"] == unions["cls"]).groupBy("component_id").agg(F.sum(F.pow("size", F.lit(2))).alias("listed"))
+    wide = unions.groupBy("component_id").agg(F.count("*").cast("double").alias("all")).join(pairs, "component_id").where(F.col("all") * F.col("all") > F.col("listed")).select("component_id")
+    wide = cut(unions.join(wide, "component_id").select("cls"))
+    own = hot.join(wide, "cls").select(F.lit(True).alias("by_list"), F.col("token").alias("key"), "cls", "n")
+    joint = unions.join(hot.select("cls", "n").distinct(), "cls").join(wide, "cls", "left_anti")
+    return own.unionByName(joint.select(F.lit(False).alias("by_list"), F.col("component_id").alias("key"), "cls", "n"))
+
+
 def _hot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between the classes of hot lists; hot has (cls, n, token)."""
-    hub = hot.groupBy("token").agg(F.min("cls").alias("hub"))
-    clusters = connected_components(hot.join(hub, "token").select("cls", "hub"), "cls", "hub").withColumnRenamed("id", "cls")
     width = float(np.log(den / num))
-    members = cut(
-        clusters.join(hot.select("cls", "n").distinct(), "cls")
-        .join(reps, "cls")
-        .select("component_id", "doc_id", "n", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int").alias("band"))
-    )
-    bands = members.groupBy("component_id", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    near = bands.select("component_id", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above")), bands.select("component_id", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
-    placed = members.join(bands, ["component_id", "band"]).join(near[0], ["component_id", "band"], "left").join(near[1], ["component_id", "band"], "left")
+    group = ["by_list", "key"]
+    members = cut(_hot_groups(hot).join(reps, "cls").select(*group, "doc_id", "n", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int").alias("band")))
+    bands = members.groupBy(*group, "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    near = bands.select(*group, (F.col("band") - 1).alias("band"), F.col("chunks").alias("above")), bands.select(*group, (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
+    placed = members.join(bands, [*group, "band"]).join(near[0], [*group, "band"], "left").join(near[1], [*group, "band"], "left")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     block = lambda band, i, j, side: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), side.alias("side"))
     count = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
@@ -304,11 +320,11 @@ def _hot_links(hot: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
     within = F.transform(count(F.col("chunks")), lambda j: block(F.col("band") * 2, F.least("own", j), F.greatest("own", j), F.when(F.col("own") == j, zero).when(F.col("own") < j, one).otherwise(two)))
     up = F.transform(count(F.col("above")), lambda j: block(F.col("band") * 2 + 1, F.col("own"), j, one))
     down = F.transform(count(F.col("below")), lambda j: block(F.col("band") * 2 - 1, j, F.col("own"), two))
-    dealt = placed.select("component_id", "doc_id", F.explode(F.concat(within, up, down)).alias("at")).select("component_id", "doc_id", "at.*")
-    return dealt.join(docs, "doc_id").groupBy("component_id", "band", "i", "j").applyInArrow(_block_rows(k, num, den), "a long, b long")
+    dealt = placed.select(*group, "doc_id", F.explode(F.concat(within, up, down)).alias("at")).select(*group, "doc_id", "at.*")
+    return dealt.join(docs, "doc_id").groupBy(*group, "band", "i", "j").applyInArrow(_block_rows(k, num, den), "a long, b long")
 
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = HOT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); other columns are ignored.
 
     Texts link when ``den * |intersection| >= num * |union|`` over their sets of k-word shingles. Null, empty and blank
@@ -319,7 +335,8 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null and text is not null")
     sets = cut(set_digests(docs, k))
-    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(named, k, sketch_bits))
+    bits = sketch_bits(sets.agg(F.sum("n_shingles")).first()[0] or 0)
+    sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(named, k, bits))
     # written out: a join with rows of one digest can then be split where a class has very many copies
     classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls")))
     reps = classes.select("cls", F.col("rep").alias("doc_id"))
