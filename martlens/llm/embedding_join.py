@@ -4,9 +4,10 @@ Vectors of one label link when their cosine reaches a threshold, that is when th
 ``eps = sqrt(2 - 2 t)`` apart. Unit vectors are sorted by the cells of a grid of width eps over leading principal
 dimensions, and the sorted sequence is cut into blocks. Pairs of sequence intervals are then split again and again,
 from the whole sequence down to blocks, and a pair whose bounding boxes are over eps apart is dropped: projections
-never lengthen distances, so no link is lost. Each remaining pair of blocks is one matrix product in double precision,
-which returns, for each vector, how many it links with, and a spanning forest: both are as long as the blocks, however
-many links there are.
+never lengthen distances, so no link is lost. Each remaining pair of blocks is one matrix product in double precision.
+Pairs of blocks are dealt as tiles, squares of the sequence with itself, so a block is sent once for a tile and not once
+for a pair. A tile returns, for each vector, how many it links with, and a spanning forest: both are as long as its
+blocks, however many links there are.
 """
 
 from __future__ import annotations
@@ -22,34 +23,57 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components
 
-#: Rows of a block, principal dimensions of the grid, and how many intervals an interval is split into (as bits).
-BLOCK, GRID_DIMS, SPLIT_BITS = 512, 6, 3
+#: Rows of a block, principal dimensions of the grid and of bounding boxes, and how many intervals an interval is split
+#: into (as bits).
+BLOCK, GRID_DIMS, BOX_DIMS, SPLIT_BITS = 512, 6, 16, 3
+#: Bound of the vectors on one side of a tile.
+TILE_BYTES = 1 << 24
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """Doubles as one binary value for each size (in doubles); null where ``some`` is false."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * 8
+    valid = None if some is None else pa.array(some).buffers()[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [valid, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def _by_size(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(d, rows, matrix) for each size d over 0 of the vectors that lie one after the other in ``flat``."""
+    start = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == d)
+        yield d, rows, flat[start[rows][:, None] + np.arange(d)]
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The doubles of a column of binary vectors and their numbers."""
+    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    return np.frombuffer(b"".join(v for v in column.to_pylist() if v)), sizes
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units, digests = [], []
-        for vector in batch.column("embedding").to_pylist():
-            unit = None
-            if vector and None not in vector:
-                x = np.array(vector, np.float64)
-                top = np.abs(x).max()
-                if np.isfinite(top) and top > 0:
-                    x = x / top
-                    unit = (x / np.sqrt(x @ x)).tobytes()
-            units.append(unit)
-            digests.append(None if unit is None else hashlib.blake2b(unit, digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(units, pa.binary()), pa.array(digests, pa.binary())], ["vec_id", "label", "unit", "digest"])
+        lists = batch.column("embedding")
+        sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        some, start, out = np.zeros(len(batch), bool), np.cumsum(sizes) - sizes, np.zeros(len(flat))
+        digests: list[bytes | None] = [None] * len(batch)
+        for d, rows, x in _by_size(flat, sizes):
+            top = np.abs(x).max(1)
+            good = np.isfinite(top) & (top > 0)
+            rows, x = rows[good], x[good] / top[good][:, None]
+            some[rows] = True
+            for i, row in zip(rows.tolist(), x, strict=True):
+                digests[i] = hashlib.blake2b(row.tobytes(), digest_size=16).digest()
+            out[start[rows][:, None] + np.arange(d)] = x / np.sqrt((x * x).sum(1))[:, None]
+        kept = np.repeat(some, sizes)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), _binary(out[kept], np.where(some, sizes, 0), some), pa.array(digests, pa.binary())], ["vec_id", "label", "unit", "digest"])
 
 
 def _moment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        by: dict[int, list] = {}
-        for unit in batch.column("unit").to_pylist():
-            by.setdefault(len(unit) // 8, []).append(unit)
-        for d, rows in by.items():
-            x = np.frombuffer(b"".join(rows)).reshape(-1, d)
+        for d, _, x in _by_size(*_vectors(batch.column("unit"))):
             sums[d] = sums.get(d, 0) + x.T @ x
     yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["d", "data"])
 
@@ -67,7 +91,7 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     axes = {}
     for d, data in parts.collect():
         _, vectors = np.linalg.eigh(np.frombuffer(bytes(data)).reshape(d, d))
-        axes[d] = np.ascontiguousarray(vectors[:, ::-1][:, :GRID_DIMS])
+        axes[d] = np.ascontiguousarray(vectors[:, ::-1][:, :BOX_DIMS])
     return axes
 
 
@@ -76,97 +100,141 @@ def _cell_rows(axes: dict[int, np.ndarray], eps: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            flat, sizes = _vectors(batch.column("unit"))
             cells = np.zeros((len(batch), GRID_DIMS), np.int32)
-            size = np.zeros(len(batch), np.int32)
-            for i, unit in enumerate(batch.column("unit").to_pylist()):
-                x = np.frombuffer(unit)
-                size[i] = len(x)
-                at = np.floor(x @ axes[len(x)] / eps)
-                cells[i, : len(at)] = at
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "label", "unit", "copies")] + [pa.array(size)] + [pa.array(cells[:, j]) for j in range(GRID_DIMS)], ["rep", "label", "unit", "copies", "d", *names])
+            for d, rows, x in _by_size(flat, sizes):
+                at = np.floor(x @ axes[d][:, :GRID_DIMS] / eps)
+                cells[rows, : at.shape[1]] = at
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "label", "unit", "copies")] + [pa.array(sizes.astype(np.int32))] + [pa.array(np.ascontiguousarray(cells[:, j])) for j in range(GRID_DIMS)], ["rep", "label", "unit", "copies", "d", *names])
 
     return run
 
 
-def _block_rows(axes: dict[int, np.ndarray]):
-    def make(rows: list, number: int) -> dict:
-        x = np.array([np.frombuffer(r["unit"]) for r in rows])
-        p = np.zeros((len(rows), GRID_DIMS))
+_BLOCK_SCHEMA = pa.schema([("number", pa.int64()), ("label", pa.int64()), ("d", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("units", pa.binary())])
+
+
+def _block_rows(axes: dict[int, np.ndarray], size: int):
+    def make(label: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, number: int) -> pa.RecordBatch:
+        p = np.zeros((len(x), BOX_DIMS))
         y = x @ axes[x.shape[1]]
         p[:, : y.shape[1]] = y
-        return {"number": number, "label": rows[0]["label"], "d": x.shape[1], "low": p.min(0).tolist(), "high": p.max(0).tolist(), "ids": np.array([r["rep"] for r in rows]).tobytes(), "copies": np.array([r["copies"] for r in rows]).tobytes(), "units": x.tobytes()}
-
-    schema = pa.schema([("number", pa.int64()), ("label", pa.int64()), ("d", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("units", pa.binary())])
+        row = {"number": number, "label": label, "d": x.shape[1], "low": p.min(0).tolist(), "high": p.max(0).tolist(), "ids": ids.tobytes(), "copies": copies.tobytes(), "units": x.tobytes()}
+        return pa.RecordBatch.from_pylist([row], _BLOCK_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], 0
+        kind, held, number = None, None, 0
         for batch in batches:
-            for row in batch.select(["rep", "label", "unit", "copies", "d"]).to_pylist():
-                if held and (len(held) == BLOCK or (row["label"], row["d"]) != (held[0]["label"], held[0]["d"])):
-                    yield pa.RecordBatch.from_pylist([make(held, number)], schema)
-                    held, number = [], number + 1
-                held.append(row)
-        if held:
-            yield pa.RecordBatch.from_pylist([make(held, number)], schema)
+            ids, label, copies, d = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "copies", "d"))
+            flat, sizes = _vectors(batch.column("unit"))
+            start = np.concatenate([[0], np.cumsum(sizes)])
+            edge = np.flatnonzero((label[1:] != label[:-1]) | (d[1:] != d[:-1])) + 1
+            for i, j in zip([0, *edge], [*edge, len(ids)], strict=True):
+                if i == j:
+                    continue
+                now = [ids[i:j], copies[i:j], flat[start[i] : start[j]].reshape(j - i, -1)]
+                if kind == (label[i], d[i]):
+                    now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+                elif held is not None:
+                    yield make(int(kind[0]), *held, number)
+                    number += 1
+                kind, held = (label[i], d[i]), now
+                while len(held[0]) > size:
+                    yield make(int(kind[0]), *(x[:size] for x in held), number)
+                    held, number = [x[size:] for x in held], number + 1
+        if held is not None:
+            yield make(int(kind[0]), *held, number)
 
     return run
 
 
-def _forest(hits: np.ndarray) -> np.ndarray:
-    """The smallest index that each row of a symmetric link matrix can reach."""
-    root = np.arange(len(hits))
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that it reaches over the links a, b."""
+    root = np.arange(n)
     while True:
-        least = np.minimum(root, np.where(hits, root[None, :], len(hits)).min(1))
-        least = least[least]
-        if (least == root).all():
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for side in (a, b, root[a], root[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == root).all():
             return root
-        root = least
-
-
-def _compare_rows(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, copies = (np.concatenate([np.frombuffer(row[f"{c}_{s}"], np.int64) for s in "ab"]) for c in ("ids", "copies"))
-                x, y = (np.frombuffer(row[f"units_{s}"]).reshape(-1, row["d"]) for s in "ab")
-                hit = x @ y.T >= threshold
-                n = len(x)
-                if row["a"] == row["b"]:
-                    np.fill_diagonal(hit, False)
-                    hits, ids, copies = hit, ids[:n], copies[:n]
-                else:
-                    hits = np.zeros((len(ids), len(ids)), bool)
-                    hits[:n, n:], hits[n:, :n] = hit, hit.T
-                some = hits.any(1)
-                if some.any():
-                    hits, ids, copies = hits[np.ix_(some, some)], ids[some], copies[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[_forest(hits)]), pa.array(hits @ copies)], ["a", "b", "n"])
+        root = new
+
+
+def _links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> np.ndarray | None:
+    """Which rows of x link with which of y; None if none does."""
+    hit = x @ y.T >= threshold
+    if same:
+        np.fill_diagonal(hit, False)
+    return hit if hit.any() else None
+
+
+def _tile_rows(threshold: float, eps: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tile_a, tile_b = (k.as_py() for k in key)
+        rows = sorted(table.to_pylist(), key=lambda r: r["number"])
+        ids, copies = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "copies"))
+        at = np.cumsum([0, *(len(r["ids"]) // 8 for r in rows)])
+        units = [np.frombuffer(r["units"]).reshape(-1, r["d"]) for r in rows]
+        low, high = (np.array([r[c] for r in rows]) for c in ("low", "high"))
+        n, ends = np.zeros(len(ids)), []
+        for i, r in enumerate(rows):
+            if r["tile"] != tile_a:
+                continue
+            gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
+            near = (gap * gap).sum(1) <= (eps + 1e-9) ** 2
+            for j in np.flatnonzero(near[i:]) + i:
+                q = rows[j]
+                if q["tile"] != tile_b or (q["label"], q["d"]) != (r["label"], r["d"]):
+                    continue
+                hit = _links(units[i], units[j], threshold, i == j)
+                if hit is None:
+                    continue
+                mine, other = slice(at[i], at[i + 1]), slice(at[j], at[j + 1])
+                n[mine] += hit @ copies[other].astype(np.float64)
+                if i != j:
+                    n[other] += copies[mine].astype(np.float64) @ hit
+                # one link of every row, and for each of its partners' blocks what joins them: a forest of the block pair
+                a, b = np.nonzero(hit)
+                root = _least_reached(len(hit) + len(hit[0]), a, len(hit) + b) if i != j else _least_reached(len(hit), a, b)
+                place = np.concatenate([np.arange(at[i], at[i + 1]), np.arange(at[j], at[j + 1])]) if i != j else np.arange(at[i], at[i + 1])
+                moved = root != np.arange(len(root))
+                ends.append((place[moved], place[root[moved]]))
+        some = np.flatnonzero(n)
+        root = _least_reached(len(ids), *(np.concatenate([e[k] for e in ends]) for k in (0, 1))) if ends else np.arange(len(ids))
+        return pa.table({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]]), "n": pa.array(n[some].astype(np.int64))})
 
     return run
 
 
 def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
     """(a, b): numbers of the blocks, a <= b, of one label whose boxes are at most eps apart."""
-    boxes = cut(blocks.select("number", "label", "d", *[F.get("low", i).alias(f"l{i}") for i in range(GRID_DIMS)], *[F.get("high", i).alias(f"h{i}") for i in range(GRID_DIMS)]))
+    boxes = cut(blocks.select("number", "label", "d", *[F.get("low", i).alias(f"l{i}") for i in range(BOX_DIMS)], *[F.get("high", i).alias(f"h{i}") for i in range(BOX_DIMS)]))
     most = boxes.agg(F.max("number")).first()[0] or 0
     levels = max(1, -(-most.bit_length() // SPLIT_BITS))
 
     def nodes(level: int) -> DataFrame:
         return boxes.groupBy(F.shiftright("number", SPLIT_BITS * level).alias("node")).agg(
-            F.min("label").alias("label_from"), F.max("label").alias("label_to"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(GRID_DIMS)], *[F.max(f"h{i}").alias(f"h{i}") for i in range(GRID_DIMS)]
+            F.min("label").alias("label_from"), F.max("label").alias("label_to"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(BOX_DIMS)], *[F.max(f"h{i}").alias(f"h{i}") for i in range(BOX_DIMS)]
         )
 
     pairs = nodes(levels).select(F.col("node").alias("a"), F.col("node").alias("b"))
     for level in range(levels - 1, -1, -1):
         own = nodes(level).withColumn("parent", F.shiftright("node", SPLIT_BITS))
         left, right = (own.select(*[F.col(c).alias(f"{s}_{c}") for c in own.columns]) for s in "xy")
-        gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x_l{i}") - F.col(f"y_h{i}"), F.col(f"y_l{i}") - F.col(f"x_h{i}")), 2) for i in range(GRID_DIMS)), F.lit(0.0))
+        gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x_l{i}") - F.col(f"y_h{i}"), F.col(f"y_l{i}") - F.col(f"x_h{i}")), 2) for i in range(BOX_DIMS)), F.lit(0.0))
         pairs = pairs.join(left, F.col("a") == F.col("x_parent")).join(right, F.col("b") == F.col("y_parent"))
         pairs = pairs.where((F.col("x_node") <= F.col("y_node")) & (F.col("x_label_from") <= F.col("y_label_to")) & (F.col("y_label_from") <= F.col("x_label_to")) & (gap <= (eps + 1e-9) ** 2))
         pairs = cut(pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
     return pairs
 
 
+def _tile_bits(blocks: int, parts: int, d: int) -> int:
+    """The side of a tile in blocks, as bits: tiles enough for all tasks, of bounded bytes."""
+    side = min(TILE_BYTES // (BLOCK * d * 8), int(blocks / np.sqrt(8 * parts)))
+    return max(0, side.bit_length() - 1)
+
+
 def embedding_components(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
@@ -186,15 +254,16 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     sequence = classes.mapInArrow(_cell_rows(axes, eps), "rep long, label long, unit binary, copies long, d int, " + ", ".join(f"{c} int" for c in cells))
     parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sequence = sequence.repartitionByRange(parts, "label", "d", *cells, "rep").sortWithinPartitions("label", "d", *cells, "rep")
-    blocks = sequence.mapInArrow(_block_rows(axes), "number long, label long, d int, low array<double>, high array<double>, ids binary, copies binary, units binary")
-    blocks = blocks.withColumn("part", F.spark_partition_id().cast("long"))
-    blocks = cut(blocks)
-    width = (blocks.agg(F.max("number")).first()[0] or 0).bit_length()
+    blocks = sequence.mapInArrow(_block_rows(axes, BLOCK), "number long, label long, d int, low array<double>, high array<double>, ids binary, copies binary, units binary")
+    blocks = cut(blocks.withColumn("part", F.spark_partition_id().cast("long")))
+    most, total = blocks.agg(F.coalesce(F.max("number"), F.lit(0)), F.count("*")).first()
+    width = most.bit_length()
     blocks = blocks.withColumn("number", F.shiftleft("part", width).bitwiseOR(F.col("number"))).drop("part")
-    sides = [blocks.select(F.col("number").alias(s), F.col("label").alias(f"label_{s}"), F.col("d").alias("d" if s == "a" else "d_b"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "units")]) for s in "ab"]
-    near = _near_blocks(blocks, eps).join(sides[0], "a").join(sides[1], "b").where("label_a = label_b and d = d_b")
-    # few rows, each a heavy product: dealt evenly, one batch holds few of them
-    found = cut(near.repartition(4 * parts).mapInArrow(_compare_rows(threshold), "a long, b long, n long"))
+    bits = _tile_bits(total, parts, max(axes, default=1))
+    tile = lambda number: F.shiftright(number, bits)
+    near = _near_blocks(blocks, eps).select(tile("a").alias("tile_a"), tile("b").alias("tile_b"), F.explode(F.array("a", "b")).alias("number")).distinct()
+    dealt = near.join(blocks.withColumn("tile", tile("number")), "number")
+    found = cut(dealt.groupBy("tile_a", "tile_b").applyInArrow(_tile_rows(threshold, eps), "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     components = connected_components(found.select("a", "b")).withColumnRenamed("id", "rep")
     reps = classes.select("label", "digest", "rep", "copies").join(links, "rep", "left").join(components, "rep", "left")
