@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,14 @@ def _by_size(flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The doubles of a column of binary vectors and their numbers."""
-    sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 8
     return np.frombuffer(b"".join(v for v in column.to_pylist() if v)), sizes
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("embedding")
-        sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)
         some, start, out = np.zeros(len(batch), bool), np.cumsum(sizes) - sizes, np.zeros(len(flat))
         digests: list[bytes | None] = [None] * len(batch)

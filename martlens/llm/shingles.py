@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are hashed in slices of about this many bytes, so that scratch arrays stay small however long the batch is.
 SLICE_BYTES = 1 << 20
@@ -70,7 +71,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, start of each text in the bytes and their end) of runs of texts; each text ends with a line feed."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    lengths = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(texts):
         room = np.cumsum(lengths[at:] + 1)
