@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -59,3 +59,45 @@ def comparison(home_eur: Column, abroad_eur: Column) -> dict[str, Column]:
         "cheaper_country": F.when(diff > 0, "France").otherwise("Tunisia"),
         "savings_eur": F.round(F.abs(diff), 2),
     }
+
+
+def text_price(text: Column) -> Column:
+    """clean_price without range and rounding: the first of comma and dot tells the notation."""
+    kept = F.replace(F.regexp_replace(text, r"[^\d.,\s-]", ""), F.lit(" "), F.lit(""))
+    return parse_number(_decimal(kept, F.instr(kept, ".") < F.instr(kept, ",")))
+
+
+def scraped_price(text: Column) -> Column:
+    """A shop page's price: the last of comma and dot is the decimal mark."""
+    kept = F.regexp_replace(text, r"[^\d.,]", "")
+    last = lambda mark: F.length(F.substring_index(kept, mark, -1))
+    return parse_number(_decimal(kept, last(",") < last(".")))
+
+
+def _decimal(kept: Column, comma: Column) -> Column:
+    """Digits with a decimal point: where both marks are there, ``comma`` says which one is the decimal mark."""
+    eu = F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    us = F.replace(kept, F.lit(","), F.lit(""))
+    has = lambda mark: F.contains(kept, F.lit(mark))
+    return F.when(has(",") & has("."), F.when(comma, eu).otherwise(us)).when(has(","), F.replace(kept, F.lit(","), F.lit("."))).otherwise(kept)
+
+
+def in_stock(remark: Column, shop: str) -> Column:
+    """A shop's stock remark: sold out if the home shop says so; available if the shop abroad says so, and where there is
+    no remark; at the third shop (``listed``) available only if it says so, in these very words."""
+    low = F.lower(remark)
+    if shop == "shop_tn":
+        return F.coalesce(~low.contains("épuisé"), F.lit(True))
+    if shop == "listed":
+        return F.coalesce(remark.contains("En stock") | remark.contains("Disponible"), F.lit(False))
+    return F.coalesce(low.contains("disponible") | low.contains("en stock"), F.lit(True))
+
+
+def lookup_rates(amounts: DataFrame, rates: DataFrame, target: str, amount: str = "amount", currency: str = "currency") -> DataFrame:
+    """Amounts with ``rate`` and ``converted``: the same currency has 1, then the listed rate, the inverse of the listed
+    opposite, and 1. rates (source, target, rate) is a short list."""
+    direct = rates.where(F.col("target") == target).select(F.col("source").alias(currency), F.col("rate").alias("_direct"))
+    back = rates.where(F.col("source") == target).select(F.col("target").alias(currency), F.col("rate").alias("_back"))
+    rows = amounts.join(F.broadcast(direct), currency, "left").join(F.broadcast(back), currency, "left")
+    rate = F.when(F.col(currency) == target, F.lit(1.0)).otherwise(F.coalesce("_direct", F.try_divide(F.lit(1.0), F.col("_back")), F.lit(1.0)))
+    return rows.withColumn("rate", rate).withColumn("converted", F.col(amount) * F.col("rate")).drop("_direct", "_back")

@@ -104,6 +104,25 @@ def is_blocked(html: Column) -> Column:
     return functools.reduce(lambda a, b: a | b, [low.contains(w) for w in fixed.BLOCK_INDICATORS])
 
 
+def is_missing_page(html: Column) -> Column:
+    """Whether a page says that it was not found, in its title or heading."""
+    head = F.lower(F.concat_ws(" ", F.regexp_extract_all(html, F.lit(r"(?is)<(?:title|h1)[^>]*>(.*?)</"), F.lit(1))))
+    return functools.reduce(lambda a, b: a | b, [head.contains(w) for w in fixed.NOT_FOUND])
+
+
+def shop_brand(title: Column) -> Column:
+    """A brand of the shop abroad at the start of a title, upper-case; null if none."""
+    return F.upper(F.nullif(F.regexp_extract(title, fixed.SHOP_BRAND, 1), F.lit("")))
+
+
+def pagination_id(href: Column) -> Column:
+    return F.nullif(F.regexp_extract(href, r"[?&]id=(\d+)", 1), F.lit(""))
+
+
+def absolute_url(url: Column, base: str) -> Column:
+    return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(base), url))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     x, y = (F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")) for c in (a, b))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
@@ -116,11 +135,12 @@ def clean_review(text: Column) -> Column:
     return F.trim(low)
 
 
-def review_features(text: Column) -> dict[str, Column]:
-    """Counts and ratios of a review's text; a null text counts as empty."""
+def review_features(text: Column, ascii_only: bool = False) -> dict[str, Column]:
+    """Counts and ratios of a review's text; a null text counts as empty. ``ascii_only`` takes A-Z and a-z alone as letters."""
     t = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    alpha = F.filter(words, lambda w: w.rlike("^[A-Za-z]+$"))
+    letters, upper, digit = ("^[A-Za-z]+$", "[A-Z]", "[0-9]") if ascii_only else (r"^\p{L}+$", r"\p{Lu}", r"\p{Nd}")
+    alpha = F.filter(words, lambda w: w.rlike(letters))
     count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
     n, chars = F.size(words).cast("long"), F.char_length(t).cast("long")
     return {
@@ -129,8 +149,8 @@ def review_features(text: Column) -> dict[str, Column]:
         "avg_word_length": F.round(chars / F.greatest(n, F.lit(1)), 6),
         "exclamation_count": count("!"),
         "question_count": count(r"\?"),
-        "capital_ratio": F.round(count("[A-Z]") / F.greatest(chars, F.lit(1)), 6),
-        "digit_count": count("[0-9]"),
+        "capital_ratio": F.round(count(upper) / F.greatest(chars, F.lit(1)), 6),
+        "digit_count": count(digit),
         "unique_word_ratio": F.round(F.size(F.array_distinct(alpha)) / F.greatest(F.size(alpha), F.lit(1)), 6),
         "sentence_count": F.greatest(count("[.!?]"), F.lit(1)),
         "is_very_short": (n < 20).cast("int"),
@@ -138,6 +158,28 @@ def review_features(text: Column) -> dict[str, Column]:
     }
 
 
+def sentiment(text: Column) -> dict[str, Column]:
+    """Polarity from -1 to 1 and subjectivity from 0 to 1: means over the opinion words of a text, 0 without any.
+
+    The reference library for this is not at hand, so the words are those of a small lexicon of our own.
+    """
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+    among = lambda listed: F.size(F.filter(words, lambda w: w.isin(*listed)))
+    counts = {v: among(listed) for v, listed in fixed.OPINIONS.items()}
+    total = functools.reduce(lambda a, b: a + b, counts.values())
+    mean = lambda value: F.coalesce(F.round(F.try_divide(functools.reduce(lambda a, b: a + b, [c * F.lit(value(v)) for v, c in counts.items()]), total), 6), F.lit(0.0))
+    return {"sentiment_polarity": mean(lambda v: v), "sentiment_subjectivity": mean(lambda v: fixed.SUBJECTIVITY[abs(v)])}
+
+
+def rating_features(rating: Column) -> dict[str, Column]:
+    """A missing rating counts as 3."""
+    return {"rating": F.coalesce(rating, F.lit(3)), "is_extreme_rating": F.coalesce(rating.isin(1, 5), F.lit(False)).cast("int")}
+
+
+def sentiment_label(polarity: Column) -> Column:
+    return F.when(polarity > 0, "positive").when(polarity < 0, "negative").otherwise("neutral")
+
+
 def detect_language(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     chars = F.char_length(F.replace(t, F.lit(" "), F.lit("")))

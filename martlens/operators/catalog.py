@@ -7,9 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prices, text
+from .ranks import range_marks, range_of
+
 #: Names under which shops give a column, the first present and non-null counts.
 RENAMES = {"product_name": ("title", "name", "product_title", "product_name"), "price_value": ("price", "prix", "price_value"), "product_url": ("url", "link", "product_url"), "image_url": ("image", "image_url")}
 
+#: Types of required columns that are not strings.
+KINDS = {"price_value": "double", "scraped_at": "timestamp"}
+
 
 def standardize(df: DataFrame, source: str, country: str, currency: str, required: Sequence[str] = ("product_name", "price_value", "product_url", "brand", "scraped_at")) -> DataFrame:
     """Common names, constants of the source, missing required columns as nulls; ``id`` goes."""
@@ -17,7 +23,7 @@ def standardize(df: DataFrame, source: str, country: str, currency: str, require
     columns = [F.coalesce(*[F.col(n) for n in names if n in df.columns]).alias(to) for to, names in RENAMES.items() if any(n in df.columns for n in names)]
     columns += [F.col(c) for c in df.columns if c not in used and c not in ("id", "source", "country", "currency")]
     out = df.select(*columns, F.lit(source).alias("source"), F.lit(country).alias("country"), F.lit(currency).alias("currency"))
-    return out.withColumns({c: F.lit(None).cast("string") for c in required if c not in out.columns})
+    return out.withColumns({c: F.lit(None).cast(KINDS.get(c, "string")) for c in required if c not in out.columns})
 
 
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
@@ -45,13 +51,47 @@ def valid(df: DataFrame) -> DataFrame:
 
 def with_ids(df: DataFrame, key: str, name: str = "product_id", pattern: str = "prod_%05d", buckets: int = 1024) -> DataFrame:
     """Ids in the order of a key, numbered from 1 by ranges of the key whose sizes are added up."""
-    n = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    marks = F.array(*[F.lit(m) for m in sorted(set(n))]) if n else F.array().cast("array<long>")
-    rows = df.withColumn("_b", F.size(F.filter(marks, lambda m: m < F.col(key))))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    starts = rows.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return rows.withColumn("_i", within).join(F.broadcast(starts), "_b").withColumn(name, F.format_string(pattern, F.col("_first") + F.col("_i"))).drop("_b", "_i", "_first")
+    rows = df.withColumn("_range", range_of(F.col(key), range_marks(df, key, buckets)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
+    starts = rows.groupBy("_range").agg(F.count("*").alias("_in")).select("_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before_range"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return rows.withColumn("_in_range", within).join(F.broadcast(starts), "_range").withColumn(name, F.format_string(pattern, F.col("_before_range") + F.col("_in_range"))).drop("_range", "_in_range", "_before_range")
+
+
+def enrich(df: DataFrame, description: str | None = None) -> DataFrame:
+    """Listings with what their names say: product_name_normalized, brand_extracted, model, category, specifications (JSON)
+    and product_signature, all in one projection. The scraped brand stays; a missing description counts as empty."""
+    name = F.col("product_name")
+    normalized, brand = text.normalize_name(name), text.extract_brand(name)
+    said = F.concat_ws(" ", name, F.col(description)) if description else name
+    rows = df.withColumns({"product_name_normalized": normalized, "brand_extracted": brand, "_specs": F.struct(*[c.alias(k) for k, c in text.extract_specs(said).items()])})
+    specs = {k: F.col(f"_specs.{k}") for k in rows.schema["_specs"].dataType.names}
+    rows = rows.withColumns({"model": text.extract_model(F.col("product_name_normalized"), F.col("brand_extracted")), "category": text.categorize(F.col("product_name_normalized")), "specifications": F.to_json(text.specs_map(specs))})
+    return rows.withColumn("product_signature", text.signature(F.col("brand_extracted"), F.col("model"), specs)).drop("_specs")
+
+
+def unify(frames: Sequence[DataFrame], key: str, ties: Sequence[str]) -> DataFrame:
+    """Standardized listings of all sources as products: prices cleaned, the latest row of each url, valid rows only,
+    enriched, with ids in the order of ``key``, which comes first."""
+    rows = union_sources(frames)
+    rows = latest_by_url(rows.withColumn("price_value", prices.clean_price(F.col("price_value"))), ties)
+    rows = with_ids(enrich(valid(rows)), key)
+    return rows.select("product_id", *[c for c in rows.columns if c != "product_id"])
+
+
+def summary(products: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Of each source: rows loaded, products, removed, retention and completeness in percent, stock and categories.
+
+    loaded has (source, loaded), one row for each source.
+    """
+    pct = lambda c: F.round(F.count(c) * 100.0 / F.count("*"), 4)
+    kept = products.groupBy("source").agg(F.count("*").alias("products"), pct("brand").alias("brand_pct"), pct("image_url").alias("image_pct"), F.count_if("in_stock").alias("in_stock"), F.count_distinct("category").alias("categories"))
+    rows = loaded.join(kept, "source", "left")
+    return rows.select("source", "loaded", "products", (F.col("loaded") - F.col("products")).alias("removed"), F.round(F.col("products") * 100.0 / F.col("loaded"), 4).alias("retention_pct"), "brand_pct", "image_pct", "in_stock", "categories")
+
+
+def by_source(df: DataFrame, source: str) -> DataFrame:
+    return df.where(F.col("source") == source)
 
 
 def label_dimension(values: Mapping[str, int]):

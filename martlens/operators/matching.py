@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import prices
+
 ACCEPT, HIGH, SPECS_ABOVE = 70, 85, 70
+#: Names on one side of a block of comparisons.
+BLOCK_NAMES = 1024
 
 
 def _ratio(a: str, b: str) -> int:
@@ -46,23 +52,91 @@ def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.where(known).join(first, "signature").select("left_id", "right_id", F.lit(100).alias("score"))
 
 
+class NameBits:
+    """Names as arrays of characters, for comparing one name with all of them at once.
+
+    A row of bits for each name holds the state of a longest common subsequence, 64 characters to a word: after a step
+    for every character of the other name its zeros are the subsequence.
+    """
+
+    def __init__(self, names: list[str]):
+        self.lengths = np.fromiter(map(len, names), np.int64, len(names))
+        self.words = max(1, -(-int(self.lengths.max()) // 64))
+        self.alphabet = {c: i for i, c in enumerate(sorted(set("".join(names))))}
+        self.places = np.zeros((len(self.alphabet) + 1, self.words, len(names)), np.uint64)
+        for n, name in enumerate(names):
+            for i, c in enumerate(name):
+                self.places[self.alphabet[c], i // 64, n] |= np.uint64(1 << (i % 64))
+
+    def ratios(self, name: str) -> np.ndarray:
+        """100 * 2 * LCS / (sum of lengths) with every name, rounded to even."""
+        rows = np.full((self.words, len(self.lengths)), ~np.uint64(0))
+        for c in name:
+            hits = self.places[self.alphabet.get(c, len(self.alphabet))]
+            carry = np.zeros(len(self.lengths), np.uint64)
+            for w in range(self.words):
+                row = rows[w]
+                hit = row & hits[w]
+                total = row + hit
+                over = total < row
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                rows[w] = total | (row - hit)
+        held = np.arange(self.words)[:, None] * 64
+        used = np.clip(self.lengths[None, :] - held, 0, 64).astype(np.uint64)
+        mask = np.where(used == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(used, np.uint64(63))) - np.uint64(1))
+        common = np.bitwise_count(~rows & mask).sum(0, dtype=np.int64)
+        return np.rint(200.0 * common / (self.lengths + len(name))).astype(np.int64)
+
+
+def _best_in_block(accept: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"a": [], "right_id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            names, ids = NameBits(right.column("tokens").to_pylist()), right.column("right_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            for a in left.column("tokens").to_pylist():
+                score = names.ratios(a)[order]
+                best = int(score.argmax())  # the first of equals has the least right_id
+                if score[best] >= accept:
+                    for column, value in zip(out.values(), (a, int(ids[order][best]), int(score[best])), strict=True):
+                        column.append(value)
+        return pa.table({"a": pa.array(out["a"], pa.string()), "right_id": pa.array(out["right_id"], pa.int64()), "score": pa.array(out["score"], pa.int32())})
+
+    return run
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, accept: int = ACCEPT) -> DataFrame:
     """(left_id, right_id, score): the best right row by sorted-token ratio of at least ``accept``; ties to the least right_id.
 
     Distinct names are compared, not rows. A ratio of at least s needs ``min length / sum of lengths >= (s - 0.5) / 200``,
-    so names meet in length bands, each probing the bands that its length allows: no accepted pair is lost.
+    so names meet in length bands, each with the bands that its length allows: no accepted pair is lost. A band's names are
+    dealt to chunks, and a task compares a chunk of either side and returns one row at most for each left name, so tasks
+    are bounded and no pairs are written. Their number is that of pairs of names of like length: a threshold this low
+    allows no index that loses nothing.
     """
     share = (accept - 0.5) / 200
     reach = (1 - share) / share
-    names = lambda df: df.select(sorted_tokens(F.col("name")).alias("tokens")).where("tokens <> ''").distinct().withColumn("n", F.length("tokens"))
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(reach)) + 1e-9).cast("int")
-    a = names(left).select(F.col("tokens").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(*[band(F.col("n")) + d for d in (-1, 0, 1)])).alias("band"))
-    b = names(right).select(F.col("tokens").alias("b"), F.col("n").alias("n_b"), band(F.col("n")).alias("band"))
-    pairs = a.join(b, "band").where(F.least("n_a", "n_b") >= share * (F.col("n_a") + F.col("n_b")))
-    good = pairs.withColumn("score", token_sort_ratio("a", "b")).where(F.col("score") >= accept)
-    first = right.withColumn("b", sorted_tokens(F.col("name"))).groupBy("b").agg(F.min("right_id").alias("right_id"))
-    best = good.join(first, "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
-    return left.withColumn("a", sorted_tokens(F.col("name"))).join(best, "a").select("left_id", F.col("m.right_id").alias("right_id"), (-F.col("m.s")).alias("score"))
+    band = F.floor(F.log(F.length("tokens").cast("double")) / F.log(F.lit(reach)) + 1e-9).cast("int").alias("band")
+    tokens = lambda df: df.select("*", sorted_tokens(F.col("name")).alias("tokens")).where("tokens <> ''")
+    a = tokens(left).select("tokens").distinct().select("tokens", band)
+    b = tokens(right).groupBy("tokens").agg(F.min("right_id").cast("long").alias("right_id")).select("tokens", "right_id", band)
+
+    def chunked(names: DataFrame, others: DataFrame, near: tuple[int, ...], mine: str, theirs: str) -> DataFrame:
+        """Each name once for every block of its chunk with a chunk of a band near its own; there are few bands."""
+        counts = lambda df: df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NAMES).cast("int").alias("chunks"))
+        other = counts(others).select(F.explode(F.array(*[F.struct((F.col("band") - d).alias("band"), F.col("band").alias("beside"), "chunks") for d in near])).alias("x")).select("x.band", "x.beside", F.col("x.chunks").alias("theirs"))
+        rows = names.join(F.broadcast(counts(names)), "band").withColumn("own", F.pmod(F.xxhash64("tokens"), F.col("chunks")))
+        rows = rows.join(F.broadcast(other), "band").withColumn("one", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+        return rows.select(*names.columns, F.col("beside"), F.col("own").cast("int").alias(mine), F.col("one").cast("int").alias(theirs))
+
+    x = chunked(a, b, (-1, 0, 1), "i", "j").withColumnsRenamed({"band": "u", "beside": "v"})
+    y = chunked(b, a, (-1, 0, 1), "j", "i").withColumnsRenamed({"band": "v", "beside": "u"})
+    keys = ["u", "v", "i", "j"]
+    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_best_in_block(accept), "a string, right_id long, score int")
+    best = found.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
+    kind = right.schema["right_id"].dataType
+    return left.withColumn("a", sorted_tokens(F.col("name"))).join(best, "a").select("left_id", F.col("m.right_id").cast(kind).alias("right_id"), (-F.col("m.s")).alias("score"))
 
 
 def spec_similarity(a, b):
@@ -76,7 +150,9 @@ def specs_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, score): the same-brand right row of most similar specifications, over 70.
 
     Rows of one brand and equal specifications are one side of a pair, so a hot brand costs its distinct specifications.
+    Rows without a brand, or with an unknown one, have no partner.
     """
+    left, right = (df.where("brand <> '' and brand <> 'Unknown'") for df in (left, right))
     group = lambda df, key, s: df.groupBy("brand", F.to_json("specs").alias(f"j_{s}")).agg(F.min(key).alias(key), F.first("specs").alias(f"specs_{s}"))
     pairs = group(left, "left_id", "l").drop("left_id").join(group(right, "right_id", "r"), "brand").withColumn("score", spec_similarity(F.col("specs_l"), F.col("specs_r"))).where(F.col("score") > SPECS_ABOVE)
     best = pairs.groupBy("brand", "j_l").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
@@ -102,3 +178,52 @@ def confidence(score):
 
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     return rows.join(matches.select(key).distinct(), key, "left_anti")
+
+
+#: Names of the cascade's levels in reports.
+METHODS = {"exact": "exact_signature", "fuzzy": "fuzzy_string", "specs": "specs_based"}
+
+
+def compare_prices(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The price comparison of matched products: one flat row for each match, with both prices in euros.
+
+    matches is match_cascade's; left and right have left_id / right_id, product_id, product_name, price_value, source and
+    product_url, prices of the left in dinars and of the right in euros.
+    """
+    side = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("product_id", "product_name", "price_value", "source", "product_url")])
+    rows = matches.join(side(left, "left_id", "tn"), "left_id").join(side(right, "right_id", "fr"), "right_id")
+    rate = prices.rate(F.lit("TND"), "EUR")
+    rows = rows.withColumn("eur", F.col("tn_price_value") * rate)
+    compared = prices.comparison(F.col("eur"), F.col("fr_price_value"))
+    method = F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("method"))
+    return rows.select(
+        F.concat(F.lit("match_"), "tn_product_id", F.lit("_"), "fr_product_id").alias("match_id"),
+        "tn_product_id",
+        "tn_product_name",
+        F.col("tn_price_value").alias("tn_price_tnd"),
+        F.round("eur", 2).alias("tn_price_eur"),
+        "tn_source",
+        F.col("tn_product_url").alias("tn_url"),
+        "fr_product_id",
+        "fr_product_name",
+        F.col("fr_price_value").alias("fr_price_eur"),
+        "fr_source",
+        F.col("fr_product_url").alias("fr_url"),
+        *[c.alias(k) for k, c in compared.items()],
+        F.round(F.abs(F.col("eur") - F.col("fr_price_value")) * prices.rate(F.lit("EUR"), "TND"), 2).alias("savings_tnd"),
+        F.round(F.col("score") / 100, 3).alias("match_score"),
+        "confidence",
+        method.alias("match_method"),
+        rate.alias("exchange_rate"),
+    )
+
+
+def match_report(compared: DataFrame, left: DataFrame) -> DataFrame:
+    """One row: products, matches, match rate, tiers, mean differences and where it is cheaper."""
+    tier = lambda t: F.count_if(F.col("confidence") == t).alias(t)
+    one = compared.agg(
+        F.count("*").alias("matches"), *map(tier, ("high", "medium", "low")), F.round(F.avg("price_diff_eur"), 2).alias("avg_diff_eur"), F.round(F.avg("price_diff_pct"), 2).alias("avg_diff_pct"),
+        F.count_if(F.col("cheaper_country") == "Tunisia").alias("cheaper_in_tn"), F.count_if(F.col("cheaper_country") == "France").alias("cheaper_in_fr"),
+    )
+    both = left.agg(F.count("*").alias("products")).crossJoin(F.broadcast(one))
+    return both.withColumn("match_rate", F.round(F.try_divide(F.col("matches") * 100.0, F.col("products")), 4))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def dashboard(runs: DataFrame, first: str, last: str) -> DataFrame:
     """(state, n, pct) of the runs that ended between two days, both included."""
@@ -32,7 +34,8 @@ def rolling_anomalies(runs: DataFrame, above: float, days: int = 7) -> DataFrame
 
 
 def percentiles(runs: DataFrame, by: str, column: str) -> DataFrame:
-    return runs.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("q")).select(by, *[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    found = quantiles(runs, column, (0.5, 0.95, 0.99), [by])
+    return found.select(by, *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
 def drift(before: DataFrame, after: DataFrame, key: str, value: str, limit: float = 0.15) -> DataFrame:
@@ -59,3 +62,57 @@ def quality_scores(df: DataFrame, key: str) -> DataFrame:
 def classify_error(message: Column) -> Column:
     low = F.lower(message)
     return F.when(low.contains("timeout"), "timeout").when(low.contains("403") | low.contains("401"), "credentials").when(low.contains("connection"), "network").otherwise("scraper")
+
+
+def within_bounds(measures: Mapping[str, tuple[Column, float | None, float | None]], df: DataFrame) -> DataFrame:
+    """(name, value, low, high, ok) of aggregates against a lower and an upper bound, either of which may be None."""
+    one = df.agg(*[F.round(c, 4).cast("double").alias(n) for n, (c, _, _) in measures.items()])
+    bound = lambda b: F.lit(b).cast("double")
+    rows = [F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), bound(lo).alias("low"), bound(hi).alias("high"), (F.coalesce(F.col(n) >= bound(lo), F.lit(True)) & F.coalesce(F.col(n) <= bound(hi), F.lit(True))).alias("ok")) for n, (_, lo, hi) in measures.items()]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def volume(df: DataFrame, low: int = 300, high: int = 500) -> DataFrame:
+    """Whether a table's number of rows lies between two bounds."""
+    return within_bounds({"volume": (F.count("*"), low, high)}, df)
+
+
+def row_quality(df: DataFrame) -> DataFrame:
+    """quality_scores with consistency by whole rows: 1 less the share of rows that repeat another."""
+    key = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    rows = df.withColumn("_row", key)
+    kinds = rows.groupBy("_row").agg(F.count("*").alias("n"))  # repeats meet as counts
+    one = kinds.agg(F.round(1 - (F.sum("n") - F.count("*")) / F.sum("n"), 6).alias("consistency"))
+    return quality_scores(df, df.columns[0]).drop("consistency").crossJoin(F.broadcast(one))
+
+
+def degraded(accuracy: DataFrame, baseline: float = 0.85, slack: float = 0.05) -> DataFrame:
+    """(accuracy, baseline, degradation, alert) of a table of accuracies."""
+    a = F.col("accuracy")
+    return accuracy.select(a, F.lit(baseline).alias("baseline"), F.round(F.lit(baseline) - a, 6).alias("degradation"), (a < baseline - slack).alias("alert"))
+
+
+def score_distribution(df: DataFrame, score: str, low: float = 0.1, high: float = 0.9, sure: float = 0.95, most: float = 0.1) -> DataFrame:
+    """(mean, sure, share, mean_alert, share_alert): whether mean or share of very sure scores is out of the ordinary."""
+    one = df.agg(F.round(F.avg(score), 6).alias("mean"), F.count_if(F.col(score) > sure).alias("sure"), F.round(F.try_divide(F.count_if(F.col(score) > sure), F.count(score)), 6).alias("share"))
+    return one.select("*", ((F.col("mean") > high) | (F.col("mean") < low)).alias("mean_alert"), (F.col("share") > most).alias("share_alert"))
+
+
+def sliding_storms(runs: DataFrame, minutes: int = 60, every: int = 5, limit: int = 3) -> DataFrame:
+    """(window_start, window_end, failures) of the sliding windows with more than ``limit`` failures, as polled every few minutes."""
+    rows = runs.where(F.col("state") == "failed").groupBy(F.window("end_time", f"{minutes} minutes", f"{every} minutes").alias("w")).agg(F.count("*").alias("failures"))
+    return rows.where(F.col("failures") > limit).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failures")
+
+
+def freshness(df: DataFrame, stamp: str, key: str, valid: Column, now: str, hours: float = 24, duplicates: float = 0.05, invalid: int = 100) -> DataFrame:
+    """(age_hours, duplicate_rate, invalid, stale, duplicated, too_invalid) of a table at a point in time."""
+    keys = df.groupBy(key).agg(F.count("*").alias("_n"), F.max(stamp).alias("_at"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("_bad"))
+    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.max("_at").cast("timestamp"))) / 3600
+    one = keys.agg(F.round(age, 4).alias("age_hours"), F.round(1 - F.count("*") / F.sum("_n"), 6).alias("duplicate_rate"), F.sum("_bad").alias("invalid"))
+    return one.select("*", (F.col("age_hours") > hours).alias("stale"), (F.col("duplicate_rate") > duplicates).alias("duplicated"), (F.col("invalid") > invalid).alias("too_invalid"))
+
+
+def run_durations(runs: DataFrame, slow: float = 3600.0) -> DataFrame:
+    """Runs (run_id, start_time, end_time, ...) with seconds and whether they are slow; null while a run goes on."""
+    seconds = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
+    return runs.withColumn("seconds", F.round(seconds / 1_000_000, 3)).withColumn("slow", F.col("seconds") > slow)

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, with_quantiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, pct) of non-null values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 4))
+    return counts_by(df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")), ["value"])
+
+
+def counts_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(columns..., n, pct): rows of each combination and their share of all rows, whose number is a single row beside."""
+    counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).select(*columns, "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("pct"))
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -20,9 +27,24 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, exact quartiles and max."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *[F.round(F.get("q", i), 4).alias(a) for i, a in enumerate(("q1", "median", "q3"))], "max")
+    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    out = with_quantiles(out, quantiles(df, column, (0.25, 0.5, 0.75), by), by)
+    return out.select(*by, "n", "mean", "std", "min", *[F.round(f"q{i}", 4).alias(a) for i, a in enumerate(("q1", "median", "q3"))], "max")
+
+
+def summarize(df: DataFrame, column: str, by: Sequence[str] = (), digits: int = 2) -> DataFrame:
+    """(by..., n, mean, med, lo, hi, std) of a column, the median exact."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(column), digits).alias("mean"), F.round(F.min(column), digits).alias("lo"), F.round(F.max(column), digits).alias("hi"), F.round(F.stddev_samp(column), digits).alias("std"))
+    return with_quantiles(out, quantiles(df, column, (0.5,), by), by).select(*by, "n", "mean", F.round("q0", digits).alias("med"), "lo", "hi", "std")
+
+
+def box_plot(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """(by..., q1, median, q3, low, high, outliers): quartiles, whiskers at the last values within 1.5 interquartile ranges,
+    and how many values lie beyond them."""
+    q = quantiles(df, column, (0.25, 0.5, 0.75), by).withColumn("_w", (F.col("q2") - F.col("q0")) * 1.5)
+    rows = with_quantiles(df.where(F.col(column).isNotNull()).select(*by, column), q, by)
+    inside = F.col(column).between(F.col("q0") - F.col("_w"), F.col("q2") + F.col("_w"))
+    return rows.groupBy(*by).agg(*[F.round(F.max(f"q{i}"), 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.min(F.when(inside, F.col(column))).alias("low"), F.max(F.when(inside, F.col(column))).alias("high"), F.count_if(~inside).alias("outliers"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -38,8 +60,15 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return one.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("missing")) for c in df.columns])).alias("x")).select("x.*", F.round(F.try_divide(F.col("x.missing") * 100.0, F.col("_n")), 4).alias("pct"))
 
 
+def missing_only(df: DataFrame) -> DataFrame:
+    """missing_by_column of the columns that miss something."""
+    return missing_by_column(df).where(F.col("missing") > 0)
+
+
 def pearson(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    one = df.agg(*[F.round(F.corr(c, target), 6).alias(c) for c in columns])
+    """(feature, correlation) of columns with a target; null for a column or target without variance."""
+    corr = lambda c: F.try_divide(F.covar_pop(c, target), F.stddev_pop(c) * F.stddev_pop(F.when(F.col(c).isNotNull(), F.col(target))))
+    one = df.agg(*[F.round(corr(c), 6).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in columns])).alias("x")).select("x.*")
 
 
@@ -48,3 +77,57 @@ def pooled_t(df: DataFrame, value: str, flag: Column) -> DataFrame:
     pick = lambda f, c: f(F.when(c, F.col(value)))
     one = df.agg(*[f.alias(n) for n, f in {"na": pick(F.count, flag), "nb": pick(F.count, ~flag), "ma": pick(F.avg, flag), "mb": pick(F.avg, ~flag), "va": pick(F.var_samp, flag), "vb": pick(F.var_samp, ~flag)}.items()])
     return one.selectExpr("round(ma, 4) as mean_a", "round(mb, 4) as mean_b", "round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1D / na + 1D / nb)), 4) as t")
+
+
+def two_sided_p(t: float, freedom: float) -> float:
+    """The chance of a t statistic at least that far from 0: the regularized incomplete beta function, by its continued fraction."""
+    import math
+
+    if not math.isfinite(t) or freedom <= 0:
+        return float("nan")
+    a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(max(x, 1e-300)) + b * math.log(max(1 - x, 1e-300))) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    whole = d
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + term * d or tiny)
+            c = 1 + term / c or tiny
+            whole *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return 1 - front * whole if swap else front * whole
+
+
+def t_test(df: DataFrame, value: str, flag: Column) -> DataFrame:
+    """pooled_t with freedom and the two-sided p value of its one row."""
+    rows = df.select(value, flag.alias("_f"))
+    one = pooled_t(rows, value, F.col("_f")).crossJoin(F.broadcast(rows.where(F.col("_f").isNotNull() & F.col(value).isNotNull()).agg((F.count("*") - 2).alias("freedom"))))
+    r = one.first()
+    p = two_sided_p(r["t"], r["freedom"]) if r["t"] is not None else None
+    return one.withColumn("p_value", F.round(F.lit(p).cast("double"), 6))
+
+
+def token_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> DataFrame:
+    """(left_key, right_key, similarity): pairs of texts whose sets of words have a Jaccard similarity of at least ``least``.
+
+    Texts meet at words: a left text is listed at the words of the right table only, and pairs are counted, so a pair
+    costs its common words. A pair needs a share of its words in common, so words held by very many texts may be left to
+    the check at the end: of each right text, its rarest words are looked up, as many as a similar pair cannot do without.
+    """
+    words = lambda df, key: df.select(key, F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words")).where(F.size("words") > 0)
+    x, y = words(left, left_key), words(right, right_key)
+    known = y.select(F.explode("words").alias("word")).distinct()
+    counts = x.select(F.explode("words").alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("c"))
+    ordered = y.select(right_key, F.size("words").alias("n"), F.explode("words").alias("word")).join(counts, "word", "left")
+    listed = ordered.groupBy(right_key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("ws"))  # the words of one text
+    prefix = listed.select(right_key, F.explode(F.slice("ws", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1)).alias("w")).select(right_key, F.col("w.word").alias("word"))
+    pairs = x.select(left_key, F.explode("words").alias("word")).join(prefix, "word").select(left_key, right_key).distinct()
+    both = pairs.join(x.withColumnRenamed("words", "a"), left_key).join(y.withColumnRenamed("words", "b"), right_key)
+    common = F.size(F.array_intersect("a", "b"))
+    share = common / (F.size("a") + F.size("b") - common)
+    return both.select(left_key, right_key, share.alias("s")).where(F.col("s") >= least).select(left_key, right_key, F.round("s", 6).alias("similarity"))

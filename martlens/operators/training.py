@@ -11,11 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import review_features
+from ..functions.text import rating_features, review_features, sentiment
 
 #: Numeric inputs of every model: the features of the text, and those of the rating.
 TEXT_FEATURES = ["text_length", "word_count", "avg_word_length", "exclamation_count", "question_count", "capital_ratio", "digit_count", "unique_word_ratio", "sentence_count", "is_very_short", "is_very_long"]
-FEATURES = [*TEXT_FEATURES, "rating", "is_extreme_rating"]
+FEATURES = [*TEXT_FEATURES, "sentiment_polarity", "sentiment_subjectivity", "rating", "is_extreme_rating"]
 
 #: Estimators by name, given the number of training rows. The penalty of the regression is 1 over that number, on
 #: standardized features; a forest's trees end at 15 levels, so that a level's statistics stay bounded.
@@ -27,9 +27,8 @@ ESTIMATORS: dict[str, Callable[[int], Estimator]] = {
 
 
 def with_features(rows: DataFrame, text: str = "text", rating: str = "rating") -> DataFrame:
-    """Rows with the columns of FEATURES; a null text counts as empty, a null rating as 0."""
-    rows = rows.withColumns(review_features(F.col(text)))
-    return rows.withColumn("rating", F.coalesce(F.col(rating), F.lit(0))).withColumn("is_extreme_rating", F.col("rating").isin(1, 5).cast("int"))
+    """Rows with the columns of FEATURES; a null text counts as empty, a null rating as 3."""
+    return rows.withColumns(review_features(F.col(text)) | sentiment(F.col(text)) | rating_features(F.col(rating)))
 
 
 def fit(rows: DataFrame, kind: str, label: str) -> PipelineModel:
@@ -49,3 +48,31 @@ def importances(model: PipelineModel, spark) -> DataFrame:
     """(feature, importance) of a tree model: one row for each of FEATURES, summing to 1."""
     found = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(x)) for f, x in zip(FEATURES, found)], "feature string, importance double")
+
+
+def present(rows: DataFrame, names: list[str] = FEATURES) -> list[str]:
+    """Those of the features that the table has, in their order."""
+    return [n for n in names if n in rows.columns]
+
+
+def scores_or_zero(model: PipelineModel | None, rows: DataFrame, name: str = "xgboost_score") -> DataFrame:
+    """Rows with the probability of label 1, zeros if there is no model; a missing feature counts as 0."""
+    if model is None:
+        return rows.withColumn(name, F.lit(0.0))
+    scored = predict(model, rows.fillna(0, present(rows)))
+    return scored.withColumnRenamed("score", name).drop("predicted")
+
+
+def load_first(spark, paths: list[str]) -> PipelineModel | None:
+    """The model in the first of the folders that exists; None if none does."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return PipelineModel.load(path)
+    return None
+
+
+def save(model: PipelineModel, measured: DataFrame, folder: str) -> None:
+    """A model and the table of its metrics under a folder."""
+    model.write().overwrite().save(f"{folder}/model")
+    measured.write.mode("overwrite").parquet(f"{folder}/metrics")

@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, prices, text
 from ..operators import catalog, export, lifecycle, matching, monitoring, reviews, stats, training
+from ..operators.ranks import quantiles, with_quantiles
 from ..sources import pages
 from ..sources.tables import OFFERS_SQL, REVIEWS_SQL, RUNS_SQL, SCORES_SQL, TITLES_SQL, VERSIONS_SQL, offers, scores, table, titles, versions
 from ..sources.tables import reviews as review_rows
 from ..sources.tables import runs as run_rows
 from ..streaming.events import tumbling
+from .registry import ORACLE_SQL, QUERIES, query, quoted
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-_q = lambda s: "'" + s.replace("'", "''") + "'"
+_q = quoted
 _TIES = ["product_url", "row_a", "row_b", "row_c", "price_value"]
 _LATEST_SQL = f"{OFFERS_SQL}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY scraped_at DESC, row_a, row_b, row_c, price_value) AS i FROM offers) WHERE i = 1)"
 _EUR = "price_value * CASE WHEN currency = 'TND' THEN 0.304 ELSE 1.0 END"
@@ -171,7 +157,13 @@ def product_id_and_blocked(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.product_id_from_url(F.col("url")).alias("product_id"), text.is_blocked(F.col("html")).alias("blocked"))
 
 
-@query()
+_HTML = "regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')"
+
+
+@query(
+    f"SELECT page_id, coalesce({_ID}, substr(md5(url), 1, 8)) AS product_id, coalesce({' OR '.join(f'contains(lower(html), {_q(w)})' for w in fixed.BLOCK_INDICATORS)}, false) AS blocked, trim(regexp_extract({_HTML}, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, "
+    f"CAST(len(regexp_extract_all({_HTML}, '(?i)<a\\s[^>]*href=')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all({_HTML}, '(?i)<p[\\s>]')) AS BIGINT) AS n_paragraphs FROM pages"
+)
 def page_records(spark, sf):
     return pages.page_records(table(spark, sf, "pages"))
 
@@ -202,7 +194,9 @@ def top_brands(spark, sf):
 @query(f"WITH {OFFERS_SQL} SELECT country, count(*) AS n, round(avg(price_value), 4) AS mean, round(median(price_value), 4) AS med, min(price_value) AS lo, max(price_value) AS hi, round(stddev_samp(price_value), 4) AS std FROM offers GROUP BY 1")
 def price_stats_by_market(spark, sf):
     p = "price_value"
-    return offers(spark, sf).groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.median(p), 4).alias("med"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.round(F.stddev_samp(p), 4).alias("std"))
+    rows = offers(spark, sf)
+    out = rows.groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.round(F.stddev_samp(p), 4).alias("std"))
+    return with_quantiles(out, quantiles(rows, p, (0.5,), ["country"]), ["country"]).withColumn("med", F.round("q0", 4)).drop("q0")
 
 
 _DOCS = "(SELECT doc_id, text, lang, quality FROM documents LEFT JOIN labels USING (doc_id))"
@@ -267,7 +261,7 @@ def currency_convert(spark, sf):
     f"WITH {_SIDES_SQL}, m AS (SELECT category, avg(CASE WHEN country = 'Tunisia' THEN eur END) AS home, avg(CASE WHEN country = 'France' THEN eur END) AS abroad FROM sides GROUP BY 1) "
     "SELECT category, round(home, 4) AS home_eur, round(abroad, 4) AS abroad_eur, round(home - abroad, 2) AS price_diff_eur, round((home - abroad) / abroad * 100, 2) AS price_diff_pct, CASE WHEN home - abroad > 0 THEN 'France' ELSE 'Tunisia' END AS cheaper_country, round(abs(home - abroad), 2) AS savings_eur FROM m"
 )
-def price_comparison(spark, sf):
+def price_by_category(spark, sf):
     side = lambda c: F.avg(F.when(F.col("country") == c, F.col("eur")))
     rows = _eur(offers(spark, sf)).groupBy("category").agg(side("Tunisia").alias("home"), side("France").alias("abroad"))
     return rows.select("category", F.round("home", 4).alias("home_eur"), F.round("abroad", 4).alias("abroad_eur"), *[c.alias(k) for k, c in prices.comparison(F.col("home"), F.col("abroad")).items()])
@@ -287,7 +281,9 @@ def _pairs(spark, sf) -> DataFrame:
 
 @query(f"WITH {_PAIRS_SQL} SELECT category, count(*) AS n, round(avg(pct), 2) AS mean, round(median(pct), 2) AS med, round(min(pct), 2) AS lo, round(max(pct), 2) AS hi, count(CASE WHEN diff > 0 THEN 1 END) AS abroad_cheaper FROM pairs GROUP BY 1")
 def diff_by_category(spark, sf):
-    return _pairs(spark, sf).groupBy("category").agg(F.count("*").alias("n"), *[F.round(f("pct"), 2).alias(a) for a, f in (("mean", F.avg), ("med", F.median), ("lo", F.min), ("hi", F.max))], F.count_if(F.col("diff") > 0).alias("abroad_cheaper"))
+    rows = _pairs(spark, sf)
+    out = rows.groupBy("category").agg(F.count("*").alias("n"), *[F.round(f("pct"), 2).alias(a) for a, f in (("mean", F.avg), ("lo", F.min), ("hi", F.max))], F.count_if(F.col("diff") > 0).alias("abroad_cheaper"))
+    return with_quantiles(out, quantiles(rows, "pct", (0.5,), ["category"]), ["category"]).withColumn("med", F.round("q0", 2)).drop("q0")
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT part_key, substr(product_name, 1, 40) AS product_name, round(abs(diff), 4) AS savings_eur FROM pairs ORDER BY abs(diff) DESC, part_key LIMIT 10")
@@ -310,13 +306,13 @@ def match_exact_signature(spark, sf):
 
 
 @query(f"WITH {_EXACT_SQL} SELECT left_id FROM l WHERE left_id NOT IN (SELECT left_id FROM e)")
-def unmatched_left(spark, sf):
+def exact_unmatched_left(spark, sf):
     left = _market(spark, sf, "Tunisia", "left_id")
     return matching.unmatched(left, matching.exact_matches(left, _market(spark, sf, "France", "right_id")), "left_id").select("left_id")
 
 
 @query(f"WITH {_EXACT_SQL} SELECT right_id FROM r WHERE right_id NOT IN (SELECT right_id FROM e)")
-def unmatched_right(spark, sf):
+def exact_unmatched_right(spark, sf):
     right = _market(spark, sf, "France", "right_id")
     return matching.unmatched(right, matching.exact_matches(_market(spark, sf, "Tunisia", "left_id"), right), "right_id").select("right_id")
 
@@ -326,22 +322,51 @@ def match_specs(spark, sf):
     return matching.specs_matches(_market(spark, sf, "Tunisia", "left_id"), _market(spark, sf, "France", "right_id"))
 
 
-@query()
+_SORTED = lambda c: f"array_to_string(list_sort(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' ')), ' ')"
+
+
+def fuzzy_sql(left: str, right: str, name: str, accept: int = matching.ACCEPT) -> str:
+    """CTEs ending in ``best`` (tokens, right_id, score): for each distinct name of ``left`` its best of ``right``, by a
+    longest common subsequence whose state is one wide integer (names of up to 120 characters)."""
+    return f"""fl AS (SELECT DISTINCT {_SORTED(name)} AS a FROM {left}), fr AS (SELECT {_SORTED(name)} AS b, min(right_id) AS right_id FROM {right} GROUP BY 1),
+ chars AS (SELECT a, unnest(string_split(a, '')) AS c, generate_subscripts(string_split(a, ''), 1) AS i FROM fl WHERE a <> ''),
+ bits AS (SELECT a, c, sum(1::HUGEINT << CAST(i - 1 AS HUGEINT))::HUGEINT AS bit FROM chars GROUP BY ALL),
+ masks AS (SELECT a, map(list(c), list(bit)) AS m, (1::HUGEINT << CAST(length(a) AS HUGEINT)) - 1 AS whole FROM bits GROUP BY a),
+ states AS (SELECT a, b, right_id, list_reduce(list_prepend(whole, list_transform(string_split(b, ''), lambda c: coalesce(m[c], 0::HUGEINT))), lambda r, u: ((r + (r & u)) | (r - (r & u))) & whole) AS state
+ FROM masks, fr WHERE b <> '' AND least(length(a), length(b)) >= {(accept - 0.5) / 200} * (length(a) + length(b))),
+ scored AS (SELECT a, right_id, CAST(round_even(200.0 * (length(a) - bit_count(state)) / (length(a) + length(b)), 0) AS INTEGER) AS score FROM states),
+ best AS (SELECT a AS tokens, arg_min(right_id, (-score, right_id)) AS right_id, max(score) AS score FROM scored WHERE score >= {accept} GROUP BY a)"""
+
+
+_FUZZY_SQL = f"{_EXACT_SQL}, {fuzzy_sql('l', 'r', 'name')}"
+
+
+@query(f"WITH {_FUZZY_SQL} SELECT left_id, best.right_id, score FROM l JOIN best ON tokens = {_SORTED('name')}")
 def match_fuzzy(spark, sf):
     return matching.fuzzy_matches(_market(spark, sf, "Tunisia", "left_id"), _market(spark, sf, "France", "right_id"))
 
 
-@query()
+_PARTS_SPECS_SQL = "sp AS (SELECT left_id, min(r.right_id) AS right_id, 100.0::DOUBLE AS score FROM l JOIN r USING (brand, category) WHERE left_id NOT IN (SELECT left_id FROM e) GROUP BY 1)"
+
+
+def cascade_sql(exact: str, fuzzy: str, specs: str) -> str:
+    """The pick of a cascade from tables (left_id, right_id, score) of its levels; ``fuzzy`` and ``specs`` may hold more left rows than are open."""
+    return f"""tried AS (SELECT left_id, right_id, CAST(score AS DOUBLE) AS score, 'exact' AS method FROM {exact} UNION ALL SELECT left_id, right_id, CAST(score AS DOUBLE), 'fuzzy' FROM {fuzzy} WHERE left_id NOT IN (SELECT left_id FROM {exact})
+ UNION ALL SELECT left_id, right_id, score, 'specs' FROM {specs} WHERE left_id NOT IN (SELECT left_id FROM {exact}) AND left_id NOT IN (SELECT left_id FROM {fuzzy} WHERE score >= 85)),
+ picked AS (SELECT *, CASE WHEN score >= 85 THEN 'high' ELSE 'medium' END AS confidence FROM tried WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, method, right_id) = 1)"""
+
+
+@query(f"WITH {_FUZZY_SQL}, fz AS (SELECT left_id, best.right_id, score FROM l JOIN best ON tokens = {_SORTED('name')}), {_PARTS_SPECS_SQL}, {cascade_sql('e', 'fz', 'sp')} SELECT left_id, right_id, score, method, confidence FROM picked")
 def match_cascade(spark, sf):
     return matching.match_cascade(_market(spark, sf, "Tunisia", "left_id"), _market(spark, sf, "France", "right_id"))
 
 
 @query(f"WITH {_EXACT_SQL} SELECT (SELECT count(*) FROM l) AS products, count(*) AS matches, round(count(*) * 100.0 / (SELECT count(*) FROM l), 4) AS match_rate, count(CASE WHEN score >= 85 THEN 1 END) AS high, count(CASE WHEN score >= 70 AND score < 85 THEN 1 END) AS medium FROM e")
-def match_tiers_and_rate(spark, sf):
+def exact_tiers_and_rate(spark, sf):
     left = _market(spark, sf, "Tunisia", "left_id")
     found = matching.exact_matches(left, _market(spark, sf, "France", "right_id"))
     tiers = found.agg(F.count("*").alias("matches"), F.count_if(matching.confidence(F.col("score")) == "high").alias("high"), F.count_if(matching.confidence(F.col("score")) == "medium").alias("medium"))
-    return left.agg(F.count("*").alias("products")).crossJoin(tiers).select("products", "matches", F.round(F.col("matches") * 100.0 / F.col("products"), 4).alias("match_rate"), "high", "medium")
+    return left.agg(F.count("*").alias("products")).crossJoin(F.broadcast(tiers)).select("products", "matches", F.round(F.col("matches") * 100.0 / F.col("products"), 4).alias("match_rate"), "high", "medium")
 
 
 @query("WITH w AS (SELECT p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(p_type || ' ' || p_name), ' '), lambda x: x <> '')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS similarity FROM w")
@@ -370,7 +395,7 @@ _COUNT = lambda p: f"CAST(len(regexp_extract_all(t, {_q(p)})) AS BIGINT)"  # noq
  round(len(list_distinct(alpha)) / CAST(greatest(len(alpha), 1) AS DOUBLE), 6) AS unique_word_ratio, greatest({_COUNT('[.!?]')}, 1) AS sentence_count, CAST(n < 20 AS INTEGER) AS is_very_short, CAST(n > 150 AS INTEGER) AS is_very_long FROM a"""
 )
 def text_features(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in text.review_features(F.col("text")).items()])
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in text.review_features(F.col("text"), ascii_only=True).items()])
 
 
 @query("SELECT doc_id, CASE WHEN length(replace(coalesce(text, ''), ' ', '')) = 0 THEN 'unknown' WHEN len(regexp_extract_all(text, '[\\x{0600}-\\x{06FF}]')) / length(replace(text, ' ', '')) > 0.3 THEN 'ar' WHEN " + " + ".join(f"CAST(contains(lower(text), {_q(w)}) AS INTEGER)" for w in fixed.FRENCH_WORDS) + " > 2 THEN 'fr' ELSE 'en' END AS detected FROM documents")
@@ -571,3 +596,6 @@ def error_classification(spark, sf):
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, sf):
     return tumbling(table(spark, sf, "events"))
+
+
+from . import markets, operations, scoring  # noqa: E402, F401

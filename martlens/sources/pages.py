@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blocked, product_id_from_url
+from ..functions import prices
+from ..functions.text import absolute_url, is_blocked, is_missing_page, product_id_from_url
 
 
 def page_url(base: Column, page: Column, style: str) -> Column:
@@ -34,3 +35,75 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.regexp_count(html, F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("n_links"),
         F.regexp_count(html, F.lit(r"(?i)<p[\s>]")).cast("long").alias("n_paragraphs"),
     )
+
+
+#: What opens an item on a shop's result pages, in the order in which they are tried.
+ITEM_OPENINGS = [r"<article\b", r'<li\b[^>]*class="[^"]*\bproduct-item\b', r'<div\b[^>]*class="[^"]*\bproduct-container\b']
+
+
+def items(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, i, item): the items of each page, by the first kind of opening that the page has; pages without any have none."""
+    padded = F.concat(F.lit(" "), F.col(html))  # so that what comes first is no item
+    kinds = [F.slice(F.split(padded, f"(?i)(?={p})"), F.lit(2), F.lit(2**31 - 1)) for p in ITEM_OPENINGS]
+    found = F.coalesce(*[F.when(F.size(k) > 0, k) for k in kinds], F.array().cast("array<string>"))
+    return pages.select(key, F.posexplode(found).alias("i", "item"))
+
+
+def _inner(item: Column, name: str) -> Column:
+    """The text of the first element with that class; null if there is none or it is empty."""
+    found = F.regexp_extract(item, rf'(?is)<[a-z0-9]+\b[^>]*class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</', 1)
+    return F.nullif(F.trim(F.regexp_replace(found, r"<[^>]*>", "")), F.lit(""))
+
+
+def _attribute(item: Column, tag: str, name: str) -> Column:
+    return F.nullif(F.regexp_extract(item, rf'(?is)<{tag}(?=[\s>])[^>]*?\s{name}="([^"]*)"', 1), F.lit(""))
+
+
+def shop_records(found: DataFrame, base: str, shop: str, millimes: bool = True) -> DataFrame:
+    """Items as product records: id, title, price, regular_price, discount_percent, brand, sku, url, image, description,
+    in_stock. Items without a title are none."""
+    item = F.col("item")
+    price = (lambda c: prices.millimes_price(c)) if millimes else (lambda c: prices.scraped_price(c))
+    url = F.coalesce(_attribute(item, "a", "href"), F.lit(""))
+    rows = found.withColumns(
+        {
+            "title": F.nullif(F.trim(F.regexp_extract(item, r"(?is)<a\b[^>]*>(.*?)</a>", 1)), F.lit("")),
+            "price": price(_inner(item, "final-price")),
+            "regular_price": price(_inner(item, "original-price")),
+            "brand": _attribute(item, 'img class="brand"', "alt"),
+            "sku": _inner(item, "sku"),
+            "url": absolute_url(url, base),
+            "image": F.coalesce(_attribute(item, 'img class="photo"', "data-src"), _attribute(item, 'img class="photo"', "src")),
+            "description": _inner(item, "search-short-description"),
+            "in_stock": prices.in_stock(_inner(item, "stock"), shop),
+        }
+    ).where("title is not null")
+    rows = rows.withColumn("discount_percent", F.coalesce(prices.discount_percent(F.col("regular_price"), F.col("price")), F.lit(0.0)))
+    return rows.withColumn("id", F.coalesce(_attribute(item, "[a-z]+", "data-product-id"), product_id_from_url(F.col("url")))).drop("item")
+
+
+def discounts(records: DataFrame) -> DataFrame:
+    """One row: items, in and out of stock, how many are discounted and by how much on average."""
+    on = F.col("discount_percent") > 0
+    return records.agg(F.count("*").alias("items"), F.count_if("in_stock").alias("in_stock"), F.count_if(~F.col("in_stock")).alias("out_of_stock"), F.count_if(on).alias("discounted"), F.round(F.avg(F.when(on, F.col("discount_percent"))), 1).alias("avg_discount"))
+
+
+def category_urls(asked: DataFrame, categories: DataFrame) -> DataFrame:
+    """Asked (key) with the url of each category (key, url), a short list; unknown keys have no row."""
+    return asked.join(F.broadcast(categories), "key")
+
+
+def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (url) with ``allowed``: the first rule of the host, by ``place``, whose path begins the url's path decides; without
+    one it is allowed. rules has (host, place, path, allow)."""
+    host, path = F.parse_url("url", F.lit("HOST")), F.coalesce(F.nullif(F.parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
+    rows = urls.select("url").distinct().withColumns({"host": host, "path": path})
+    hit = rows.join(rules.select("host", "place", F.col("path").alias("rule"), "allow"), "host").where(F.startswith("path", "rule") & (F.col("rule") != ""))
+    first = hit.groupBy("url").agg(F.min_by("allow", "place").alias("allow"))
+    return urls.join(first, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+
+
+def page_status(pages: DataFrame) -> DataFrame:
+    """(page_id, status): blocked, missing or read."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", F.when(is_blocked(html), "blocked").when(is_missing_page(html), "missing").otherwise("read").alias("status"))

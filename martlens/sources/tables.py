@@ -59,6 +59,68 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES_SQL = "titles AS (SELECT p_partkey, p_name || ' ' || [" + ", ".join("'" + s.replace("'", "''") + "'" for s in TITLE_SPECS) + f"][p_partkey % {len(TITLE_SPECS)} + 1] AS title FROM part)"
 
 
+#: Brands that shops state, by length of a product's name.
+SHOP_BRANDS = ["HP", "Dell", "Lenovo", "Asus", "Acer", "MSI", "Samsung", "Logitech"]
+
+
+def shop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two shops write about each line item's product, one row for each: titles that differ by market, prices as
+    text, stock remarks. Columns are named as shops do."""
+    t = lambda name: table(spark, sf_dir, name)
+    places = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("l_suppkey"), (F.col("r_name") == "EUROPE").alias("abroad"))
+    s, long = F.pmod("p_partkey", F.lit(len(TITLE_SPECS))).cast("int"), F.length("p_name")
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
+    brand, spec = pick(SHOP_BRANDS, long % len(SHOP_BRANDS)), pick(TITLE_SPECS, s)
+    code = F.translate(F.md5(F.concat("p_name", F.lit(":"), s.cast("string"))), "0123456789", "ghijklmnop")
+    home, away = (long * 5 + s * 3) % 7, (long * 7 + s * 3) % 5
+    parts = t("part").select(
+        F.col("p_partkey").alias("l_partkey"),
+        brand.alias("brand"),
+        F.when(home == 0, F.concat_ws(" ", brand, code, spec)).when(home == 1, code).otherwise(F.concat_ws(" ", brand, "p_name", spec)).alias("title"),
+        F.when(away == 0, F.concat_ws(" ", brand, "p_name", spec))
+        .when(away == 1, F.concat_ws(" ", spec, brand, "p_name"))
+        .when(away == 2, F.concat_ws(" ", brand, "p_name", F.lit("édition spéciale neuf"), spec))
+        .when(away == 3, F.concat_ws(" ", brand, F.lit("reconditionné grade A garantie deux ans"), spec))
+        .otherwise(F.concat(F.lit("Accessoire "), F.reverse("p_name")))
+        .alias("name"),
+        F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit("img/"), "p_partkey", F.lit(".jpg"))).alias("image"),
+        pick(["En stock", "Épuisé", "Disponible", "Sur commande"], (F.col("p_partkey") % 4).cast("int")).alias("availability"),
+    )
+    cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100)
+    whole, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    grouped = F.when(whole >= 1000, F.concat(F.floor(whole / 1000).cast("string"), F.lit("."), F.lpad((whole % 1000).cast("string"), 3, "0"))).otherwise(whole.cast("string"))
+    return (
+        t("lineitem")
+        .join(parts, "l_partkey")
+        .join(places, "l_suppkey")
+        .select(
+            (F.col("l_suppkey") * 100_000_000 + F.col("l_partkey")).alias("url_key"),
+            "abroad",
+            F.concat(F.lit("https://s"), "l_suppkey", F.lit("/p/"), "l_partkey").alias("link"),
+            "title",
+            "name",
+            F.concat(grouped, F.lit(","), rest, F.lit(" DT")).alias("prix"),
+            F.concat(whole.cast("string"), F.lit(","), rest, F.lit(" €")).alias("price"),
+            F.col("brand"),
+            "image",
+            "availability",
+            F.col("l_shipdate").alias("scraped_at"),
+            F.col("l_orderkey").alias("row_a"),
+            F.col("l_linenumber").alias("row_b"),
+        )
+    )
+
+
+_SPEC_LIST, _BRAND_LIST = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (TITLE_SPECS, SHOP_BRANDS))
+SHOP_ROWS_SQL = f"""named AS (SELECT p_partkey, p_name, {_BRAND_LIST}[length(p_name) % {len(SHOP_BRANDS)} + 1] AS brand, {_SPEC_LIST}[p_partkey % {len(TITLE_SPECS)} + 1] AS spec,
+ translate(md5(p_name || ':' || p_partkey % {len(TITLE_SPECS)}), '0123456789', 'ghijklmnop') AS code, (length(p_name) * 5 + p_partkey % {len(TITLE_SPECS)} * 3) % 7 AS home, (length(p_name) * 7 + p_partkey % {len(TITLE_SPECS)} * 3) % 5 AS away FROM part),
+ shop_parts AS (SELECT p_partkey, brand, CASE home WHEN 0 THEN brand || ' ' || code || ' ' || spec WHEN 1 THEN code ELSE brand || ' ' || p_name || ' ' || spec END AS title,
+ CASE away WHEN 0 THEN brand || ' ' || p_name || ' ' || spec WHEN 1 THEN spec || ' ' || brand || ' ' || p_name WHEN 2 THEN brand || ' ' || p_name || ' édition spéciale neuf ' || spec WHEN 3 THEN brand || ' reconditionné grade A garantie deux ans ' || spec ELSE 'Accessoire ' || reverse(p_name) END AS name,
+ CASE WHEN p_partkey % 9 <> 0 THEN 'img/' || p_partkey || '.jpg' END AS image, ['En stock', 'Épuisé', 'Disponible', 'Sur commande'][p_partkey % 4 + 1] AS availability FROM named),
+ shop_rows AS (SELECT l_suppkey * 100000000 + l_partkey AS url_key, r_name = 'EUROPE' AS abroad, 'https://s' || l_suppkey || '/p/' || l_partkey AS link, title, name, floor(l_extendedprice / l_quantity * 100) / 100 AS amount, brand, image, availability, l_shipdate AS scraped_at, l_orderkey AS row_a, l_linenumber AS row_b
+ FROM lineitem JOIN shop_parts ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, language, is_fake, rating): labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
