@@ -34,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -19,8 +19,8 @@ from .shingles import slices
 
 #: State size of each direction, bytes of a window, windows run together.
 HIDDEN, WINDOW, BATCH = 8, 96, 2048
-#: Bounds of the training sample: labelled texts for each language, languages, and windows of a text.
-SAMPLE_TEXTS, MOST_LANGUAGES, SAMPLE_WINDOWS = 400, 200, 6
+#: Bounds of the training sample: labelled texts for each language, over all languages, and windows of a text.
+SAMPLE_TEXTS, SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 80_000, 6
 #: Share of a language's labelled texts that may fall under its least score.
 LOST_SHARE = 0.005
 _LETTER = re.compile(r"[^\W\d_]")
@@ -153,30 +153,34 @@ class ByteGru:
             yield first, last, total / n[:, None]
 
 
-def sample_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """(doc_id, lang) of the labelled texts with the smallest hashes of doc_id, up to ``texts`` for each language."""
+def sample_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, lang) of the labelled texts with the smallest hashes of doc_id, up to ``texts`` for each language.
+
+    Over all languages they are at most ``rows``: those that come first in their languages, so that none is left out for
+    its name.
+    """
     from pyspark.sql import Window
 
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    found = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
     # first within salted parts of a language, so that no task gets what all tasks have kept of one
     for part in ([F.col("lang"), F.pmod("h", F.lit(64))], [F.col("lang")]):
         order = Window.partitionBy(*part).orderBy("h", "doc_id")
-        rows = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= texts).drop("i")
-    return rows.select("doc_id", "lang")
+        found = found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= texts)
+    return found.orderBy("i", "h", "doc_id", "lang").limit(rows).select("doc_id", "lang")
 
 
-def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, index of each window's language) from docs (doc_id, text, lang): windows spread over each whole
-    text of the sample."""
-    chosen = sample_texts(docs, texts)
+    text of the sample. Of rows that repeat an id and language the least list of windows counts."""
+    chosen = sample_texts(docs, texts, rows)
     n = F.octet_length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.lit(0), n - WINDOW) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
-    # at most texts * languages rows of bounded size
-    found = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.array_distinct(spread).alias("w")).limit(texts * languages * 2).collect()
+    # one row for each of the sample, at most ``rows`` of bounded size
+    found = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.array_distinct(spread).alias("w")).groupBy("doc_id", "lang").agg(F.min("w").alias("w")).select("lang", "w").collect()
     found.sort(key=lambda r: (r[0], r[1]))
-    labels = sorted({r[0] for r in found})[:languages]
+    labels = sorted({r[0] for r in found})
     index = {name: i for i, name in enumerate(labels)}
-    pieces = [(bytes(w).ljust(WINDOW, b"\n"), index[r[0]]) for r in found if r[0] in index for w in r[1] if len(w)]
+    pieces = [(bytes(w).ljust(WINDOW, b"\n"), index[r[0]]) for r in found for w in r[1] if len(w)]
     windows = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8).reshape(-1, WINDOW)
     return labels, windows, np.array([i for _, i in pieces], np.int64)
 

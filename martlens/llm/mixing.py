@@ -154,14 +154,17 @@ def take_mix(rows: DataFrame, plan: DataFrame, edge: DataFrame, bounded: bool, m
 def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     """Rows of docs taken into the mix, with their columns and _tokens (words of the text), _epoch and _take.
 
-    docs has doc_id, text and the level columns. _take is how many leading words count: all, but for the one document of
+    docs has doc_id, text and the level columns; its columns of the names that are added are replaced, all others come
+    back as they are, whatever their names. _take is how many leading words count: all, but for the one document of
     a leaf at which its budget ends. A document may be taken in several epochs, in each as a row of its own. Texts
     without words (null, empty, blank) are never taken. A null level value is a child like any other. Rows that repeat
     are documents of their own; their order among each other is not defined. An empty table gives an empty mix.
     """
-    rows = docs.withColumn("_tokens", word_count(F.col("text")))
+    kept = [c for c in docs.columns if c not in ("_tokens", "_epoch", "_take")]
+    # the table's own columns go through as one struct, so that none meets a name used in between
+    rows = docs.select("doc_id", *mix.levels, word_count(F.col("text")).alias("_tokens"), F.struct(*kept).alias("_row"))
     plan, edge, bounded = plan_mix(cut(rows.select("doc_id", *mix.levels, "_tokens")), mix)
-    return take_mix(rows, plan, edge, bounded, mix)
+    return take_mix(rows, plan, edge, bounded, mix).select(*[F.col("_row").getField(c).alias(c) for c in kept], "_tokens", "_epoch", "_take")
 
 
 def mix_table(docs: DataFrame, mix: Mix) -> DataFrame:

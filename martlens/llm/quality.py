@@ -186,8 +186,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_R
             x = pooled_features(batch.column("text"), held.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    # at most rows labels, and so of features
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary").limit(2 * rows).collect()
+    # one row of features for each label, so at most ``rows``; of rows that repeat an id the least features count
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, quality int, x binary")
+    sample = known.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
     sample.sort(key=lambda r: (r[0], bytes(r[2])))
     if not sample:
         return None

@@ -17,7 +17,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+#: What closes a tag counts outside string literals only.
+_INSIDE = r"((?:'(?:[^'\\]|\\.)*'|[^'])*?)"
+_TAG = re.compile(rf"\{{\{{{_INSIDE}\}}\}}|\{{%{_INSIDE}%\}}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|([A-Za-z_]\w*)|'((?:[^'\\]|\\.)*)'|(==|!=|[|.\[\]()+]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'"}
 
@@ -150,15 +152,17 @@ def parse(source: str) -> list[tuple]:
             stack.append(("if", arms[0][1], arms))
         elif word in ("elif", "else") and top[0] == "if":
             top[2].append((_Expression(rest).whole() if word == "elif" else ("const", True), []))
-            stack[-1] = ("if", top[2][-1][1], top[2])
+            stack[-1] = ("if" if word == "elif" else "if else", top[2][-1][1], top[2])
         elif word == "set":
             name, _, what = rest.partition("=")
+            if not name.strip().isidentifier():
+                raise TemplateError("set needs a name")
             top[1].append(("set", name.strip(), _Expression(what).whole()))
         elif word == "generation":
             node = ("generation", [])
             top[1].append(node)
             stack.append(("generation", node[1], None))
-        elif word in ("endfor", "endif", "endgeneration") and top[0] == word[3:]:
+        elif word in ("endfor", "endif", "endgeneration") and top[0].split()[:1] == [word[3:]]:
             stack.pop()
         else:
             raise TemplateError(f"unexpected {word!r}")
