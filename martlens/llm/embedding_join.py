@@ -272,3 +272,18 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.93) -> DataFra
     every = rows.select("vec_id", "label", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(reps, ["label", "digest"], "left")
     component = F.coalesce("root", "vec_id")
     return every.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def embedding_components_sql(vectors: str, threshold: float) -> str:
+    """DuckDB SQL for embedding_components over a small table with distinct ids: every pair of a label is compared."""
+    return f"""
+WITH RECURSIVE given AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {vectors}),
+scaled AS (SELECT vec_id, label, list_transform(e, lambda x: abs(x)) AS sizes, e FROM given WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+tops AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_max(sizes)) AS e FROM scaled WHERE list_max(sizes) > 0),
+units AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM tops),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM units x JOIN units y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.u) = len(y.u) WHERE list_inner_product(x.u, y.u) >= {threshold}),
+reach(id, other) AS (SELECT vec_id, vec_id FROM {vectors} UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a),
+roots AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept FROM {vectors} JOIN roots ON id = vec_id LEFT JOIN degrees ON a = vec_id
+"""

@@ -6,7 +6,7 @@ paragraph adds or subtracts its vector, and the fingerprint of two texts put tog
 
 * the number of paragraphs;
 * eight lanes modulo 2^32 from SHA-256, for equality;
-* 120 lanes modulo 2^20 that count how many paragraphs have a 1 at one bit of their MD5. Read as sums of +1 and -1 they
+* 120 lanes modulo 2^30 that count how many paragraphs have a 1 at one bit of their MD5. Read as sums of +1 and -1 they
   are a sketch of the multiset whose inner products estimate those of the multisets, and so how alike two texts are.
 """
 
@@ -17,9 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DENSE, PACKED = 8, 40
-#: Three lanes of 20 bits lie in one long; bits 0, 20 and 40 of a shifted hash are their increments.
-_LANE, _ONES = (1 << 20) - 1, 1 | 1 << 20 | 1 << 40
+DENSE, PACKED = 8, 60
+#: Two lanes of 30 bits lie in one long; bits 0 and 30 of a shifted hash are their increments. No text that fits in a row
+#: has the 2^30 paragraphs that would carry from one lane into the other.
+_BITS = 30
+_LANE, _ONES = (1 << _BITS) - 1, 1 | 1 << _BITS
 SUMS = ["n", *[f"d{i}" for i in range(DENSE)], *[f"s{i}" for i in range(PACKED)]]
 
 
@@ -45,7 +47,7 @@ def paragraph_sums(rows: DataFrame, keys: Sequence[str], column: str) -> DataFra
     each = each.select(*keys, "p", *[_long(F.substring("sha", 8 * i + 1, 8)).alias(f"d{i}") for i in range(DENSE)], *[_long(F.substring("md5", 15 * i + 1, 15)).alias(f"h{i}") for i in range(2)])
     zero = F.lit(0).cast("long")
     sums = [F.count("p").alias("n"), *[F.coalesce(F.sum(f"d{i}"), zero).bitwiseAND(0xFFFFFFFF).alias(f"d{i}") for i in range(DENSE)]]
-    sums += [F.coalesce(F.sum(F.shiftright(f"h{i // 20}", i % 20).bitwiseAND(_ONES)), zero).alias(f"s{i}") for i in range(PACKED)]
+    sums += [F.coalesce(F.sum(F.shiftright(f"h{i // _BITS}", i % _BITS).bitwiseAND(_ONES)), zero).alias(f"s{i}") for i in range(PACKED)]
     return each.groupBy(*keys).agg(*sums)
 
 
@@ -54,10 +56,30 @@ def fingerprint(prefix: str = "") -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.col(prefix + c))), 8 if c[0] in "nd" else 15, "0") for c in SUMS])
 
 
+def combined(a: Column, b: Column, sign: int = 1) -> Column:
+    """The fingerprint of a text with paragraphs inserted (``sign`` 1) or deleted (-1), from its own, a, and theirs, b.
+
+    Lane by lane the sum or difference modulo the lane's power of two, so the order of changes does not count; null if
+    either is null.
+    """
+    widths = [8 if c[0] in "nd" else 15 for c in SUMS]
+    out, at = [], 1
+    for width in widths:
+        x, y = (_long(F.substring(f, at, width)) for f in (a, b))
+        at += width
+        if width == 8:
+            value = (x + y * sign).bitwiseAND(0xFFFFFFFF)
+        else:
+            low, high = ((F.shiftright(x, s).bitwiseAND(_LANE) + F.shiftright(y, s).bitwiseAND(_LANE) * sign).bitwiseAND(_LANE) for s in (0, _BITS))
+            value = low.bitwiseOR(F.shiftleft(high, _BITS))
+        out.append(F.lpad(F.lower(F.hex(value)), width, "0"))
+    return F.concat(*out)
+
+
 def likeness_sql(a: str, b: str) -> str:
     """SQL, in Spark and DuckDB, for the cosine of two sketches, from 0 to 1; texts without paragraphs are like each other only."""
-    value = lambda p, i, j: f"(2 * (({p}s{i} >> {20 * j}) & {_LANE}) - {p}n)"
-    total = lambda p, q: " + ".join(f"{value(p, i, j)} * {value(q, i, j)}" for i in range(PACKED) for j in range(3))
+    value = lambda p, i, j: f"(2 * (({p}s{i} >> {_BITS * j}) & {_LANE}) - {p}n)"
+    total = lambda p, q: " + ".join(f"{value(p, i, j)} * {value(q, i, j)}" for i in range(PACKED) for j in range(2))
     return (
         f"CASE WHEN {' AND '.join(f'{a}{c} = {b}{c}' for c in SUMS)} THEN CAST(1 AS DOUBLE) WHEN {a}n = 0 OR {b}n = 0 THEN CAST(0 AS DOUBLE) "
         f"ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), CAST({total(a, b)} AS DOUBLE) / sqrt(greatest(CAST(1 AS DOUBLE), CAST({total(a, a)} AS DOUBLE) * CAST({total(b, b)} AS DOUBLE))))) END"
@@ -122,7 +144,7 @@ def edited_fingerprints_sql(documents: str) -> str:
     lanes = ", ".join(
         ["CAST(count(p) AS BIGINT) AS n"]
         + [f"CAST(coalesce(sum(CAST('0x' || substr(sha, {8 * i + 1}, 8) AS BIGINT)), 0) AS BIGINT) & 4294967295 AS d{i}" for i in range(DENSE)]
-        + [f"CAST(coalesce(sum((CAST('0x' || substr(m, {15 * (i // 20) + 1}, 15) AS BIGINT) >> {i % 20}) & {_ONES}), 0) AS BIGINT) AS s{i}" for i in range(PACKED)]
+        + [f"CAST(coalesce(sum((CAST('0x' || substr(m, {15 * (i // _BITS) + 1}, 15) AS BIGINT) >> {i % _BITS}) & {_ONES}), 0) AS BIGINT) AS s{i}" for i in range(PACKED)]
     )
     columns = lambda t, p: ", ".join(f"{t}.{c} AS {p}{c}" for c in SUMS)
     return f"""

@@ -354,3 +354,18 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
         .join(found, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
     )
+
+
+def ngram_jaccard_sql(documents: str, k: int, num: int, den: int) -> str:
+    """DuckDB SQL for ngram_jaccard_components over a small table with distinct ids: all pairs with a common shingle are counted."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM {documents}),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < {k} THEN md5(array_to_string(w, ' ')) ELSE md5(array_to_string(w[i:i + {k - 1}], ' ')) END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 2}, 2))) AS i FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE {den} * c >= {num} * (s.n + t.n - c)),
+links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(id, other) AS (SELECT doc_id, doc_id FROM {documents} UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id FROM {documents} d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(other) AS root FROM reach GROUP BY id) r ON r.id = d.doc_id
+"""

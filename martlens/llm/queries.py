@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .chat import conversation_digests
-from .embedding_join import embedding_components
+from .embedding_join import embedding_components, embedding_components_sql
 from .fingerprints import edited_fingerprints, edited_fingerprints_sql
 from .language import identify_languages
 from .mixing import Mix, domain_of, mix_sql, mix_table
-from .ngram_join import ngram_jaccard_components
+from .ngram_join import ngram_jaccard_components, ngram_jaccard_sql
 from .packing import pack_documents
 from .quality import score_quality
 from .sharding import kd_shards
@@ -100,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_jaccard_sql("documents", 4, 85, 100),
     "op2_mixing": mix_sql("documents", MIX, DOMAINS),
+    "op8_embedding_join": embedding_components_sql("embeddings", 0.93),
     "op9_fingerprints": edited_fingerprints_sql("documents"),
 }
