@@ -67,6 +67,14 @@ TITLE_PATTERNS = {
     "storage": [r"(?i)(\d+\s*(?:Go|To|GB|TB))"],
     "screen_size": [r"(\d{2}(?:\.\d)?)[\"']"],
 }
+#: The same of the third shop, whose titles are French; its storage is an amount and a unit.
+LISTED_PATTERNS = {
+    "processor": [r"(?i)(Intel Core i[3579]-\d+\w*)", r"(?i)(AMD Ryzen [579] \d+\w*)", r"(?i)(Core i[3579] \d+\w*)", r"(?i)(i[3579]-\d+\w*)"],
+    "gpu": [r"(?i)(RTX \d{4}\s*\w*)", r"(?i)(GTX \d{4}\s*\w*)", r"(?i)(Radeon \w+)", r"(?i)(GeForce \w+)", r"(?i)(NVIDIA \w+)"],
+    "ram_gb": [r"(?i)(\d+)\s*Go(?:\s+RAM)?"],
+    "storage": [r"(?i)(\d+)\s*(Go|To)(?:\s+SSD)?"],
+    "screen_size": [r"(\d{2}(?:\.\d)?)[\"']"],
+}
 BLOCK_INDICATORS = ["cloudflare", "captcha", "access denied", "blocked", "vous avez été bloqué", "unusual traffic", "bot detected"]
 FRENCH_WORDS = ["le", "la", "les", "de", "du", "des", "un", "une", "très", "est"]
 RATES = {("TND", "EUR"): 0.304, ("EUR", "TND"): 3.29, ("TND", "USD"): 0.32, ("USD", "TND"): 3.12}
@@ -82,7 +90,7 @@ OPINIONS = {
 }
 #: How subjective words of that strength are.
 SUBJECTIVITY = {1.0: 0.9, 0.5: 0.6}
-NOT_FOUND = ["404", "page not found", "page introuvable"]
+NOT_FOUND = ["404 Not Found", "Whoops, our bad"]
 SHOP_BRAND = r"(?i)^(HP|ASUS|Lenovo|Dell|Acer|MSI|Apple|Samsung|Razer)\b"
 #: Review length from which a request is answered, and stages that a model version can be moved to.
 SHORTEST_REQUEST, STAGES = 10, ["Staging", "Production", "Archived"]

@@ -90,8 +90,14 @@ def signature(brand: Column, model: Column, specs: dict[str, Column]) -> Column:
     return F.coalesce(F.nullif(F.substring(F.concat_ws("_", *parts), 1, 100), F.lit("")), F.lit("unknown"))
 
 
-def title_specs(title: Column) -> dict[str, Column]:
-    found = {k: first_match(title, p, 1) for k, p in fixed.TITLE_PATTERNS.items()}
+def title_specs(title: Column, shop: str = "") -> dict[str, Column]:
+    """processor, gpu, ram_gb, storage and screen_size of a shop's titles; ``listed`` is the shop with French titles."""
+    if shop == "listed":
+        found = {k: first_match(title, p, 1) for k, p in fixed.LISTED_PATTERNS.items()}
+        unit = first_match(title, fixed.LISTED_PATTERNS["storage"], 2)
+        found["storage"] = F.concat(found["storage"], F.lit(" "), unit, F.lit(" SSD"))
+    else:
+        found = {k: first_match(title, p, 1) for k, p in fixed.TITLE_PATTERNS.items()}
     return found | {"ram_gb": found["ram_gb"].cast("int"), "screen_size": F.concat(found["screen_size"], F.lit('"'))}
 
 
@@ -105,9 +111,8 @@ def is_blocked(html: Column) -> Column:
 
 
 def is_missing_page(html: Column) -> Column:
-    """Whether a page says that it was not found, in its title or heading."""
-    head = F.lower(F.concat_ws(" ", F.regexp_extract_all(html, F.lit(r"(?is)<(?:title|h1)[^>]*>(.*?)</"), F.lit(1))))
-    return functools.reduce(lambda a, b: a | b, [head.contains(w) for w in fixed.NOT_FOUND])
+    """Whether a page says, in these very words, that it was not found."""
+    return functools.reduce(lambda a, b: a | b, [html.contains(w) for w in fixed.NOT_FOUND])
 
 
 def shop_brand(title: Column) -> Column:

@@ -49,9 +49,12 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where("trim(product_name) <> '' and price_value > 0 and price_value <= 1000000 and product_url <> ''")
 
 
-def with_ids(df: DataFrame, key: str, name: str = "product_id", pattern: str = "prod_%05d", buckets: int = 1024) -> DataFrame:
-    """Ids in the order of a key, numbered from 1 by ranges of the key whose sizes are added up."""
-    rows = df.withColumn("_range", range_of(F.col(key), range_marks(df, key, buckets)))
+def with_ids(df: DataFrame, key: str, name: str = "product_id", pattern: str = "prod_%05d", buckets: int = 1024, like: DataFrame | None = None) -> DataFrame:
+    """Ids in the order of a numeric key, numbered from 1 by ranges of the key whose sizes are added up.
+
+    ``like`` is a table with the key that is cheaper to read and has about the same keys; the ranges are taken from it.
+    """
+    rows = df.withColumn("_range", range_of(F.col(key), range_marks(df if like is None else like, key, buckets)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     starts = rows.groupBy("_range").agg(F.count("*").alias("_in")).select("_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before_range"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
@@ -74,8 +77,9 @@ def unify(frames: Sequence[DataFrame], key: str, ties: Sequence[str]) -> DataFra
     """Standardized listings of all sources as products: prices cleaned, the latest row of each url, valid rows only,
     enriched, with ids in the order of ``key``, which comes first."""
     rows = union_sources(frames)
+    listed = rows.select(key)
     rows = latest_by_url(rows.withColumn("price_value", prices.clean_price(F.col("price_value"))), ties)
-    rows = with_ids(enrich(valid(rows)), key)
+    rows = with_ids(enrich(valid(rows)), key, like=listed)
     return rows.select("product_id", *[c for c in rows.columns if c != "product_id"])
 
 

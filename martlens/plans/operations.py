@@ -58,7 +58,7 @@ def discounts_and_stock(spark, sf):
     return pages.discounts(_records(spark, sf))
 
 
-@query(f"SELECT page_id, CASE WHEN {' OR '.join(f'contains(lower(html), {quoted(w)})' for w in fixed.BLOCK_INDICATORS)} THEN 'blocked' WHEN " + " OR ".join(f"contains(array_to_string(list_transform(regexp_extract_all(lower(coalesce(html, '')), '(?s)<(?:title|h1)[^>]*>(.*?)</', 1), lambda x: x), ' '), {quoted(w)})" for w in fixed.NOT_FOUND) + " THEN 'missing' ELSE 'read' END AS status FROM pages")
+@query(f"SELECT page_id, CASE WHEN {' OR '.join(f'contains(lower(html), {quoted(w)})' for w in fixed.BLOCK_INDICATORS)} THEN 'blocked' WHEN " + " OR ".join(f"contains(html, {quoted(w)})" for w in fixed.NOT_FOUND) + " THEN 'missing' ELSE 'read' END AS status FROM pages")
 def page_status(spark, sf):
     return pages.page_status(table(spark, sf, "pages"))
 
@@ -78,9 +78,6 @@ def page_urls(spark, sf):
     return table(spark, sf, "part").select("p_partkey", pages.page_url(F.lit("https://s/a/"), p, "path").alias("by_path"), pages.page_url(F.concat(F.lit("c"), F.col("p_size").cast("string")), p, "id").alias("by_id"), pages.page_url(F.lit("x?s=1"), p, "query").alias("by_query"))
 
 
-_RULES = [("path", "/en/", 1), ("path", "/en/6", 0), ("path", "/fr/", 1)]
-
-
 @query("WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages) SELECT page_id, CASE WHEN ends_with(host, '.com') THEN CASE WHEN starts_with(path, '/en/6') THEN true WHEN starts_with(path, '/en/') THEN false WHEN starts_with(path, '/fr/') THEN false ELSE true END ELSE true END AS allowed FROM u")
 def robots_allowed(spark, sf):
     urls = table(spark, sf, "pages").select("page_id", "url")
@@ -125,6 +122,17 @@ def rate_priority(spark, sf):
     return rows.groupBy("currency").agg(F.count("*").alias("n"), F.round(F.sum("converted"), 0).alias("eur"))
 
 
+_L = {k: _FIRST("title", ps, 1) for k, ps in fixed.LISTED_PATTERNS.items()}
+_LISTED = ["PC Intel Core i5-1135G7 8 Go RAM 512 Go SSD 15.6\"", "Core i7 10700 1 To", "GeForce now 16 Go", "i3-1005G1 Radeon Vega", "RTX 3060 clavier"]
+_LISTED_SQL = f"[{', '.join(map(quoted, _LISTED))}][p_partkey % {len(_LISTED)} + 1]"
+
+
+@query(f"WITH t AS (SELECT p_partkey, p_name || ' ' || {_LISTED_SQL} AS title FROM part) SELECT p_partkey, {_L['processor']} AS processor, {_L['gpu']} AS gpu, coalesce(CAST({_L['ram_gb']} AS INTEGER), -1) AS ram_gb, {_L['storage']} || ' ' || {_FIRST('title', fixed.LISTED_PATTERNS['storage'], 2)} || ' SSD' AS storage, {_L['screen_size']} || '\"' AS screen_size FROM t")
+def title_specs_listed(spark, sf):
+    title = F.concat("p_name", F.lit(" "), F.element_at(F.array(*[F.lit(t) for t in _LISTED]), (F.col("p_partkey") % len(_LISTED)).cast("int") + 1))
+    return table(spark, sf, "part").select("p_partkey", *[c.alias(k) for k, c in text.title_specs(title, "listed").items()]).fillna(-1, ["ram_gb"])
+
+
 # Exports
 
 

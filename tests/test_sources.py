@@ -93,7 +93,7 @@ def test_robots(spark):
 
 
 def test_page_status(spark):
-    rows = spark.createDataFrame([(1, "<title>Page introuvable</title>"), (2, "<p>404 things</p>"), (3, "<h1>Captcha</h1>"), (4, None)], "page_id long, html string")
+    rows = spark.createDataFrame([(1, "<title>404 Not Found</title>"), (2, "<p>404 things</p>"), (3, "<h1>Captcha</h1>"), (4, None)], "page_id long, html string")
     assert {r["page_id"]: r["status"] for r in pages.page_status(rows).collect()} == {1: "missing", 2: "read", 3: "blocked", 4: "read"}
 
 
