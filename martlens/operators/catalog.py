@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
-from .ranks import range_marks, range_of
+from .ranks import beside, range_marks, range_of
 
 #: Names under which shops give a column, the first present and non-null counts.
 RENAMES = {"product_name": ("title", "name", "product_title", "product_name"), "price_value": ("price", "prix", "price_value"), "product_url": ("url", "link", "product_url"), "image_url": ("image", "image_url")}
@@ -61,18 +61,27 @@ def with_ids(df: DataFrame, key: str, name: str = "product_id", pattern: str = "
     return rows.withColumn("_in_range", within).join(F.broadcast(starts), "_range").withColumn(name, F.format_string(pattern, F.col("_before_range") + F.col("_in_range"))).drop("_range", "_in_range", "_before_range")
 
 
-def enrich(df: DataFrame, description: str | None = None) -> DataFrame:
-    """Listings with what their names say: product_name_normalized, brand_extracted, model, category, specifications (JSON)
-    and product_signature, all in one projection. The scraped brand stays; a missing description counts as empty."""
+def _said_by_names(names: DataFrame, description: str | None) -> DataFrame:
     name = F.col("product_name")
     normalized, brand = text.normalize_name(name), text.extract_brand(name)
     said = F.concat_ws(" ", name, F.col(description)) if description else name
-    rows = df.withColumns({"product_name_normalized": normalized, "brand_extracted": brand, "_specs": F.struct(*[c.alias(k) for k, c in text.extract_specs(said).items()])})
+    rows = names.withColumns({"product_name_normalized": normalized, "brand_extracted": brand, "_specs": F.struct(*[c.alias(k) for k, c in text.extract_specs(said).items()])})
     specs = {k: F.col(f"_specs.{k}") for k in rows.schema["_specs"].dataType.names}
     rows = rows.withColumns({"model": text.extract_model(F.col("product_name_normalized"), F.col("brand_extracted")), "category": text.categorize(F.col("product_name_normalized")), "specifications": F.to_json(text.specs_map(specs))})
     return rows.withColumn("product_signature", text.signature(F.col("brand_extracted"), F.col("model"), specs)).drop("_specs")
 
 
+def enrich(df: DataFrame, description: str | None = None) -> DataFrame:
+    """Listings with what their names say: product_name_normalized, brand_extracted, model, category, specifications (JSON)
+    and product_signature. The scraped brand stays; a missing description counts as empty.
+
+    Each distinct name is read once, for the patterns cost far more than the join back, and shops list a product again and
+    again.
+    """
+    keys = ["product_name", description] if description else ["product_name"]
+    return beside(df, _said_by_names(df.select(*keys).distinct(), description), keys)
+
+
 def unify(frames: Sequence[DataFrame], key: str, ties: Sequence[str]) -> DataFrame:
     """Standardized listings of all sources as products: prices cleaned, the latest row of each url, valid rows only,
     enriched, with ids in the order of ``key``, which comes first."""

@@ -29,7 +29,7 @@ def range_of(value: Column, marks: Sequence) -> Column:
     return whole + F.size(F.filter(F.slice(every, whole + 1, F.lit(step)), lambda m: m < value))
 
 
-def _beside(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+def beside(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys that may be null."""
     other = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
     on = F.lit(True)
@@ -48,7 +48,7 @@ def running(counts: DataFrame, value: str, sums: Sequence[str], by: Sequence[str
     totals = totals.select(*by, "_r", *[F.coalesce(F.sum(f"_t_{s}").over(over), zero).alias(f"_t_{s}") for s in sums])
     within = Window.partitionBy(*by, "_r").orderBy(way(value)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"_w_{s}": F.coalesce(F.sum(s).over(within), zero) for s in sums})
-    rows = _beside(rows, totals, [*by, "_r"])
+    rows = beside(rows, totals, [*by, "_r"])
     return rows.select(*counts.columns, *[(F.col(f"_w_{s}") + F.col(f"_t_{s}")).alias(f"before_{s}") for s in sums])
 
 
@@ -60,7 +60,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[s
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("n"))
     sizes = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
     rows = running(counts, "_v", ["n"], by)
-    rows = _beside(rows, sizes, by) if by else rows.crossJoin(F.broadcast(sizes))  # one row
+    rows = beside(rows, sizes, by) if by else rows.crossJoin(F.broadcast(sizes))  # one row
     aggregates = []
     for i, share in enumerate(shares):
         at = (F.col("_all") - 1) * F.lit(float(share))
