@@ -36,7 +36,7 @@ from .common import cut
 from .components import connected_components
 from .shingles import shingle_sets
 
-#: Buckets of the frequency sketch, as bits: one for every sixteen shingles of the corpus between these bounds, so that the
+#: Buckets of the frequency sketch, as bits: one for every 64 shingles of the corpus between these bounds, so that the
 #: sketch that is broadcast has 1 to 16 MB and that of a task 4 to 64 MB.
 SKETCH_BITS, MOST_SKETCH_BITS = 20, 24
 _SEGMENT = 1 << 16
@@ -80,7 +80,7 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
 
 
 def sketch_bits(shingles: int) -> int:
-    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (shingles // 16).bit_length()))
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (shingles // 64).bit_length()))
 
 
 def _packed(counts: np.ndarray) -> bytes:

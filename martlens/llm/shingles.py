@@ -69,7 +69,10 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, start of each text in the bytes and their end) of runs of texts; each text ends with a line feed."""
+    """(first, last + 1, bytes, start of each text in the bytes and their end) of runs of texts; each text ends with a line feed.
+
+    At the end what Arrow's pool keeps of earlier batches is given back, for workers live on between stages.
+    """
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
@@ -80,6 +83,7 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         data = np.frombuffer(part.encode(), np.uint8)
         yield at, to, data, np.concatenate([[0], np.cumsum(lengths[at:to] + 1)])
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
