@@ -208,7 +208,8 @@ def predict_language(docs: DataFrame, model: ByteGru | None, text: str = "text")
                         lang[i], score[i] = held.value.labels[best[i - first]], min(1.0, p[i - first, best[i - first]])
             yield pa.StructArray.from_arrays([pa.array(lang), pa.array(score)], ["lang", "score"])
 
-    return predict(docs[text])
+    # else a filter on the column runs the network once more than the projection
+    return predict.asNondeterministic()(docs[text])
 
 
 def least_scores(docs: DataFrame, model: ByteGru, share: float = LOST_SHARE, texts: int = SAMPLE_TEXTS) -> dict[str, float]:
