@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class WrittenTables:
+    """Parquet tables in the shared folder for one computation; leaving the context deletes them.
+
+    Unlike a checkpoint they are compressed and can be dropped, whole or by partition, as soon as nothing needs them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> WrittenTables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop("")
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The rows of df, read back from a table; with ``by`` a folder for each value of that column."""
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.folder}/{name}")
+        schema = df.schema if by is None else df.drop(by).schema.add(df.schema[by])
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

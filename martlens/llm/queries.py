@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .chat import conversation_digests
 from .embedding_join import embedding_components, embedding_components_sql
+from .exact_dedup import exact_duplicates, exact_duplicates_sql
+from .filter_audit import audit_sql, filter_audit
 from .fingerprints import edited_fingerprints, edited_fingerprints_sql
+from .importance import importance_resample, importance_sql
 from .language import identify_languages
 from .mixing import Mix, domain_of, mix_sql, mix_table
 from .ngram_join import ngram_jaccard_components, ngram_jaccard_sql
@@ -83,6 +86,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_join,
         op9_fingerprints,
         op10_quality,
+        op11_importance,
+        op12_exact_dedup,
+        op13_filter_audit,
     )
 }
 
@@ -103,5 +121,8 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": ngram_jaccard_sql("documents", 4, 85, 100),
     "op2_mixing": mix_sql("documents", MIX, DOMAINS),
     "op8_embedding_join": embedding_components_sql("embeddings", 0.93),
+    "op11_importance": importance_sql("documents", "benchmark"),
+    "op12_exact_dedup": exact_duplicates_sql("documents"),
+    "op13_filter_audit": audit_sql("documents", "labels"),
     "op9_fingerprints": edited_fingerprints_sql("documents"),
 }
