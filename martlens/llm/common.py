@@ -32,6 +32,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bound of an Arrow batch where the session has none of its own but Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets batches that go to Python workers hold at most BATCH_BYTES: a task has a batch in the JVM's direct memory, in the
+    worker, and as what the worker makes of it, all at once. A bound that the session has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart, and that column's name: doc_id itself where it does.
+
+    If ids repeat or lack, rows get numbers of their own and are written out, so that all that follows sees the same ones.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs, "doc_id"
+    key = free_name(docs, "row_key")
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 class WrittenTables:
     """Parquet tables in the shared folder for one computation; leaving the context deletes them.
 

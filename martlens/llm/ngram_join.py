@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_keys
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -329,16 +329,27 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
 
     Texts link when ``den * |intersection| >= num * |union|`` over their sets of k-word shingles. Null, empty and blank
     texts have no shingles and link with nothing; a text of fewer than k words has its word sequence as its one shingle.
-    Equal texts have equal components. A repeated doc_id is one node; a null doc_id links with nothing and gets a null
-    component. An empty table gives an empty result.
+    Equal texts have equal components. Rows of one doc_id, or without one, are nodes of their own; component_id is the
+    smallest doc_id of all rows that can be reached, null if none of them has one. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null and text is not null")
+    rows, key = row_keys(docs)
+    found = row_components(rows.select(F.col(key).alias("doc_id"), "text"), k, num, den, hot)
+    if key == "doc_id":
+        return found
+    found = cut(rows.select(F.col(key).alias("key"), "doc_id").join(found.withColumnsRenamed({"doc_id": "key", "component_id": "node"}), "key"))
+    least = cut(found.groupBy("node").agg(F.min("doc_id").alias("component_id")))
+    return found.join(least, "node").select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = HOT) -> DataFrame:
+    """ngram_jaccard_components of rows that doc_id tells apart: no two have the same, none lacks it."""
+    named = docs.where("text is not null")
     sets = cut(set_digests(docs, k))
     bits = sketch_bits(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(named, k, bits))
     # written out: a join with rows of one digest can then be split where a class has very many copies
-    classes = cut(sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls")))
+    classes = cut(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("cls").alias("cls")))
     reps = classes.select("cls", F.col("rep").alias("doc_id"))
     prefixes = named.mapInArrow(_prefix_rows(k, sketch, num, den), "token long, cls long, n int, least byte")
     lists = prefixes.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_list_rows(num, den, hot), _PAIR)

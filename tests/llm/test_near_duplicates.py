@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from martlens.llm import shingles
+from martlens.llm import ngram_join, shingles
 
 
 @pytest.mark.parametrize("k", [1, 4, 5])
@@ -44,3 +44,28 @@ def test_near_duplicates_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+A, B, C = ("the first text of some words that has copies", "another text of some words that has copies too", "a third text that stands alone in all tables")
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """A row goes only if a copy of its own text stays, whatever ids the rows have."""
+    rows = [(5, A), (5, B), (3, B), (3, B), (None, A), (None, C), (None, C), (None, None), (7, ""), (7, C + " and more words that make it another text than the one before it")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row_key int").repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, A), (3, B), (None, C), (None, None), (7, ""), rows[-1]], key=str)
+
+
+def test_very_many_rows_without_id(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", f"if(id % 3 = 0, '{A}', concat('own text number ', id, ' of rows without any id at all')) as text")
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) == 2001
+
+
+def test_components_of_repeated_and_missing_ids(spark):
+    rows = [(5, A), (5, B), (3, B), (None, A), (None, C), (None, C), (9, None)]
+    got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()
+    want = [(5, 5, 5), (5, 5, 3), (3, 5, 3), (None, 5, 5), (None, 5, None), (None, 5, None), (9, 0, 9)]
+    shape = lambda rs: sorted((str(r[0]), str(r[2])) for r in rs)
+    assert shape(got) == shape(want)
