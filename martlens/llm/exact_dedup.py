@@ -44,7 +44,7 @@ def exact_duplicates(docs: DataFrame, first: int = FIRST_BYTES, growth: int = GR
         shared = texts.select(*place).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
         shared = tables.write(shared.select(*keys, F.monotonically_increasing_id().alias("gid")), "shared_0")
         body = lowered(F.col("text")).cast("binary")
-        rows = texts.select(*place, "doc_id", F.sha2(body, 256).alias("sha"), body.alias("rest")).join(shared, keys, "left")
+        rows = texts.select(*place, "doc_id", F.sha2(body, 256).alias("sha"), body.alias("rest")).join(shared.hint("merge"), keys, "left")
         alone = F.col("gid").isNull()
         rows = rows.select(
             "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha",
@@ -58,7 +58,7 @@ def exact_duplicates(docs: DataFrame, first: int = FIRST_BYTES, growth: int = GR
             rows = rows.select("grp", F.expr(f"substring(rest, 1, {width})").alias("slice"), (F.octet_length("rest") > width).alias("more"), "doc_id", "sha", "key", "rest")
             found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("key", "doc_id"), F.min("key")).alias("keep_key"), F.min("key").alias("gid")).where("n > 1")
             shared = tables.write(found, f"shared_{i}")
-            rows = rows.join(shared, keys, "left")
+            rows = rows.join(shared.hint("merge"), keys, "left")
             alone = F.col("n").isNull()
             open_ = ~alone & F.col("more")
             rows = rows.select(

@@ -6,6 +6,8 @@ multi-byte sequences never contain those bytes, so working on bytes gives the sa
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,10 +70,25 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[ends] - sums[starts]) * down[starts]), starts
 
 
+@functools.cache
+def _c_library():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and the C library keep of freed memory: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _c_library()) is not None:
+        libc.malloc_trim(0)
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, start of each text in the bytes and their end) of runs of texts; each text ends with a line feed.
 
-    At the end what Arrow's pool keeps of earlier batches is given back, for workers live on between stages.
+    At the end memory that earlier batches have freed is given back.
     """
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -83,7 +100,7 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         data = np.frombuffer(part.encode(), np.uint8)
         yield at, to, data, np.concatenate([[0], np.cumsum(lengths[at:to] + 1)])
         at = to
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
