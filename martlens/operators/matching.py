@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import prices
+from . import name_index
+from .name_index import NameBits  # noqa: F401
 
 ACCEPT, HIGH, SPECS_ABOVE = 70, 85, 70
 #: Names on one side of a block of comparisons.
 BLOCK_NAMES = 1024
 
 
-def _ratio(a: str, b: str) -> int:
-    """100 * 2 * LCS / (len + len), rounded to even; bit-parallel longest common subsequence."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return round(200 * (len(a) - row.bit_count()) / (len(a) + len(b)))
-
-
-@F.pandas_udf(T.IntegerType())
-def token_sort_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Similarity 0 to 100 of two strings whose words are already sorted."""
-    for a, b in pairs:
-        yield pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
 def sorted_tokens(name):
     words = F.split(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}_]+", " ")), " ")
     return F.array_join(F.array_sort(words), " ")
@@ -52,91 +26,17 @@ def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.where(known).join(first, "signature").select("left_id", "right_id", F.lit(100).alias("score"))
 
 
-class NameBits:
-    """Names as arrays of characters, for comparing one name with all of them at once.
-
-    A row of bits for each name holds the state of a longest common subsequence, 64 characters to a word: after a step
-    for every character of the other name its zeros are the subsequence.
-    """
-
-    def __init__(self, names: list[str]):
-        self.lengths = np.fromiter(map(len, names), np.int64, len(names))
-        self.words = max(1, -(-int(self.lengths.max()) // 64))
-        self.alphabet = {c: i for i, c in enumerate(sorted(set("".join(names))))}
-        self.places = np.zeros((len(self.alphabet) + 1, self.words, len(names)), np.uint64)
-        for n, name in enumerate(names):
-            for i, c in enumerate(name):
-                self.places[self.alphabet[c], i // 64, n] |= np.uint64(1 << (i % 64))
-
-    def ratios(self, name: str) -> np.ndarray:
-        """100 * 2 * LCS / (sum of lengths) with every name, rounded to even."""
-        rows = np.full((self.words, len(self.lengths)), ~np.uint64(0))
-        for c in name:
-            hits = self.places[self.alphabet.get(c, len(self.alphabet))]
-            carry = np.zeros(len(self.lengths), np.uint64)
-            for w in range(self.words):
-                row = rows[w]
-                hit = row & hits[w]
-                total = row + hit
-                over = total < row
-                total += carry
-                carry = (over | (total < carry)).astype(np.uint64)
-                rows[w] = total | (row - hit)
-        held = np.arange(self.words)[:, None] * 64
-        used = np.clip(self.lengths[None, :] - held, 0, 64).astype(np.uint64)
-        mask = np.where(used == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(used, np.uint64(63))) - np.uint64(1))
-        common = np.bitwise_count(~rows & mask).sum(0, dtype=np.int64)
-        return np.rint(200.0 * common / (self.lengths + len(name))).astype(np.int64)
-
-
-def _best_in_block(accept: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"a": [], "right_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            names, ids = NameBits(right.column("tokens").to_pylist()), right.column("right_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            for a in left.column("tokens").to_pylist():
-                score = names.ratios(a)[order]
-                best = int(score.argmax())  # the first of equals has the least right_id
-                if score[best] >= accept:
-                    for column, value in zip(out.values(), (a, int(ids[order][best]), int(score[best])), strict=True):
-                        column.append(value)
-        return pa.table({"a": pa.array(out["a"], pa.string()), "right_id": pa.array(out["right_id"], pa.int64()), "score": pa.array(out["score"], pa.int32())})
-
-    return run
-
-
 def fuzzy_matches(left: DataFrame, right: DataFrame, accept: int = ACCEPT) -> DataFrame:
     """(left_id, right_id, score): the best right row by sorted-token ratio of at least ``accept``; ties to the least right_id.
 
-    Distinct names are compared, not rows. A ratio of at least s needs ``min length / sum of lengths >= (s - 0.5) / 200``,
-    so names meet in length bands, each with the bands that its length allows: no accepted pair is lost. A band's names are
-    dealt to chunks, and a task compares a chunk of either side and returns one row at most for each left name, so tasks
-    are bounded and no pairs are written. Their number is that of pairs of names of like length: a threshold this low
-    allows no index that loses nothing.
+    Distinct names are compared, not rows, and only those that an exact index cannot rule out: see name_index.
     """
-    share = (accept - 0.5) / 200
-    reach = (1 - share) / share
-    band = F.floor(F.log(F.length("tokens").cast("double")) / F.log(F.lit(reach)) + 1e-9).cast("int").alias("band")
     tokens = lambda df: df.select("*", sorted_tokens(F.col("name")).alias("tokens")).where("tokens <> ''")
-    a = tokens(left).select("tokens").distinct().select("tokens", band)
-    b = tokens(right).groupBy("tokens").agg(F.min("right_id").cast("long").alias("right_id")).select("tokens", "right_id", band)
-
-    def chunked(names: DataFrame, others: DataFrame, near: tuple[int, ...], mine: str, theirs: str) -> DataFrame:
-        """Each name once for every block of its chunk with a chunk of a band near its own; there are few bands."""
-        counts = lambda df: df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NAMES).cast("int").alias("chunks"))
-        other = counts(others).select(F.explode(F.array(*[F.struct((F.col("band") - d).alias("band"), F.col("band").alias("beside"), "chunks") for d in near])).alias("x")).select("x.band", "x.beside", F.col("x.chunks").alias("theirs"))
-        rows = names.join(F.broadcast(counts(names)), "band").withColumn("own", F.pmod(F.xxhash64("tokens"), F.col("chunks")))
-        rows = rows.join(F.broadcast(other), "band").withColumn("one", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
-        return rows.select(*names.columns, F.col("beside"), F.col("own").cast("int").alias(mine), F.col("one").cast("int").alias(theirs))
-
-    x = chunked(a, b, (-1, 0, 1), "i", "j").withColumnsRenamed({"band": "u", "beside": "v"})
-    y = chunked(b, a, (-1, 0, 1), "j", "i").withColumnsRenamed({"band": "v", "beside": "u"})
-    keys = ["u", "v", "i", "j"]
-    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_best_in_block(accept), "a string, right_id long, score int")
-    best = found.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
+    names = tokens(left).select("tokens").distinct()
+    others = tokens(right).groupBy("tokens").agg(F.min("right_id").cast("long").alias("right_id"))
+    best = name_index.best_names(names, others, accept, BLOCK_NAMES)
     kind = right.schema["right_id"].dataType
-    return left.withColumn("a", sorted_tokens(F.col("name"))).join(best, "a").select("left_id", F.col("m.right_id").cast(kind).alias("right_id"), (-F.col("m.s")).alias("score"))
+    return left.withColumn("tokens", sorted_tokens(F.col("name"))).join(best.withColumn("right_id", F.col("right_id").cast(kind)), "tokens").select("left_id", "right_id", "score")
 
 
 def spec_similarity(a, b):
