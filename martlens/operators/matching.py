@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices
+from ..sources.shared import staged
 from . import name_index
 from .name_index import NameBits  # noqa: F401
 
@@ -46,17 +51,82 @@ def spec_similarity(a, b):
     return F.when(F.size(common) > 0, F.size(same) / F.size(common) * 100).otherwise(F.lit(0.0))
 
 
-def specs_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, score): the same-brand right row of most similar specifications, over 70.
+#: Sides of one list of equal values that one chunk holds, and pairs of chunks that a task takes in one go.
+LIST_ROWS, LISTS_A_GROUP = 2048, 64
+
+
+def _spec_classes(rows: DataFrame, key: str) -> DataFrame:
+    """(brand, form, specs, n_specs, key): rows of one brand and equal specifications are one side of a pair, with their least id."""
+    own = rows.where("brand <> '' and brand <> 'Unknown'").select("brand", F.map_from_entries(F.array_sort(F.map_entries("specs"))).alias("specs"), key)
+    return own.groupBy("brand", F.to_json("specs").alias("form")).agg(F.min(key).alias(key), F.first("specs").alias("specs")).where("form is not null")
 
-    Rows of one brand and equal specifications are one side of a pair, so a hot brand costs its distinct specifications.
-    Rows without a brand, or with an unknown one, have no partner.
+
+def specs_matches(left: DataFrame, right: DataFrame, above: int = SPECS_ABOVE) -> DataFrame:
+    """(left_id, right_id, score): the same-brand right row of most similar specifications, over ``above``; ties to the least right_id.
+
+    A score over 0 needs an equal value, so sides meet in lists of (brand, key, value). The score is the number of lists in
+    which two sides meet over that of the keys that they share, and a pair is scored in one list only: the first, by
+    name, of those that both are in. A list is cut into chunks of bounded size on either side, and each task compares one
+    chunk with one other and gives back one row at most for each left side, so neither a hot brand nor a hot value
+    gathers anywhere and no pairs are written. Rows without a brand, or with an unknown one, have no partner.
     """
-    left, right = (df.where("brand <> '' and brand <> 'Unknown'") for df in (left, right))
-    group = lambda df, key, s: df.groupBy("brand", F.to_json("specs").alias(f"j_{s}")).agg(F.min(key).alias(key), F.first("specs").alias(f"specs_{s}"))
-    pairs = group(left, "left_id", "l").drop("left_id").join(group(right, "right_id", "r"), "brand").withColumn("score", spec_similarity(F.col("specs_l"), F.col("specs_r"))).where(F.col("score") > SPECS_ABOVE)
-    best = pairs.groupBy("brand", "j_l").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
-    return left.withColumn("j_l", F.to_json("specs")).join(best, ["brand", "j_l"]).select("left_id", F.col("m.right_id").alias("right_id"), (-F.col("m.s")).alias("score"))
+    again = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of its own, for a cogroup
+    a, b = again(staged(_spec_classes(left, "left_id"))), again(staged(_spec_classes(right, "right_id")))
+    entry = F.explode(F.map_entries("specs")).alias("e")
+    listed = lambda df: df.select("*", entry).where("e.value is not null").select("*", F.col("e.key").alias("k"), F.lower("e.value").alias("v")).drop("e")
+    keys = ["brand", "k", "v"]
+    chunks = lambda df, n: listed(df).groupBy(*keys).agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias(n))
+    sizes = staged(chunks(a, "of_a").join(chunks(b, "of_b"), keys))  # lists that both sides have
+    own = lambda n: F.pmod(F.xxhash64("form"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    groups = max(1, -(-int(sizes.agg(F.sum(F.col("of_a").cast("long") * F.col("of_b"))).first()[0] or 0) // LISTS_A_GROUP))
+    part = F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(groups)).alias("part")
+    x = listed(a).join(sizes, keys).withColumn("i", own("of_a")).withColumn("j", each("of_b")).select(part, *keys, "i", "j", "form", F.to_json("specs").alias("text"))
+    y = listed(b).join(again(sizes), keys).withColumn("j", own("of_b")).withColumn("i", each("of_a")).select(part, *keys, "i", "j", F.to_json("specs").alias("text"), F.col("right_id").cast("long").alias("right_id"))
+    found = x.groupBy("part").cogroup(y.groupBy("part")).applyInArrow(_best_specs(above), "brand string, form string, right_id long, score double")
+    best = found.groupBy("brand", "form").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id")).alias("m"))
+    kind = right.schema["right_id"].dataType
+    forms = left.withColumn("form", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("specs")))))
+    return forms.join(best, ["brand", "form"]).select("left_id", F.col("m.right_id").cast(kind).alias("right_id"), (-F.col("m.s")).alias("score"))
+
+
+def _codes(sides: list[dict], columns: dict, values: dict) -> np.ndarray:
+    """A row of value codes for each side, one column for each key, -1 where it lacks the key and -2 where its value is null."""
+    out = np.full((len(sides), len(columns)), -1, np.int64)
+    for n, specs in enumerate(sides):
+        for k, v in specs.items():
+            out[n, columns[k]] = -2 if v is None else values.setdefault(v.lower(), len(values))
+    return out
+
+
+def _best_specs(above: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"brand": [], "form": [], "right_id": [], "score": []}
+        lists: dict[tuple, tuple[list, list]] = {}
+        right = right.sort_by("right_id")
+        for side, table in enumerate((left, right)):
+            for n, at in enumerate(zip(*(table.column(c).to_pylist() for c in ("brand", "k", "v", "i", "j")), strict=True)):
+                lists.setdefault(at, ([], []))[side].append(n)
+        texts, forms, ids = [t.column("text").to_pylist() for t in (left, right)], left.column("form").to_pylist(), right.column("right_id").to_numpy()
+        for (brand, name, *_), (mine, theirs) in lists.items():
+            if not mine or not theirs:
+                continue
+            own, others = ([json.loads(texts[side][n]) for n in rows] for side, rows in ((0, mine), (1, theirs)))
+            columns = {k: i for i, k in enumerate(sorted({k for specs in (*own, *others) for k in specs}))}
+            values: dict[str, int] = {}
+            a, b = (_codes(side, columns, values) for side in (own, others))
+            before = [i for k, i in columns.items() if k < name]
+            for n, row in enumerate(a):
+                both = (row != -1) & (b != -1)
+                same = both & (row == b) & (row >= 0)
+                score = np.where(same[:, before].any(1), 0.0, same.sum(1) / np.maximum(both.sum(1), 1) * 100)  # else met in an earlier list
+                best = int(score.argmax())  # the first of equals has the least right_id
+                if score[best] > above:
+                    for column, value in zip(out.values(), (brand, forms[mine[n]], int(ids[theirs[best]]), float(score[best])), strict=True):
+                        column.append(value)
+        return pa.table({"brand": pa.array(out["brand"], pa.string()), "form": pa.array(out["form"], pa.string()), "right_id": pa.array(out["right_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+    return run
 
 
 def match_cascade(left: DataFrame, right: DataFrame) -> DataFrame:
