@@ -598,4 +598,4 @@ def events_tumbling(spark, sf):
     return tumbling(table(spark, sf, "events"))
 
 
-from . import markets, operations, scoring  # noqa: E402, F401
+from . import alerting, markets, operations, scoring  # noqa: E402, F401
