@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, prices, text
 from ..operators import export, lifecycle, monitoring, stats
 from ..sources import files, pages
+from ..sources.markup import select_items
 from ..sources.tables import RUNS_SQL, VERSIONS_SQL, table, versions
 from ..sources.tables import runs as run_rows
 from .queries import _FIRST
@@ -45,7 +46,7 @@ _RECORDS_SQL = """records AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS
 
 
 def _records(spark, sf) -> DataFrame:
-    return pages.shop_records(pages.items(_result_pages(spark, sf), "page"), "https://shop.example", "shop_tn")
+    return pages.product_records(_result_pages(spark, sf), "page", "https://shop.example", "shop_tn", title="h2 > a", url="h2 > a@href", brand="img.brand@alt", image="img.photo@src", image_later="img.photo@data-src")
 
 
 @query(f"WITH {_RECORDS_SQL} SELECT * FROM records")
@@ -58,6 +59,23 @@ def discounts_and_stock(spark, sf):
     return pages.discounts(_records(spark, sf))
 
 
+# The table of pages, by selectors
+
+_DECODED = lambda c: f"replace(replace(replace(replace(replace(replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+@query(f"WITH n AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) AS items FROM pages), u AS (SELECT page_id, unnest(items) AS x, CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS i FROM n) SELECT page_id, i, {_DECODED(chr(120))} AS label, {_DECODED(chr(114) + chr(101) + 'gexp_extract(x, ' + quoted('href=' + chr(34) + '([^' + chr(34) + ']*)' + chr(34)) + ', 1)')} AS href FROM u")
+def page_navigation(spark, sf):
+    """The links of each page's navigation."""
+    return select_items(table(spark, sf, "pages"), "page_id", ["nav ul > li"], {"label": "a[href]", "href": "a[href]@href"})
+
+
+@query(f"SELECT page_id, trim({_DECODED('regexp_extract(html, ' + quoted('(?s)<article><h1>(.*?)</h1>') + ', 1)')}) AS heading, coalesce(trim({_DECODED('regexp_extract(html, ' + quoted('(?s)<footer>(.*?)</footer>') + ', 1)')}), '') AS footer, regexp_extract(html, '<html lang=.([a-z]+)', 1) AS lang FROM pages")
+def page_articles(spark, sf):
+    """Heading, footer and language of each page."""
+    return select_items(table(spark, sf, "pages"), "page_id", ["html"], {"heading": "article > h1", "footer": "footer", "lang": "@lang"}).drop("i")
+
+
 @query(f"SELECT page_id, CASE WHEN {' OR '.join(f'contains(lower(html), {quoted(w)})' for w in fixed.BLOCK_INDICATORS)} THEN 'blocked' WHEN " + " OR ".join(f"contains(html, {quoted(w)})" for w in fixed.NOT_FOUND) + " THEN 'missing' ELSE 'read' END AS status FROM pages")
 def page_status(spark, sf):
     return pages.page_status(table(spark, sf, "pages"))

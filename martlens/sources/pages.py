@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices
 from ..functions.text import absolute_url, is_blocked, is_missing_page, product_id_from_url
+from .markup import select_items
 
 
 def page_url(base: Column, page: Column, style: str) -> Column:
@@ -82,6 +83,32 @@ def shop_records(found: DataFrame, base: str, shop: str, millimes: bool = True)
     return rows.withColumn("id", F.coalesce(_attribute(item, "[a-z]+", "data-product-id"), product_id_from_url(F.col("url")))).drop("item")
 
 
+#: Where a shop's result pages have an item's fields.
+ITEM_SELECTORS = ["article", "li.product-item", "div.product-container"]
+FIELD_SELECTORS = {
+    "id": "@data-product-id", "title": ".product-item-name a", "url": ".product-item-name a@href", "sku": ".sku", "final_price": ".price-box .final-price", "original_price": ".price-box .original-price",
+    "brand": ".brand img@alt", "stock": ".stock", "image": ".product-item-photo img@src", "image_later": ".product-item-photo img@data-src", "description": ".search-short-description",
+}
+
+
+def product_records(pages: DataFrame, key: str, base: str, shop: str, millimes: bool = True, **fields: str) -> DataFrame:
+    """Items of result pages as product records, read by selectors: (key, i) and the columns of shop_records.
+
+    ``fields`` replaces selectors of FIELD_SELECTORS for shops that write their pages otherwise. Items without a title are
+    none; a url is completed with ``base``, and without an own id an item has that of its url.
+    """
+    price = prices.millimes_price if millimes else prices.scraped_price
+    rows = select_items(pages, key, ITEM_SELECTORS, FIELD_SELECTORS | fields)
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rows = rows.where(given("title").isNotNull())
+    url = absolute_url(F.coalesce("url", F.lit("")), base)
+    records = rows.select(
+        key, "i", F.coalesce(given("id"), product_id_from_url(url)).alias("id"), given("title").alias("title"), price(given("final_price")).alias("price"), price(given("original_price")).alias("regular_price"),
+        given("brand").alias("brand"), given("sku").alias("sku"), url.alias("url"), F.coalesce(given("image_later"), given("image")).alias("image"), given("description").alias("description"), prices.in_stock(given("stock"), shop).alias("in_stock"),
+    )
+    return records.withColumn("discount_percent", F.coalesce(prices.discount_percent(F.col("regular_price"), F.col("price")), F.lit(0.0)))
+
+
 def discounts(records: DataFrame) -> DataFrame:
     """One row: items, in and out of stock, how many are discounted and by how much on average."""
     on = F.col("discount_percent") > 0
