@@ -1,12 +1,15 @@
-"""Alerts, rates and quantiles over the event table, and their DuckDB SQL."""
+"""Alerts, rates and quantiles over the event table, robots rules and rates as of a time, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prices
 from ..operators import alerts
+from ..operators.rates import rates_as_of
+from ..sources import robots
 from ..sources.tables import table
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 #: A sample of each event: whether its value is over this, for so long.
 OVER, HOLD_SECONDS = 2.0, 7200
@@ -49,3 +52,35 @@ def bucket_quantiles(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("ts").cast("date").alias("day"), "value")
     whole = alerts.merged(alerts.histograms(rows, ["name", "day"], "value", BOUNDS), ["name"])
     return whole.select("name", "total", *[F.round(alerts.bucket_quantile(q, BOUNDS), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.999, "p999"))])
+
+
+#: What hosts of one kind say; the group of all agents comes last, and the first of its rules that fits decides.
+ROBOTS = "# crawl gently\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/6 # some\nDisallow: /en/\nDisallow: /fr/\nAllow: /fr/1\n"
+
+
+@query(ORACLE_SQL["robots_allowed"])
+def robots_txt_allowed(spark, sf):
+    """Pages that the robots.txt of their host allows; hosts that end in .com have one."""
+    urls = table(spark, sf, "pages").select("page_id", "url")
+    hosts = urls.select(F.parse_url("url", F.lit("HOST")).alias("host")).distinct()
+    files = hosts.select("host", F.when(F.endswith("host", F.lit(".com")), ROBOTS).alias("text"))
+    return robots.allowed_by_rules(urls, robots.parsed_rules(files)).select("page_id", "allowed")
+
+
+_CURRENCIES = "['TND', 'USD', 'EUR']"
+
+
+@query(
+    f"""WITH q AS (SELECT {_CURRENCIES}[user_id % 2 + 1] AS currency, ts, min(0.2 + value / 1000) AS rate FROM events WHERE event_type = 'error' AND extract(day FROM ts) % 4 <> 0 GROUP BY ALL),
+ a AS (SELECT event_id, {_CURRENCIES}[event_id % 3 + 1] AS currency, ts, value FROM events WHERE event_type <> 'error')
+ SELECT event_id, a.currency, round(CASE WHEN a.currency = 'EUR' THEN 1 WHEN a.ts - q.ts < INTERVAL 24 HOURS THEN rate WHEN a.currency = 'TND' THEN 0.304 ELSE 1 END * value, 8) AS eur, a.currency <> 'EUR' AND coalesce(a.ts - q.ts < INTERVAL 24 HOURS, false) AS quoted FROM a ASOF LEFT JOIN q ON a.currency = q.currency AND a.ts >= q.ts"""
+)
+def rates_with_validity(spark, sf):
+    """Amounts in euros by the last quote of their currency, if it is less than a day old, else by the fixed rate, else as they are."""
+    events = table(spark, sf, "events")
+    pick = lambda i: F.element_at(F.array(*[F.lit(c) for c in ("TND", "USD", "EUR")]), i.cast("int") + 1)
+    quotes = events.where("event_type = 'error' and day(ts) % 4 <> 0").select(pick(F.col("user_id") % 2).alias("currency"), "ts", (F.lit(0.2) + F.col("value") / 1000).alias("rate"))
+    amounts = events.where("event_type <> 'error'").select("event_id", pick(F.col("event_id") % 3).alias("currency"), "ts", "value")
+    rows = rates_as_of(amounts, quotes)
+    rate = F.when(F.col("currency") == "EUR", 1.0).when(F.col("rate").isNotNull(), F.col("rate")).when(F.col("currency") == "TND", prices.rate(F.lit("TND"), "EUR")).otherwise(1.0)
+    return rows.select("event_id", "currency", F.round(rate * F.col("value"), 8).alias("eur"), ((F.col("currency") != "EUR") & F.col("rate").isNotNull()).alias("quoted"))

@@ -598,4 +598,5 @@ def events_tumbling(spark, sf):
     return tumbling(table(spark, sf, "events"))
 
 
-from . import alerting, markets, operations, scoring  # noqa: E402, F401
+from . import markets, operations, scoring  # noqa: E402, F401, I001
+from . import alerting  # noqa: E402, F401, I001  takes SQL of the others
