@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import export, monitoring, reviews, scoring, stats, training
+from ..operators import crossfit, export, monitoring, reviews, scoring, stats, training
 from ..sources.tables import REVIEWS_SQL, SCORES_SQL, scores, table
 from ..sources.tables import reviews as review_rows
 from .queries import _COUNT, _ENSEMBLE_SQL, _scored
@@ -177,3 +177,31 @@ def review_documents(spark, sf):
     rows = _scored(spark, sf).withColumn("fake_probability", F.col("ensemble_score"))
     docs = export.review_documents(rows, table(spark, sf, "part"), "doc_id", "p_partkey")
     return docs.withColumn("text", F.md5(F.col("text").cast("binary"))).select("_id", "product_id", *_REVIEW_DOC.split(", "))
+
+
+# Scores from models that never saw the review; no SQL: tests hold them against models fitted fold by fold
+
+
+def _blended(spark, sf) -> DataFrame:
+    return crossfit.blended_scores(review_rows(spark, sf).select("doc_id", "text", "rating", "is_fake"))
+
+
+@query()
+def cross_fitted_scores(spark, sf):
+    """Both models' scores of each review and their blend."""
+    return _blended(spark, sf).select("doc_id", "fold", *[F.round(c, 6).alias(c) for c in ("xgboost_score", "bert_score", "ensemble_score")], "confidence", "is_fake_predicted")
+
+
+@query()
+def cross_fitted_metrics(spark, sf):
+    """How good the blend is on reviews that its models never saw."""
+    return reviews.metrics(_blended(spark, sf), "is_fake", "is_fake_predicted", "ensemble_score")
+
+
+@query()
+def single_answers(spark, sf):
+    """What a fitted model answers to each review that it was not fitted on: fake or not, and how sure it is."""
+    rows = training.with_features(reviews.stratified_split(review_rows(spark, sf), "doc_id", "is_fake"))
+    model = training.fit(rows.where("part = 'train'"), "logreg", "is_fake")
+    answers = scoring.single(rows.where("part = 'test'"), lambda df: training.predict(model, df))
+    return answers.select("doc_id", F.col("is_fake"), F.round("confidence", 6).alias("confidence"), F.round("fake_probability", 6).alias("fake_probability"))
