@@ -94,3 +94,6 @@ NOT_FOUND = ["404 Not Found", "Whoops, our bad"]
 SHOP_BRAND = r"(?i)^(HP|ASUS|Lenovo|Dell|Acer|MSI|Apple|Samsung|Razer)\b"
 #: Review length from which a request is answered, and stages that a model version can be moved to.
 SHORTEST_REQUEST, STAGES = 10, ["Staging", "Production", "Archived"]
+
+#: The class of made-up reviews in files of labelled reviews.
+FAKE_CODE = "CG"

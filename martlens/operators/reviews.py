@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import ENSEMBLE
+from ..functions.fixed import ENSEMBLE, FAKE_CODE
 from .ranks import running
 
 
@@ -98,6 +98,24 @@ def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return scaled.withColumns({c: F.coalesce(F.round((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), 4), F.lit(0.0)) for c in columns}).drop(*one.columns)
 
 
+def scaled_by(df: DataFrame, fitted_on: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns of df minus the mean over the population deviation that ``fitted_on`` has, so nothing of test rows goes into a scaler
+    fitted on others; constant columns become 0, and so do all where there is nothing to fit on. The statistics are one row."""
+    one = fitted_on.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = df.crossJoin(F.broadcast(one))
+    return scaled.withColumns({c: F.coalesce(F.round((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), 4), F.lit(0.0)) for c in columns}).drop(*one.columns)
+
+
+def label_of_code(code: Column) -> Column:
+    """1 for a review whose class says that it was made up, else 0, also where there is no class."""
+    return F.coalesce(code == FAKE_CODE, F.lit(False)).cast("int")
+
+
+def fake_share(df: DataFrame, by: str, label: str) -> DataFrame:
+    """(by, n, fakes, pct): reviews of each value and how many in a hundred are fake; rows without a label are left out."""
+    return df.where(F.col(label).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("fakes"), F.round(F.avg(label) * 100, 4).alias("pct"))
+
+
 def ensemble(df: DataFrame) -> DataFrame:
     """With ensemble_score, confidence by agreement, is_fake_predicted."""
     gap = F.round(F.abs(F.col("xgboost_score") - F.col("bert_score")), 6)

@@ -205,3 +205,26 @@ def single_answers(spark, sf):
     model = training.fit(rows.where("part = 'train'"), "logreg", "is_fake")
     answers = scoring.single(rows.where("part = 'test'"), lambda df: training.predict(model, df))
     return answers.select("doc_id", F.col("is_fake"), F.round("confidence", 6).alias("confidence"), F.round("fake_probability", 6).alias("fake_probability"))
+
+
+@query(f"WITH {REVIEWS_SQL} SELECT doc_id, is_fake FROM reviews UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM reviews)")
+def labels_from_codes(spark, sf):
+    """Labels from the classes of labelled reviews; reviews without a class are not fake."""
+    coded = review_rows(spark, sf).select("doc_id", F.when(F.col("is_fake") == 1, fixed.FAKE_CODE).otherwise("OR").alias("label"))
+    rows = table(spark, sf, "documents").select("doc_id").join(coded, "doc_id", "left")
+    return rows.select("doc_id", reviews.label_of_code(F.col("label")).alias("is_fake"))
+
+
+@query(f"WITH {REVIEWS_SQL} SELECT rating, count(*) AS n, CAST(sum(is_fake) AS BIGINT) AS fakes, round(avg(is_fake) * 100, 4) AS pct FROM reviews WHERE is_fake IS NOT NULL GROUP BY 1")
+def fake_share_by_rating(spark, sf):
+    return reviews.fake_share(review_rows(spark, sf), "rating", "is_fake")
+
+
+@query(
+    f"""WITH {REVIEWS_SQL}, s AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS x, row_number() OVER (PARTITION BY is_fake ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= floor(count(*) OVER (PARTITION BY is_fake) * 0.8) AS train FROM reviews),
+ f AS (SELECT avg(x) AS m, stddev_pop(x) AS d FROM s WHERE train) SELECT doc_id, CASE WHEN train THEN 'train' ELSE 'test' END AS part, round((x - m) / d, 4) AS x FROM s, f"""
+)
+def scale_fitted_on_train(spark, sf):
+    """Lengths scaled by what training rows alone are like."""
+    rows = reviews.stratified_split(review_rows(spark, sf).select("doc_id", "is_fake", F.char_length("text").cast("double").alias("x")), "doc_id", "is_fake")
+    return reviews.scaled_by(rows, rows.where("part = 'train'"), ["x"]).select("doc_id", "part", "x")
