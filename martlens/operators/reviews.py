@@ -111,7 +111,7 @@ def label_of_code(code: Column) -> Column:
     return F.coalesce(code == FAKE_CODE, F.lit(False)).cast("int")
 
 
-def fake_share(df: DataFrame, by: str, label: str) -> DataFrame:
+def fake_share_by(df: DataFrame, by: str, label: str) -> DataFrame:
     """(by, n, fakes, pct): reviews of each value and how many in a hundred are fake; rows without a label are left out."""
     return df.where(F.col(label).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("fakes"), F.round(F.avg(label) * 100, 4).alias("pct"))
 

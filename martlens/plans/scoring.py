@@ -217,7 +217,7 @@ def labels_from_codes(spark, sf):
 
 @query(f"WITH {REVIEWS_SQL} SELECT rating, count(*) AS n, CAST(sum(is_fake) AS BIGINT) AS fakes, round(avg(is_fake) * 100, 4) AS pct FROM reviews WHERE is_fake IS NOT NULL GROUP BY 1")
 def fake_share_by_rating(spark, sf):
-    return reviews.fake_share(review_rows(spark, sf), "rating", "is_fake")
+    return reviews.fake_share_by(review_rows(spark, sf), "rating", "is_fake")
 
 
 @query(
