@@ -90,6 +90,14 @@ OPINIONS = {
 }
 #: How subjective words of that strength are.
 SUBJECTIVITY = {1.0: 0.9, 0.5: 0.6}
+#: Words of the same lexicon that turn an opinion round, and that make one stronger or weaker.
+NEGATIONS = ["not", "no", "never", "cannot", "without", "don't", "doesn't", "didn't", "isn't", "wasn't", "can't", "won't", "pas", "jamais", "sans", "ni", "nicht", "kein", "keine", "nie", "ohne"]
+STRONGER = ["very", "really", "extremely", "so", "too", "absolutely", "très", "vraiment", "tellement", "trop", "sehr", "wirklich", "absolut"]
+WEAKER = ["quite", "rather", "slightly", "somewhat", "fairly", "assez", "plutôt", "peu", "ziemlich", "etwas", "eher"]
+#: Words that a negation reaches, what is left of a negated opinion, and what each strengthening and weakening word multiplies.
+NEGATION_REACH, NEGATED, STRONGER_BY, WEAKER_BY = 3, -0.5, 1.3, 0.5
+#: A word, or a mark that ends a sentence.
+WORD_OR_END = r"(\p{L}+(?:'\p{L}+)?|[.!?;])"
 NOT_FOUND = ["404 Not Found", "Whoops, our bad"]
 SHOP_BRAND = r"(?i)^(HP|ASUS|Lenovo|Dell|Acer|MSI|Apple|Samsung|Razer)\b"
 #: Review length from which a request is answered, and stages that a model version can be moved to.

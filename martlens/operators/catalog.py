@@ -87,7 +87,8 @@ def unify(frames: Sequence[DataFrame], key: str, ties: Sequence[str]) -> DataFra
     enriched, with ids in the order of ``key``, which comes first."""
     rows = union_sources(frames)
     listed = rows.select(key)
-    rows = latest_by_url(rows.withColumn("price_value", prices.clean_price(F.col("price_value"))), ties)
+    with_url = rows.where("product_url <> ''")  # others are not valid whichever is the latest, and would meet in one group
+    rows = latest_by_url(with_url.withColumn("price_value", prices.clean_price(F.col("price_value"))), ties)
     rows = with_ids(enrich(valid(rows)), key, like=listed)
     return rows.select("product_id", *[c for c in rows.columns if c != "product_id"])
 

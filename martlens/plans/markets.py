@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, prices
 from ..operators import catalog, export, matching, stats
-from ..sources.shared import staged
-from ..sources.tables import SHOP_ROWS_SQL, shop_rows
-from .queries import _BRAND, _CATEGORY, _FIRST, _NORM, _SORTED, _STOP, cascade_sql, fuzzy_sql
+from ..sources import published
+from ..sources.shared import new_folder, staged
+from ..sources.tables import OFFERS_SQL, SHOP_ROWS_SQL, offers, shop_rows
+from .queries import _BRAND, _CATEGORY, _FIRST, _NORM, _SORTED, _STOP, _TIES, cascade_sql, fuzzy_sql
 from .registry import query, quoted
 
 #: (market, currency, shop, the shop's columns for name and price)
@@ -60,6 +61,37 @@ def consolidation_summary(spark, sf):
     return catalog.summary(products(spark, sf), loaded)
 
 
+# Scrapes that come one after the other
+
+#: Times that part the listings into scrapes.
+_SCRAPES = ["1995-01-01", "1997-01-01"]
+_KEPT = ["product_url", "product_name", "price_value", "scraped_at", *[t for t in _TIES if t.startswith("row_")]]
+_NEWEST_SQL = lambda name, of: f"{name} AS (SELECT * FROM {of} QUALIFY row_number() OVER (PARTITION BY product_url ORDER BY scraped_at DESC, row_a, row_b, row_c, price_value) = 1)"
+
+
+def _merge(spark, sf, folder: str, scrapes: range) -> DataFrame:
+    """The published table after these scrapes; the latest part comes first, for what comes late may be old."""
+    rows = offers(spark, sf).select(*_KEPT)
+    at = F.when(F.col("scraped_at") >= _SCRAPES[1], 0).when(F.col("scraped_at") < _SCRAPES[0], 1).otherwise(2)
+    for i in scrapes:
+        published.merge(rows.where(at == i), folder, f"scrape_{i}", "product_url", "scraped_at", _TIES)
+    return published.read_newest(spark, folder)
+
+
+@query(f"WITH {OFFERS_SQL}, {_NEWEST_SQL('newest', 'offers')} SELECT product_url, product_name, price_value, scraped_at, row_a, row_b, row_c FROM newest")
+def products_merged(spark, sf):
+    """Three scrapes merged one after the other into stored products: the rows that all listings at once would give."""
+    return _merge(spark, sf, new_folder(spark, "products"), range(3))
+
+
+@query(f"WITH {OFFERS_SQL}, before AS (SELECT * FROM offers WHERE scraped_at >= TIMESTAMP '{_SCRAPES[1]}' OR scraped_at < TIMESTAMP '{_SCRAPES[0]}'), {_NEWEST_SQL('a', 'before')}, {_NEWEST_SQL('b', 'offers')} SELECT product_url, CASE WHEN a.row_a IS NULL THEN 'new' WHEN a.price_value IS NOT DISTINCT FROM b.price_value THEN 'same' ELSE 'changed' END AS change, a.price_value AS old_price_value, b.price_value AS new_price_value FROM a FULL JOIN b USING (product_url)")
+def scrape_changes(spark, sf):
+    """What the last scrape changed of the stored products."""
+    folder = new_folder(spark, "products")
+    before = _merge(spark, sf, folder, range(2))
+    return published.changes(before, _merge(spark, sf, folder, range(2, 3)), "product_url", "price_value")
+
+
 # Matches of the whole cascade
 
 

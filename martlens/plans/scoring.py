@@ -63,6 +63,32 @@ def sentiment_scores(spark, sf):
     return rows.withColumn("sentiment", text.sentiment_label(F.col("sentiment_polarity")))
 
 
+_SAID = ["not very good", "very, very bad", "pas du tout vraiment bon", "Never again; good!", "nicht gut, sehr schlecht", "quite nice and not broken", "isn’t it really rather great? no bad", ""]
+_LIST = lambda words: "(" + ", ".join(map(quoted, words)) + ")"
+_VALUE = "CASE " + " ".join(f"WHEN w IN {_LIST(ws)} THEN {v}::DOUBLE" for v, ws in fixed.OPINIONS.items()) + " END"
+_BY = f"pow({fixed.STRONGER_BY}::DOUBLE, strong) * pow({fixed.WEAKER_BY}::DOUBLE, weak)"
+_ENDS = "('.', '!', '?', ';')"
+
+
+@query(
+    f"""WITH said AS (SELECT doc_id, coalesce(text, '') || '. ' || [{', '.join(map(quoted, _SAID))}][doc_id % {len(_SAID)} + 1] AS t FROM documents),
+ tokens AS (SELECT doc_id, regexp_extract_all(replace(lower(t), '’', {quoted("'")}), {quoted(fixed.WORD_OR_END)}) AS ws FROM said),
+ each_one AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM tokens),
+ sentences AS (SELECT *, count(CASE WHEN w IN {_ENDS} THEN 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM each_one),
+ words AS (SELECT doc_id, sentence, i, w, {_VALUE} AS v, CAST(w IN {_LIST(fixed.STRONGER)} AS INTEGER) AS is_strong, CAST(w IN {_LIST(fixed.WEAKER)} AS INTEGER) AS is_weak, w IN {_LIST(fixed.NEGATIONS)} AS turns FROM sentences WHERE w NOT IN {_ENDS}),
+ runs AS (SELECT *, count(CASE WHEN is_strong + is_weak = 0 THEN 1 END) OVER (PARTITION BY doc_id, sentence ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run,
+ max(CASE WHEN turns THEN i END) OVER near AS last_turn, max(CASE WHEN v IS NOT NULL THEN i END) OVER near AS last_opinion FROM words WINDOW near AS (PARTITION BY doc_id, sentence ORDER BY i ROWS BETWEEN {fixed.NEGATION_REACH} PRECEDING AND 1 PRECEDING)),
+ counted AS (SELECT *, sum(is_strong) OVER (PARTITION BY doc_id, sentence, run) AS strong, sum(is_weak) OVER (PARTITION BY doc_id, sentence, run) AS weak, last_turn IS NOT NULL AND last_turn > coalesce(last_opinion, 0) AS turned FROM runs),
+ valued AS (SELECT doc_id, turned, greatest(-1, least(1, v * {_BY} * CASE WHEN turned THEN {fixed.NEGATED}::DOUBLE ELSE 1 END)) AS p, least(1, CASE abs(v) {' '.join(f'WHEN {k} THEN {x}::DOUBLE' for k, x in fixed.SUBJECTIVITY.items())} END * {_BY}) AS s FROM counted WHERE v IS NOT NULL)
+ SELECT d.doc_id, coalesce(round(avg(p), 6), 0) AS sentiment_polarity, coalesce(round(avg(s), 6), 0) AS sentiment_subjectivity, count(p) AS opinions, count(CASE WHEN turned THEN 1 END) AS negated FROM documents d LEFT JOIN valued USING (doc_id) GROUP BY 1"""
+)
+def sentiment_phrases(spark, sf):
+    """Sentiment of texts with negated and strengthened opinions at their ends, by a fold over the words."""
+    said = F.element_at(F.array(*[F.lit(p) for p in _SAID]), F.pmod("doc_id", F.lit(len(_SAID))).cast("int") + 1)
+    found = text.phrase_sentiment(F.concat(F.coalesce("text", F.lit("")), F.lit(". "), said))
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
 @query(f"WITH {REVIEWS_SQL}, g AS (SELECT is_fake, CAST(length(text) AS DOUBLE) AS x FROM reviews), q AS (SELECT is_fake, quantile_cont(x, 0.25) AS a, median(x) AS m, quantile_cont(x, 0.75) AS b FROM g GROUP BY 1) SELECT g.is_fake, round(a, 4) AS q1, round(m, 4) AS median, round(b, 4) AS q3, min(CASE WHEN x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN x END) AS low, max(CASE WHEN x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN x END) AS high, count(CASE WHEN NOT x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN 1 END) AS outliers FROM g JOIN q USING (is_fake) GROUP BY ALL")
 def length_box_plot(spark, sf):
     return stats.box_plot(review_rows(spark, sf).withColumn("x", F.char_length("text").cast("double")), "x", ["is_fake"])

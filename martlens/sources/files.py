@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _listed(spark: SparkSession, folder: str) -> list[str]:
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
@@ -34,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def newest_csv(spark: SparkSession, folder: str, source: str, schema: T.StructType) -> DataFrame:
     """The rows of ``<source>_latest.csv`` if there is one, else of the last ``<source>_products_*.csv`` by name, else none."""
-    names = _listed(spark, folder)
+    names = listed(spark, folder)
     dated = sorted(n for n in names if n.startswith(f"{source}_products_") and n.endswith(".csv"))
     chosen = f"{source}_latest.csv" if f"{source}_latest.csv" in names else dated[-1] if dated else None
     return read_csv(spark, f"{folder}/{chosen}", schema) if chosen else spark.createDataFrame([], schema)
@@ -75,9 +76,16 @@ def write_fakes(predictions: DataFrame, path: str) -> None:
 
 
 def write_versioned(df: DataFrame, folder: str, stamp: str) -> None:
-    """The newest copy and one under a time stamp."""
-    df.write.mode("overwrite").parquet(f"{folder}/latest")
+    """The newest copy and one under a time stamp, which is what was computed. ``sources.published`` has versions that
+    readers never see half written."""
     df.write.mode("overwrite").parquet(f"{folder}/{stamp}")
+    df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{stamp}").write.mode("overwrite").parquet(f"{folder}/latest")
+
+
+def write_csv_with_bom(df: DataFrame, path: str) -> None:
+    """CSV files that begin with a byte order mark, as spreadsheets ask for; it goes before the header's first name."""
+    first, *others = df.columns
+    write_csv(df.select(F.col(first).alias("\ufeff" + first), *others), path)
 
 
 def with_bom_removed(df: DataFrame) -> DataFrame:

@@ -3,19 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows written out under spark.checkpoint.dir: what reads them several times plans and computes them once, and
-    a lost executor costs no recomputation. Only a local master may have a folder of its own."""
-    sc = df.sparkSession.sparkContext
+def _set(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share. Only a local master may have one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not (sc.master or "").startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="martlens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path under spark.checkpoint.dir that nothing else uses."""
+    return f"{_set(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows written out under spark.checkpoint.dir: what reads them several times plans and computes them once, and
+    a lost executor costs no recomputation."""
+    _set(df.sparkSession)
     return df.checkpoint(eager=True)
