@@ -176,40 +176,44 @@ def sentiment(text: Column) -> dict[str, Column]:
     return {"sentiment_polarity": mean(lambda v: v), "sentiment_subjectivity": mean(lambda v: fixed.SUBJECTIVITY[abs(v)])}
 
 
-def phrase_sentiment(text: Column) -> dict[str, Column]:
-    """Polarity from -1 to 1 and subjectivity from 0 to 1 by phrases: means over opinion words, each as the words before it
-    make it; 0 without any. Also the number of opinions and of negated ones.
+def phrase_sentiment(text: Column) -> Column:
+    """(sentiment_polarity, sentiment_subjectivity, opinions, negated) by phrases, as a struct: polarity from -1 to 1 and
+    subjectivity from 0 to 1 are means over opinion words, each as the words before it make it, 0 without any.
 
     A fold over the words carries the state of the phrase. A strengthening or weakening word counts for the word right
     after it and these add up ("very, very good"); a negation reaches NEGATION_REACH words, up to the next opinion or the
     end of the sentence, and leaves NEGATED of the opinion ("not very good" is a weak dislike). A null text counts as empty.
     """
     words = F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\u2019", "'"), F.lit(fixed.WORD_OR_END), F.lit(1))
-    none = F.lit(None).cast("double")
-    value = lambda w: functools.reduce(lambda other, kv: F.when(w.isin(*kv[1]), F.lit(kv[0])).otherwise(other), fixed.OPINIONS.items(), none)
-    subjective = lambda v: functools.reduce(lambda other, kv: F.when(F.abs(v) == kv[0], F.lit(kv[1])).otherwise(other), fixed.SUBJECTIVITY.items(), none)
+    # each word as a number: the value of an opinion, else one of these, else 0
+    other, end, strong, weak, negation = (F.lit(float(n)) for n in (0, 10, 11, 12, 13))
+    listed = [([".", "!", "?", ";"], end), (fixed.STRONGER, strong), (fixed.WEAKER, weak), (fixed.NEGATIONS, negation), *[(ws, F.lit(v)) for v, ws in fixed.OPINIONS.items()]]
+    codes = F.transform(words, lambda w: functools.reduce(lambda rest, ws: F.when(w.isin(*ws[0]), ws[1]).otherwise(rest), listed, other))
     kinds = {"strong": "int", "weak": "int", "reach": "int", "polarity": "double", "subjectivity": "double", "opinions": "long", "negated": "long"}
     zeros = {k: F.lit(0).cast(t) for k, t in kinds.items()}
-    state = lambda s, **new: F.struct(*[F.coalesce(new.get(k, s[k]), zeros[k]).cast(t).alias(k) for k, t in kinds.items()])
-    calm = {k: zeros[k] for k in ("strong", "weak", "reach")}
+    state = lambda **new: F.struct(*[new[k].cast(t).alias(k) for k, t in kinds.items()])
 
-    def step(s: Column, w: Column) -> Column:
-        v, turned = value(w), s["reach"] > 0
+    def step(s: Column, v: Column) -> Column:
+        opinion, turned = F.abs(v).between(0.01, 1.0), s["reach"] > 0
         by = F.pow(F.lit(fixed.STRONGER_BY), s["strong"]) * F.pow(F.lit(fixed.WEAKER_BY), s["weak"])
-        polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * by * F.when(turned, F.lit(fixed.NEGATED)).otherwise(F.lit(1.0))))
-        opinion = {"polarity": s["polarity"] + polarity, "subjectivity": s["subjectivity"] + F.least(F.lit(1.0), subjective(v) * by), "opinions": s["opinions"] + 1, "negated": s["negated"] + turned.cast("int")}
-        strong, weak, left = w.isin(*fixed.STRONGER), w.isin(*fixed.WEAKER), F.greatest(F.lit(0), s["reach"] - 1)
-        return (
-            F.when(v.isNotNull(), state(s, **calm, **opinion))
-            .when(w.isin(".", "!", "?", ";"), state(s, **calm))
-            .when(strong | weak, state(s, strong=s["strong"] + strong.cast("int"), weak=s["weak"] + weak.cast("int"), reach=left))
-            .when(w.isin(*fixed.NEGATIONS), state(s, **calm | {"reach": F.lit(fixed.NEGATION_REACH)}))
-            .otherwise(state(s, **calm | {"reach": left}))
+        said = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * by * F.when(turned, F.lit(fixed.NEGATED)).otherwise(F.lit(1.0))))
+        subjective = functools.reduce(lambda rest, kv: F.when(F.abs(v) == kv[0], F.lit(kv[1])).otherwise(rest), fixed.SUBJECTIVITY.items(), F.lit(0.0))
+        add = lambda name, by, more: s[name] + F.when(by, more).otherwise(0)
+        return state(
+            strong=F.when(v == strong, s["strong"] + 1).when(v == weak, s["strong"]).otherwise(0),
+            weak=F.when(v == weak, s["weak"] + 1).when(v == strong, s["weak"]).otherwise(0),
+            reach=F.when(v == negation, fixed.NEGATION_REACH).when(opinion | (v == end), 0).otherwise(F.greatest(F.lit(0), s["reach"] - 1)),
+            polarity=add("polarity", opinion, said),
+            subjectivity=add("subjectivity", opinion, F.least(F.lit(1.0), subjective * by)),
+            opinions=add("opinions", opinion, 1),
+            negated=add("negated", opinion & turned, 1),
         )
 
-    found = F.aggregate(words, state(zeros), step)
-    mean = lambda c: F.coalesce(F.round(F.try_divide(found[c], found["opinions"]), 6), F.lit(0.0))
-    return {"sentiment_polarity": mean("polarity"), "sentiment_subjectivity": mean("subjectivity"), "opinions": found["opinions"], "negated": found["negated"]}
+    def means(s: Column) -> Column:
+        mean = lambda c: F.coalesce(F.round(F.try_divide(s[c], s["opinions"]), 6), F.lit(0.0)).alias(f"sentiment_{c}")
+        return F.struct(mean("polarity"), mean("subjectivity"), s["opinions"].alias("opinions"), s["negated"].alias("negated"))
+
+    return F.aggregate(codes, state(**zeros), step, means)
 
 
 def rating_features(rating: Column) -> dict[str, Column]:

@@ -86,7 +86,7 @@ def sentiment_phrases(spark, sf):
     """Sentiment of texts with negated and strengthened opinions at their ends, by a fold over the words."""
     said = F.element_at(F.array(*[F.lit(p) for p in _SAID]), F.pmod("doc_id", F.lit(len(_SAID))).cast("int") + 1)
     found = text.phrase_sentiment(F.concat(F.coalesce("text", F.lit("")), F.lit(". "), said))
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in found.items()])
+    return table(spark, sf, "documents").select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
 @query(f"WITH {REVIEWS_SQL}, g AS (SELECT is_fake, CAST(length(text) AS DOUBLE) AS x FROM reviews), q AS (SELECT is_fake, quantile_cont(x, 0.25) AS a, median(x) AS m, quantile_cont(x, 0.75) AS b FROM g GROUP BY 1) SELECT g.is_fake, round(a, 4) AS q1, round(m, 4) AS median, round(b, 4) AS q3, min(CASE WHEN x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN x END) AS low, max(CASE WHEN x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN x END) AS high, count(CASE WHEN NOT x BETWEEN a - (b - a) * 1.5 AND b + (b - a) * 1.5 THEN 1 END) AS outliers FROM g JOIN q USING (is_fake) GROUP BY ALL")

@@ -31,7 +31,7 @@ CASES = [
 
 def test_phrases(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, t string")
-    got = {r["i"]: r for r in df.select("i", *[c.alias(k) for k, c in text.phrase_sentiment(F.col("t")).items()]).collect()}
+    got = {r["i"]: r for r in df.select("i", text.phrase_sentiment(F.col("t")).alias("x")).select("i", "x.*").collect()}
     for i, (said, polarity, subjectivity, n, negated) in enumerate(CASES):
         r = got[i]
         assert (r["sentiment_polarity"], r["sentiment_subjectivity"], r["opinions"], r["negated"]) == (pytest.approx(polarity), pytest.approx(subjectivity), n, negated), (said or "")[:40]
