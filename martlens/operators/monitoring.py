@@ -116,3 +116,12 @@ def run_durations(runs: DataFrame, slow: float = 3600.0) -> DataFrame:
     """Runs (run_id, start_time, end_time, ...) with seconds and whether they are slow; null while a run goes on."""
     seconds = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
     return runs.withColumn("seconds", F.round(seconds / 1_000_000, 3)).withColumn("slow", F.col("seconds") > slow)
+
+
+def scraping_performance(runs: DataFrame, by: str, least: float = 0.95) -> DataFrame:
+    """(by, total, success, failed, success_rate, seconds_per_item, alert) of runs (by, ok, seconds): the time of all items over the
+    successful ones, null without any; ``alert`` where fewer than ``least`` succeed. A missing ``ok`` is a failure, a missing
+    time takes none."""
+    sums = runs.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.coalesce("ok", F.lit(False))).alias("success"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("_s"))
+    rate = F.col("success") / F.col("total")
+    return sums.select(by, "total", "success", (F.col("total") - F.col("success")).alias("failed"), F.round(rate, 6).alias("success_rate"), F.round(F.try_divide("_s", "success"), 4).alias("seconds_per_item"), (rate < least).alias("alert"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import clean_review
 
 #: What each method answers with: the model named in the answer. All read the text model's score, as the other model has
 #: features but no text; a method that is not listed has no answer.
@@ -51,6 +52,13 @@ def usable(reviews: DataFrame, text: str, *needed: str) -> DataFrame:
     return reviews.dropna(subset=[text, *needed]).where(F.trim(text) != "")
 
 
+def usable_cleaned(reviews: DataFrame, text: str, *needed: str) -> DataFrame:
+    """Reviews with their cleaned text as text_clean, of which something has to be left, and no null in the text or the other
+    columns named."""
+    cleaned = reviews.dropna(subset=[text, *needed]).withColumn("text_clean", clean_review(F.col(text)))
+    return cleaned.where("text_clean <> ''")
+
+
 def text_scores(rows: DataFrame, scorer: Callable[[list[str]], list[float]] | None, text: str = "text", batch: int = 16, name: str = "bert_score") -> DataFrame:
     """Rows with the scores of a text model called on batches: 0.5 for a batch on which it fails, zeros without a model.
 

@@ -72,11 +72,31 @@ def pearson(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in columns])).alias("x")).select("x.*")
 
 
-def pooled_t(df: DataFrame, value: str, flag: Column) -> DataFrame:
-    """(mean_a, mean_b, t): two-sample t statistic with pooled variance."""
+def _pooled(df: DataFrame, value: str, flag: Column) -> DataFrame:
+    """(ma, mb, t, freedom), one row: means of either group, the pooled t statistic as it is, na + nb - 2."""
     pick = lambda f, c: f(F.when(c, F.col(value)))
     one = df.agg(*[f.alias(n) for n, f in {"na": pick(F.count, flag), "nb": pick(F.count, ~flag), "ma": pick(F.avg, flag), "mb": pick(F.avg, ~flag), "va": pick(F.var_samp, flag), "vb": pick(F.var_samp, ~flag)}.items()])
-    return one.selectExpr("round(ma, 4) as mean_a", "round(mb, 4) as mean_b", "round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1D / na + 1D / nb)), 4) as t")
+    spread = "sqrt(try_divide((na - 1) * va + (nb - 1) * vb, na + nb - 2) * (try_divide(1D, na) + try_divide(1D, nb)))"
+    return one.selectExpr("ma", "mb", f"try_divide(ma - mb, {spread}) as t", "na + nb - 2 as freedom")
+
+
+def pooled_t(df: DataFrame, value: str, flag: Column) -> DataFrame:
+    """(mean_a, mean_b, t): two-sample t statistic with pooled variance; t is null if a group is empty or nothing varies."""
+    return _pooled(df, value, flag).selectExpr("round(ma, 4) as mean_a", "round(mb, 4) as mean_b", "round(t, 4) as t")
+
+
+#: Steps of the integrals behind a p value, and the deviations that they go out to.
+P_STEPS, P_REACH = 2000, 12
+
+
+def p_value_sql(steps: str) -> str:
+    """SQL, in Spark and DuckDB, for the two-sided p value of columns t and freedom: with x = sqrt(freedom) tan(angle), the density
+    of t is a power of the cosine, so p is the share of its integral beyond the angle of t, both by Simpson's rule. ``steps``
+    says how to sum an expression in k from 0 to P_STEPS."""
+    high = f"least(pi() / 2, {P_REACH} / sqrt(CAST(freedom AS DOUBLE)))"
+    low = f"least(atan(abs(t) / sqrt(CAST(freedom AS DOUBLE))), {high})"
+    term = lambda at: f"(CASE WHEN k = 0 OR k = {P_STEPS} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(greatest(CAST(0 AS DOUBLE), cos({at} + ({high} - {at}) * k / {P_STEPS})), CAST(freedom - 1 AS DOUBLE))"
+    return f"CASE WHEN freedom > 0 AND t IS NOT NULL THEN round({steps.format(term(low))} * ({high} - {low}) / ({steps.format(term('0'))} * {high}), 6) END"
 
 
 def two_sided_p(t: float, freedom: float) -> float:
@@ -104,12 +124,9 @@ def two_sided_p(t: float, freedom: float) -> float:
 
 
 def t_test(df: DataFrame, value: str, flag: Column) -> DataFrame:
-    """pooled_t with freedom and the two-sided p value of its one row."""
-    rows = df.select(value, flag.alias("_f"))
-    one = pooled_t(rows, value, F.col("_f")).crossJoin(F.broadcast(rows.where(F.col("_f").isNotNull() & F.col(value).isNotNull()).agg((F.count("*") - 2).alias("freedom"))))
-    r = one.first()
-    p = two_sided_p(r["t"], r["freedom"]) if r["t"] is not None else None
-    return one.withColumn("p_value", F.round(F.lit(p).cast("double"), 6))
+    """pooled_t with freedom and the two-sided p value of its one row, from t as it is; no action while the plan is built."""
+    summed = f"aggregate(sequence(0, {P_STEPS}), 0D, (s, k) -> s + {{}})"
+    return _pooled(df, value, flag).selectExpr("round(ma, 4) as mean_a", "round(mb, 4) as mean_b", "round(t, 4) as t", "freedom", f"{p_value_sql(summed)} as p_value")
 
 
 def token_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> DataFrame:

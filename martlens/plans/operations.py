@@ -270,6 +270,13 @@ def run_durations(spark, sf):
     return monitoring.run_durations(table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("start_time"), end.alias("end_time")), 60.0).select("run_id", "seconds", "slow")
 
 
+@query("SELECT event_type, count(*) AS total, count(CASE WHEN event_id % 19 <> 0 THEN 1 END) AS success, count(CASE WHEN event_id % 19 = 0 THEN 1 END) AS failed, round(count(CASE WHEN event_id % 19 <> 0 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS success_rate, round(sum(value) / count(CASE WHEN event_id % 19 <> 0 THEN 1 END), 4) AS seconds_per_item, count(CASE WHEN event_id % 19 <> 0 THEN 1 END) / CAST(count(*) AS DOUBLE) < 0.95 AS alert FROM events GROUP BY 1")
+def scraping_performance(spark, sf):
+    """Success and time for each item of scrapes; one item in 19 fails."""
+    items = table(spark, sf, "events").select("event_type", (F.col("event_id") % 19 != 0).alias("ok"), F.col("value").alias("seconds"))
+    return monitoring.scraping_performance(items, "event_type")
+
+
 @query("SELECT column_name, missing, pct FROM (SELECT 'page_id' AS column_name, count(*) - count(page_id) AS missing, round((count(*) - count(page_id)) * 100.0 / count(*), 4) AS pct FROM pages UNION ALL SELECT 'odd', count(*) - count(CASE WHEN page_id % 7 <> 0 THEN 1 END), round((count(*) - count(CASE WHEN page_id % 7 <> 0 THEN 1 END)) * 100.0 / count(*), 4) FROM pages) WHERE missing > 0")
 def missing_only(spark, sf):
     return stats.missing_only(table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 7 != 0, 1).alias("odd")))

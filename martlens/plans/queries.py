@@ -62,6 +62,13 @@ def default_scraped_at(spark, sf):
     return out.groupBy("l_linenumber").agg(F.count("scraped_at").alias("n"))
 
 
+@query("SELECT l_linenumber, count(*) AS n, count(CASE WHEN l_orderkey % 3 <> 0 THEN 1 END) AS dated, max(CASE WHEN l_orderkey % 3 <> 0 THEN l_shipdate END) AS latest FROM lineitem GROUP BY 1")
+def default_scraped_at_mixed(spark, sf):
+    """Some rows have a time, so the others keep none."""
+    rows = table(spark, sf, "lineitem").select("l_linenumber", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_shipdate")).alias("scraped_at"))
+    return catalog.default_scraped_at(rows, "2024-01-01").groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count("scraped_at").alias("dated"), F.max("scraped_at").alias("latest"))
+
+
 _PRICES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CAST(floor(l_extendedprice) AS BIGINT) AS w, CAST(l_quantity AS BIGINT) AS c FROM lineitem)"
 
 

@@ -9,7 +9,7 @@ from ..functions import fixed, text
 from ..operators import crossfit, export, monitoring, reviews, scoring, stats, training
 from ..sources.tables import REVIEWS_SQL, SCORES_SQL, scores, table
 from ..sources.tables import reviews as review_rows
-from .queries import _COUNT, _ENSEMBLE_SQL, _scored
+from .queries import _CLEAN, _COUNT, _ENSEMBLE_SQL, _scored
 from .registry import query, quoted
 
 # Features
@@ -94,7 +94,7 @@ def length_box_plot(spark, sf):
     return stats.box_plot(review_rows(spark, sf).withColumn("x", F.char_length("text").cast("double")), "x", ["is_fake"])
 
 
-@query()
+@query(f"WITH {REVIEWS_SQL}, s AS (SELECT is_fake, count(*) AS n, avg(length(text)) AS m, var_samp(length(text)) AS v FROM reviews GROUP BY 1), one AS (SELECT a.m AS ma, b.m AS mb, a.n + b.n - 2 AS freedom, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t FROM s a, s b WHERE a.is_fake = 1 AND b.is_fake = 0) SELECT round(ma, 4) AS mean_a, round(mb, 4) AS mean_b, round(t, 4) AS t, freedom, {stats.p_value_sql(f'(SELECT sum({{}}) FROM range({stats.P_STEPS + 1}) r(k))')} AS p_value FROM one")
 def ttest_length_p(spark, sf):
     """The pooled t test with its p value, against numerical integration in a test."""
     return stats.t_test(review_rows(spark, sf).select(F.char_length("text").alias("x"), "is_fake"), "x", F.col("is_fake") == 1)
@@ -133,6 +133,17 @@ def usable_reviews(spark, sf):
     return scoring.usable(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text", "lang").groupBy("lang").agg(F.count("*").alias("n"))
 
 
+_CLEANED = "trim(" + _CLEAN.replace("coalesce(text, '')", "coalesce(said, '')") + ")"
+
+
+@query(f"WITH s AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'https://shop.example/p/1 me@shop.example' WHEN 1 THEN '<br> -- ' ELSE text END AS said FROM documents) SELECT lang, count(*) AS n, CAST(sum(length({_CLEANED})) AS BIGINT) AS chars FROM s WHERE said IS NOT NULL AND lang IS NOT NULL AND {_CLEANED} <> '' GROUP BY 1")
+def usable_cleaned_reviews(spark, sf):
+    """Reviews of which something is left after cleaning; of some, nothing is: they hold an address or a tag alone."""
+    said = F.when(F.col("doc_id") % 5 == 0, "https://shop.example/p/1 me@shop.example").when(F.col("doc_id") % 5 == 1, "<br> -- ").otherwise(F.col("text"))
+    rows = scoring.usable_cleaned(table(spark, sf, "documents").select("doc_id", "lang", said.alias("said")), "said", "lang")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text_clean")).alias("chars"))
+
+
 _METHOD_SQL = "CASE doc_id % 4 WHEN 0 THEN 'bert_only' WHEN 1 THEN 'xgboost_only' WHEN 2 THEN 'ensemble' ELSE 'other' END"
 
 

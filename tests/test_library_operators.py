@@ -83,3 +83,25 @@ def test_models_learn_a_planted_rule(spark, kind, monkeypatch):
     if kind != "logreg":
         found = training.importances(model, spark).collect()
         assert [r["feature"] for r in found] == training.FEATURES and abs(sum(r["importance"] for r in found) - 1) < 1e-6
+
+
+def test_t_test_without_a_group_or_variance(spark):
+    from martlens.operators import stats
+
+    df = lambda rows: spark.createDataFrame(rows, "x double, f boolean")
+    for rows in ([], [(1.0, True), (2.0, True)], [(1.0, True), (1.0, False), (1.0, True)]):
+        got = stats.t_test(df(rows), "x", F.col("f")).first()
+        assert got["t"] is None and got["p_value"] is None
+    far = stats.t_test(df([(float(i % 3), True) for i in range(3000)] + [(50.0 + i % 3, False) for i in range(3000)]), "x", F.col("f")).first()
+    assert far["p_value"] == 0.0
+    even = stats.t_test(df([(float(i % 3), i % 2 == 0) for i in range(6)]), "x", F.col("f")).first()
+    assert even["t"] == 0.0 and even["p_value"] == 1.0
+
+
+def test_scraping_performance(spark):
+    from martlens.operators import monitoring
+
+    rows = [("a", True, 1.0), ("a", None, None), ("b", False, 3.0), ("c", True, 2.0), ("c", True, 4.0), (None, True, 1.0)]
+    got = {r[0]: tuple(r)[1:] for r in monitoring.scraping_performance(spark.createDataFrame(rows, "k string, ok boolean, seconds double"), "k").collect()}
+    assert got == {"a": (2, 1, 1, 0.5, 1.0, True), "b": (1, 0, 1, 0.0, None, True), "c": (2, 2, 0, 1.0, 3.0, False), None: (1, 1, 0, 1.0, 1.0, False)}
+    assert monitoring.scraping_performance(spark.createDataFrame([], "k string, ok boolean, seconds double"), "k").count() == 0
