@@ -93,6 +93,26 @@ def sample_collection(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, columns)
 
 
+def store_documents(stores: DataFrame, products: DataFrame) -> DataFrame:
+    """Stores (_id, name, country, currency) with their number of products, how many are in stock and the mean price; zeros and
+    null where a store has none. ``stores`` is a short list; products have (source, in_stock, price_value)."""
+    found = products.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("products"), F.count_if("in_stock").alias("in_stock"), F.round(F.avg("price_value"), 2).alias("mean_price"))
+    rows = stores.join(found, "name", "left")
+    return rows.select("_id", "name", "country", "currency", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("products", "in_stock")], "mean_price")
+
+
+def search_documents(searches: DataFrame, products: DataFrame, name: str = "product_name_normalized") -> DataFrame:
+    """Searches (_id, user_id, query) with results_count: products whose normalized name holds every word of the query.
+
+    The searches are a stated list that the driver holds, so each product is read once and gives a row only for a search
+    that finds it, counted before the shuffle. A search without words finds nothing.
+    """
+    asked = [(r["_id"], sorted(set((r["query"] or "").lower().split()))) for r in searches.select("_id", "query").collect()]
+    listed = F.array(*[F.when(F.lit(True) if not words else ~F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.coalesce(F.col(name), F.lit("")), w)), None).otherwise(F.lit(i)) for i, words in asked])
+    hits = products.select(F.explode(F.array_compact(listed)).alias("_id")).groupBy("_id").agg(F.count("*").alias("n"))
+    return searches.join(hits, "_id", "left").select("_id", "user_id", "query", F.coalesce("n", F.lit(0)).alias("results_count"))
+
+
 def object_ids(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """(key, one_based, zero_based): generic ids of six digits in the order of a key."""
     from .catalog import with_ids

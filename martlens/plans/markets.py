@@ -185,3 +185,19 @@ _ID = lambda c: f"CASE {c} " + " ".join(f"WHEN {quoted(n)} THEN 'cat_{i:06d}'" f
 def product_documents(spark, sf):
     docs = export.product_documents(products(spark, sf), export.categories(spark, fixed.CATEGORIES))
     return docs.withColumn("specifications", F.to_json("specifications"))
+
+
+_STORES = ", ".join(str(r) for r in export.SAMPLE_COLLECTIONS["stores"][1])
+_SEARCHES = ", ".join(str(r[:3]) for r in export.SAMPLE_COLLECTIONS["search_history"][1])
+
+
+@query(f"WITH {PRODUCTS_SQL}, stores(_id, name, country, currency) AS (VALUES {_STORES}), per_store AS (SELECT source AS name, count(*) AS n, count(CASE WHEN in_stock THEN 1 END) AS stocked, round(avg(price_value), 2) AS mean_price FROM products GROUP BY 1) SELECT _id, name, country, currency, coalesce(n, 0) AS products, coalesce(stocked, 0) AS in_stock, mean_price FROM stores LEFT JOIN per_store USING (name)")
+def store_documents(spark, sf):
+    """The collection of stores, with what the unified products hold of each."""
+    return export.store_documents(export.sample_collection(spark, "stores"), products(spark, sf))
+
+
+@query(f"WITH {PRODUCTS_SQL}, searches(_id, user_id, query) AS (VALUES {_SEARCHES}) SELECT _id, user_id, query, count(p.product_id) AS results_count FROM searches LEFT JOIN products p ON len(list_filter(string_split(lower(query), ' '), lambda x: NOT contains(p.product_name_normalized, x))) = 0 GROUP BY 1, 2, 3")
+def search_documents(spark, sf):
+    """The collection of searches, with the number of products that each finds now."""
+    return export.search_documents(export.sample_collection(spark, "search_history").drop("results_count"), products(spark, sf))
