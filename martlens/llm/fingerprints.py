@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 DENSE, PACKED = 8, 60
 #: Two lanes of 30 bits lie in one long; bits 0 and 30 of a shifted hash are their increments. No text that fits in a row
 #: has the 2^30 paragraphs that would carry from one lane into the other.
@@ -87,7 +89,7 @@ def likeness_sql(a: str, b: str) -> str:
 
 
 def id_buckets(docs: DataFrame, parts: int) -> Column:
-    """A bucket number for doc_id that falls as doc_id rises: 256 quantiles of the ids, each cut into equal widths."""
+    """A bucket number for doc_id, not null, that falls as doc_id rises: 256 quantiles of the ids, each cut into equal widths."""
     coarse = min(256, parts)
     marks = docs.agg(F.percentile_approx("doc_id", [i / coarse for i in range(coarse + 1)], 10_000)).first()[0] or [0, 0]
     marks = sorted({int(m) for m in marks})
@@ -96,7 +98,7 @@ def id_buckets(docs: DataFrame, parts: int) -> Column:
     i = F.greatest(F.lit(1), F.least(F.lit(max(1, len(marks) - 1)), F.size(F.filter(bounds, lambda m: m <= F.col("doc_id")))))
     low, high = F.get(bounds, i - 1), F.coalesce(F.get(bounds, i), F.get(bounds, i - 1))
     step = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((F.col("doc_id") - low).cast("double") * fine / F.greatest(F.lit(1), high - low).cast("double")))).cast("int")
-    return F.when(F.col("doc_id").isNull(), F.lit(2_000_000_000)).otherwise(F.lit(1_000_000_000) - (i * fine + step)).cast("int")
+    return (F.lit(1_000_000_000) - (i * fine + step)).cast("int")
 
 
 def _followed(rows: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -119,23 +121,58 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     One row for each row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The next document is the one of the next smaller doc_id, after the last the first; of rows
     with one doc_id the smaller text comes first, a null doc_id comes last. A null text is empty. A single row is its
-    own next document. Other columns are ignored; an empty table gives an empty result.
+    own next document. Other columns are ignored; an empty table gives an empty result. However many rows share an id or
+    have none, they are spread over tasks by their texts, and equal rows count as one until the end.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = docs.withColumn("bucket", id_buckets(docs, parts)).withColumn("ord", F.row_number().over(order))
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc())
+        return _fingerprints(docs.withColumn("bucket", id_buckets(docs, parts)).withColumn("ord", F.row_number().over(order)), [])
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text", F.col("times").desc())
+    found = _fingerprints(ranged(docs, parts).withColumn("ord", F.row_number().over(order)), ["times"])
+    return repeated(found, "times", parts)
+
+
+#: Characters of a text by which rows of one id are put in ranges, and rows that one task writes of an equal row.
+RANGE_CHARS, CHUNK = 64, 4096
+
+
+def ranged(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows (doc_id, text, times, bucket) in ranges along the order of documents, where ids repeat or lack.
+
+    Equal rows are counted first: all but the last of them are followed by the same text, so they are one row of that many
+    times, before one that stands for the last. Ranges are written out, so that all that follows sees the same ones.
+    Only different texts of one id that begin with the same RANGE_CHARS characters cannot be put apart.
+    """
+    counted = docs.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    one = F.lit(1).cast("long")
+    times = F.when(F.col("n") > 1, F.array(F.col("n") - 1, one)).otherwise(F.array(one))
+    spread = counted.repartitionByRange(parts, F.col("doc_id").desc_nulls_last(), F.substring("text", 1, RANGE_CHARS))
+    return cut(spread.select("doc_id", "text", F.explode(times).alias("times"), F.spark_partition_id().alias("bucket")))
+
+
+def repeated(rows: DataFrame, times: str, parts: int) -> DataFrame:
+    """Every row as often as its column ``times`` says, without that column, CHUNK copies at a time in as many tasks."""
+    left = F.col(times) - F.col("chunk") * CHUNK
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+    dealt = chunks.withColumn("copy", F.least(F.lit(CHUNK).cast("long"), left)).repartition(parts, "doc_id", "edited_sha256", "chunk")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copy")))).drop("copy", "chunk", times)
+
+
+def _fingerprints(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """The result's columns and those carried, of rows (doc_id, text, bucket, ord, carried...)."""
     rows = _followed(rows, ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.select("bucket", "ord", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
-    keys = ["bucket", "ord", "doc_id", "n_chars", "edited_sha256", "v"]
+    rows = rows.select("bucket", "ord", "doc_id", *carried, n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
+    keys = ["bucket", "ord", "doc_id", *carried, "n_chars", "edited_sha256", "v"]
     sums = paragraph_sums(rows.select(*keys[:-1], F.col("x.v").alias("v"), paragraphs(F.col("x.t")).alias("ps")), keys, "ps")
     flat = sums.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("v") == i, F.col(c))).alias(p + c) for i, p in ((0, "a_"), (1, "b_")) for c in SUMS])
     flat = _followed(flat, [f"a_{c}" for c in SUMS if c[0] != "d"] + [f"a_{c}" for c in SUMS if c[0] == "d"])
     flat = flat.withColumnsRenamed({f"next_a_{c}": f"c_{c}" for c in SUMS})
-    return flat.select("doc_id", "n_chars", "edited_sha256", fingerprint("a_").alias("fingerprint"), fingerprint("b_").alias("edited_fingerprint"), F.expr(likeness_sql("a_", "b_")).alias("near_edited"), F.expr(likeness_sql("a_", "c_")).alias("near_next"))
+    return flat.select("doc_id", "n_chars", "edited_sha256", fingerprint("a_").alias("fingerprint"), fingerprint("b_").alias("edited_fingerprint"), F.expr(likeness_sql("a_", "b_")).alias("near_edited"), F.expr(likeness_sql("a_", "c_")).alias("near_next"), *carried)
 
 
 def edited_fingerprints_sql(documents: str) -> str:
