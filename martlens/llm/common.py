@@ -93,3 +93,20 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Copies of a row that each_copy makes at a time.
+CHUNK = 4096
+
+
+def each_copy(rows: DataFrame, times: str, index: str, parts: int | None = None) -> DataFrame:
+    """Every row as often as its column ``times`` says, with the copies numbered from 0 in ``index`` and ``times`` dropped.
+
+    Copies are made CHUNK at a time; with ``parts`` these are dealt to so many tasks, as rows of very many copies need.
+    """
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(CHUNK).cast("long")))
+    chunks = rows.withColumn(index, first)
+    if parts is not None:
+        chunks = chunks.repartition(parts, *chunks.columns)
+    last = F.least(F.col(times), F.col(index) + CHUNK) - 1
+    return chunks.withColumn(index, F.explode(F.sequence(F.col(index), last))).drop(times)

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, each_copy
 
 DENSE, PACKED = 8, 60
 #: Two lanes of 30 bits lie in one long; bits 0 and 30 of a shifted hash are their increments. No text that fits in a row
@@ -131,11 +131,11 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return _fingerprints(docs.withColumn("bucket", id_buckets(docs, parts)).withColumn("ord", F.row_number().over(order)), [])
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text", F.col("times").desc())
     found = _fingerprints(ranged(docs, parts).withColumn("ord", F.row_number().over(order)), ["times"])
-    return repeated(found, "times", parts)
+    return each_copy(found, "times", "copy", parts).drop("copy")
 
 
-#: Characters of a text by which rows of one id are put in ranges, and rows that one task writes of an equal row.
-RANGE_CHARS, CHUNK = 64, 4096
+#: Characters of a text by which rows of one id are put in ranges.
+RANGE_CHARS = 64
 
 
 def ranged(docs: DataFrame, parts: int) -> DataFrame:
@@ -152,14 +152,6 @@ def ranged(docs: DataFrame, parts: int) -> DataFrame:
     return cut(spread.select("doc_id", "text", F.explode(times).alias("times"), F.spark_partition_id().alias("bucket")))
 
 
-def repeated(rows: DataFrame, times: str, parts: int) -> DataFrame:
-    """Every row as often as its column ``times`` says, without that column, CHUNK copies at a time in as many tasks."""
-    left = F.col(times) - F.col("chunk") * CHUNK
-    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
-    dealt = chunks.withColumn("copy", F.least(F.lit(CHUNK).cast("long"), left)).repartition(parts, "doc_id", "edited_sha256", "chunk")
-    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copy")))).drop("copy", "chunk", times)
-
-
 def _fingerprints(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
     """The result's columns and those carried, of rows (doc_id, text, bucket, ord, carried...)."""
     rows = _followed(rows, ["text"])

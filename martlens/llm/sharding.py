@@ -15,15 +15,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import CHUNK, cut, each_copy
 
 #: Shifts and masks of the digits of a key; the first three settle coordinate and text.
 _DIGITS = ((47, 0xFFFF), (31, 0xFFFF), (15, 0xFFFF), (0, 0x7FFF))
 #: A cut goes beside a group of equal texts if that moves it by at most this share of a shard. Cuts of three levels add up
 #: to 1.75 times that, and a group of up to twice that share is never parted.
 SNAP = 0.015
-#: Buckets for numbering the rows of a shard.
-SLOT_BUCKETS = 256
+#: Rows of a shard for each bucket by which they are numbered.
+SLOT_ROWS = 10_000
+#: Nodes up to which what is known of them is broadcast, at some 50 bytes each.
+MOST_BROADCAST = 1 << 16
 
 
 def _category(name: str) -> Column:
@@ -69,58 +71,72 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     rows = by_text(rows)
     dims = metadata_dimensions()
     rows = cut(rows.select("doc_id", "size", "text_crc32", *[c.alias(n) for n, c in dims.items()], F.lit(0).alias("node")))
-    spark = docs.sparkSession
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 1) // (target_bytes or 1 << 27)))
-    open_nodes = {0: shards}  # node -> shards below it; the driver holds no more entries than there are shards
-    while max(open_nodes.values()) > 1:
-        split = {n: k for n, k in open_nodes.items() if k > 1}
-        nodes = spark.createDataFrame([(n,) for n in split], "node int")
-        stats = rows.join(F.broadcast(nodes), "node").groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).collect()
-        state = {}
-        for s in stats:
-            k, names = split[s["node"]], list(dims)
-            axis = max(range(len(names)), key=lambda i: s[f"max_{names[i]}"] - s[f"min_{names[i]}"])
-            state[s["node"]] = {"axis": axis, "prefix": 0, "left": s["bytes"] * (k // 2) / k, "snap": SNAP * s["bytes"] / k, "cut": None}
-        keyed = _keyed(rows, spark.createDataFrame([(n, x["axis"]) for n, x in state.items()], "node int, axis int"), list(dims))
-        for depth, (shift, mask) in enumerate(_DIGITS):
-            undone = [(n, x["prefix"], float(x["left"])) for n, x in state.items() if x["cut"] is None]
-            if not undone:
-                break
-            above = shift + mask.bit_length()
-            asked = keyed.join(F.broadcast(spark.createDataFrame(undone, "node int, prefix long, left double")), "node")
-            asked = asked if depth == 0 else asked.where(F.shiftright("key", above) == F.col("prefix"))
-            sums = asked.groupBy("node", F.shiftright("key", shift).bitwiseAND(mask).alias("digit"), "left").agg(F.sum("size").alias("w"))
-            upto = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            for r in sums.withColumn("cum", F.sum("w").over(upto)).where("cum >= left and cum - w < left").select("node", "digit", "w", "cum", "left").collect():
-                x = state[r["node"]]
-                before = r["cum"] - r["w"]
-                x["prefix"] = (x["prefix"] << mask.bit_length()) | r["digit"]
-                x["left"] = r["left"] - before
-                low = x["left"] <= r["w"] - x["left"]
-                if depth == 3 or (depth == 2 and min(x["left"], r["w"] - x["left"]) <= x["snap"]):
-                    x["cut"] = (x["prefix"] + (0 if low else 1)) << shift
-        cuts = [(n, x["cut"] if x["cut"] is not None else 0, split[n]) for n, x in state.items()]
-        # left children keep the node's number, right ones follow after the shards of the left
-        placed = _keyed(rows, spark.createDataFrame([(n, x["axis"]) for n, x in state.items()], "node int, axis int"), list(dims), "left")
-        placed = placed.join(F.broadcast(spark.createDataFrame(cuts, "node int, cut long, k int")) if cuts else F.broadcast(nodes.selectExpr("node", "0L as cut", "1 as k").limit(0)), "node", "left")
-        rows = cut(placed.withColumn("node", F.when(F.col("key") >= F.col("cut"), F.col("node") + F.floor(F.col("k") / 2).cast("int")).otherwise(F.col("node"))).select("doc_id", "size", "text_crc32", *dims, "node"))
-        open_nodes = {m: j for n, k in open_nodes.items() for m, j in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, 1),))}
+    rows = rows.withColumn("k", F.lit(shards))
+    for level in range((shards - 1).bit_length()):
+        rows = cut(_split(rows, list(dims), 1 << level))
     return number_rows(rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard")))
 
 
-def _keyed(rows: DataFrame, axes: DataFrame, dims: list[str], how: str = "inner") -> DataFrame:
-    """Rows with the key along their node's axis; with "left", rows of other nodes have a null key."""
+def _split(rows: DataFrame, dims: list[str], nodes: int) -> DataFrame:
+    """Rows of at most ``nodes`` nodes, each with k shards below it, in the children of the nodes that have more than one.
+
+    What is known of a node (its axis, the digits of its cut so far, the bytes left of it that these do not settle) is a
+    row of a table. A left child keeps the node's number, a right one follows after the shards of the left.
+    """
+    ends = [f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]
+    stats = rows.where("k > 1").groupBy("node", "k").agg(F.sum("size").alias("bytes"), *ends)
+    widths = F.array(*[F.col(f"max_{d}") - F.col(f"min_{d}") for d in dims])
+    axis = (F.array_position(widths, F.array_max(widths)) - 1).cast("int")
+    left = (F.col("bytes") * F.floor(F.col("k") / 2) / F.col("k")).cast("double")
+    state = cut(stats.select("node", axis.alias("axis"), left.alias("left"), (SNAP * F.col("bytes") / F.col("k")).alias("snap"), F.lit(0).cast("long").alias("prefix"), F.lit(None).cast("long").alias("cut")))
+    for depth, (shift, mask) in enumerate(_DIGITS):
+        asked = state.where("cut is null")
+        if depth == 3 and asked.isEmpty():
+            break
+        keyed = _keyed(rows, asked, dims, nodes)
+        keyed = keyed if depth == 0 else keyed.where(F.shiftright("key", shift + mask.bit_length()) == F.col("prefix"))
+        sums = keyed.groupBy("node", F.shiftright("key", shift).bitwiseAND(mask).alias("digit"), "left").agg(F.sum("size").alias("w"))
+        upto = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = sums.withColumn("cum", F.sum("w").over(upto)).where("cum >= left and cum - w < left").select("node", "digit", "w", (F.col("left") - F.col("cum") + F.col("w")).alias("rest"))
+        prefix = F.shiftleft("prefix", mask.bit_length()).bitwiseOR(F.col("digit"))
+        beside = F.lit(depth == 3) if depth != 2 else F.least("rest", F.col("w") - F.col("rest")) <= F.col("snap")
+        at = F.shiftleft(prefix + F.when(F.col("rest") <= F.col("w") - F.col("rest"), 0).otherwise(1), shift)
+        new = {"left": F.coalesce("rest", "left"), "prefix": F.coalesce(prefix, "prefix"), "cut": F.coalesce("cut", F.when(beside, at))}
+        state = cut(state.join(found, "node", "left").select(*[new.get(c, F.col(c)).alias(c) for c in state.columns]))
+    placed = _keyed(rows, state, dims, nodes, "left")
+    low, right = F.floor(F.col("k") / 2).cast("int"), F.col("key") >= F.col("cut")
+    node = F.when(right, F.col("node") + low).otherwise(F.col("node"))
+    k = F.when(F.col("k") == 1, 1).when(right, F.col("k") - low).otherwise(low)
+    return placed.select("doc_id", "size", "text_crc32", *dims, node.alias("node"), k.alias("k"))
+
+
+def _keyed(rows: DataFrame, state: DataFrame, dims: list[str], nodes: int, how: str = "inner") -> DataFrame:
+    """Rows with what is known of their node, and the key along its axis; with "left", rows of other nodes have a null key.
+
+    The table of nodes is broadcast while there are at most MOST_BROADCAST; later a node is a small share of the rows.
+    """
+    known = F.broadcast(state) if nodes <= MOST_BROADCAST else state
     coordinate = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("axis") + 1).cast("long")
     mine = F.xxhash64("doc_id").bitwiseAND(0x7FFF)
     key = F.shiftleft(coordinate, 47).bitwiseOR(F.shiftleft(F.col("text_crc32"), 15)).bitwiseOR(mine)
-    return rows.join(F.broadcast(axes), "node", how).withColumn("key", key)
+    return rows.join(known, "node", how).withColumn("key", key)
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """Rows with slot: their number within the shard, without gaps from 0, from counts of many small buckets."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SLOT_BUCKETS)).cast("int"))
+    """Rows with slot: their number within the shard, without gaps from 0, from counts of small buckets.
+
+    A shard has a bucket for every SLOT_ROWS of the rows of the largest one. Equal rows count as one until the end.
+    """
+    same = cut(rows.groupBy("shard", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n")))
+    most, copies = same.groupBy("shard").agg(F.sum("n").alias("rows"), F.max("n").alias("copies")).agg(F.max("rows"), F.max("copies")).first()
+    buckets = -(-(most or 1) // SLOT_ROWS)
+    same = same.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    return rows.withColumn("i", F.row_number().over(within)).join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("i") - 1).cast("long").alias("slot"))
+    starts = same.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).select("shard", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    slots = same.withColumn("i", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "bucket"])
+    slots = slots.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("i")).alias("start"), "n")
+    dealt = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if (copies or 0) > CHUNK else None
+    return each_copy(slots, "n", "copy", dealt).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("copy")).cast("long").alias("slot"))

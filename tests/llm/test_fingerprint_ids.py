@@ -7,7 +7,7 @@ import random
 import duckdb
 import pandas as pd
 
-from martlens.llm import fingerprints
+from martlens.llm import common, fingerprints
 from tests.oracle import spark_rows, sql_rows
 
 
@@ -35,9 +35,9 @@ def test_equal_rows_first_and_last(spark):
 
 
 def test_more_copies_than_a_chunk(spark):
-    rows = [(None, None)] * (2 * fingerprints.CHUNK + 7) + [(1, "a. b")]
+    rows = [(None, None)] * (2 * common.CHUNK + 7) + [(1, "a. b")]
     found = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), parts=5)
-    assert {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()} == {None: 2 * fingerprints.CHUNK + 7, 1: 1}
+    assert {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()} == {None: 2 * common.CHUNK + 7, 1: 1}
 
 
 def test_a_third_of_all_rows_without_id_is_spread(spark):
