@@ -13,6 +13,7 @@ from ..functions import prices
 from ..sources.shared import staged
 from . import name_index
 from .name_index import NameBits  # noqa: F401
+from .ranks import beside
 
 ACCEPT, HIGH, SPECS_ABOVE = 70, 85, 70
 #: Names on one side of a block of comparisons.
@@ -129,11 +130,36 @@ def _best_specs(above: int):
     return run
 
 
+#: What the cascade reads of a row; and how many kinds of left rows are taken to their rows by a broadcast.
+_READ, FEW_KINDS = ["signature", "name", "brand", "_form"], 1 << 14
+
+
+def _with_form(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_form", F.to_json(F.array_sort(F.map_entries("specs"))))
+
+
+def _kinds(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each kind of rows that the cascade can't tell apart, with their least id."""
+    return staged(_with_form(rows).groupBy(*_READ).agg(F.min(key).alias(key), F.first("specs").alias("specs")))
+
+
 def match_cascade(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, score, method, confidence): exact, else the better of fuzzy and, where fuzzy is under 85, specifications."""
+    """(left_id, right_id, score, method, confidence): exact, else the better of fuzzy and, where fuzzy is under 85, specifications.
+
+    Ids are unique on their side. Shops list equal products again and again, and of equal right rows only the one of the
+    least id can be found, so kinds of rows go through the cascade, and left rows get what their kind has found.
+    """
+    kinds = _kinds(left, "left_id")
+    best = _best_of_levels(kinds, _kinds(right, "right_id"))
+    found = staged(kinds.drop("specs").join(best, "left_id").drop("left_id"))
+    found = F.broadcast(found) if found.count() <= FEW_KINDS else found
+    return beside(_with_form(left).select("left_id", *_READ), found, _READ).select("left_id", "right_id", "score", "method", "confidence")
+
+
+def _best_of_levels(left: DataFrame, right: DataFrame) -> DataFrame:
     exact = exact_matches(left, right).withColumn("method", F.lit("exact"))
     rest = left.join(exact.select("left_id"), "left_id", "left_anti")
-    fuzzy = fuzzy_matches(rest, right).withColumn("method", F.lit("fuzzy"))
+    fuzzy = staged(fuzzy_matches(rest, right).withColumn("method", F.lit("fuzzy")))
     open_ = rest.join(fuzzy.where(F.col("score") >= HIGH).select("left_id"), "left_id", "left_anti")
     specs = specs_matches(open_, right).withColumn("method", F.lit("specs"))
     both = exact.withColumn("score", F.col("score").cast("double")).unionByName(fuzzy.withColumn("score", F.col("score").cast("double"))).unionByName(specs)
@@ -161,7 +187,8 @@ def compare_prices(matches: DataFrame, left: DataFrame, right: DataFrame) -> Dat
     product_url, prices of the left in dinars and of the right in euros.
     """
     side = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("product_id", "product_name", "price_value", "source", "product_url")])
-    rows = matches.join(side(left, "left_id", "tn"), "left_id").join(side(right, "right_id", "fr"), "right_id")
+    hit = right.join(matches.select("right_id").distinct(), "right_id", "left_semi")  # often few, of many matches each
+    rows = matches.join(side(left, "left_id", "tn"), "left_id").join(side(hit, "right_id", "fr"), "right_id")
     rate = prices.rate(F.lit("TND"), "EUR")
     rows = rows.withColumn("eur", F.col("tn_price_value") * rate)
     compared = prices.comparison(F.col("eur"), F.col("fr_price_value"))

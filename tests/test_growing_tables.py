@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from martlens.operators import matching
 from martlens.sources.tables import offers, shop_rows
 
 
@@ -11,3 +12,18 @@ from martlens.sources.tables import offers, shop_rows
 def test_parts_are_not_passed_through_the_driver(spark, sf, rows):
     plan = rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
+
+
+def test_equal_rows_go_through_the_cascade_once(spark, monkeypatch):
+    met = []
+    fuzzy = matching.fuzzy_matches
+    monkeypatch.setattr(matching, "fuzzy_matches", lambda left, right: met.append((left.count(), right.count())) or fuzzy(left, right))
+    kinds = [("s1", "silver mouse pro", "HP", {"ram": "8GB"}), (None, "silver mouse max", None, {}), ("unknown", None, "HP", {"ram": None}), ("", "inch keyboard", "HP", {"ram": "8gb", "x": "1"}), ("", "", "Dell", None)]
+    frame = lambda key, n, step: spark.createDataFrame([(i * step + 3, *kinds[i % n]) for i in range(n * 7)], f"{key} long, signature string, name string, brand string, specs map<string,string>")
+    got = {r["left_id"]: (r["right_id"], r["score"], r["method"], r["confidence"]) for r in matching.match_cascade(frame("left_id", 5, 2), frame("right_id", 5, 5).where("signature is null or signature <> 's1'")).collect()}
+    # kinds 0: its name is close to that of kind 1; 1 and 3: their own names; 2 and 4: nothing that could match
+    ratio = int(matching.NameBits(["max mouse silver"]).ratios("mouse pro silver")[0])
+    first = (18, 100.0, "specs", "high") if ratio < matching.HIGH else (8, float(ratio), "fuzzy", "high")
+    want = {0: first, 1: (8, 100.0, "fuzzy", "high"), 3: (18, 100.0, "fuzzy", "high")}
+    assert got == {i * 2 + 3: want[i % 5] for i in range(35) if i % 5 in want}
+    assert met == [(5, 4)]
