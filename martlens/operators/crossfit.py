@@ -23,20 +23,24 @@ def fold_of(key: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def fit_words(rows: DataFrame, label: str, text: str = "text") -> PipelineModel:
-    """A regression over hashed words of labelled rows."""
-    rows = rows.where(F.col(label).isNotNull()).select(F.coalesce(text, F.lit("")).alias("_text"), F.col(label).cast("double").alias("_label"))
+def with_words(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows with the hashed words of their text as a vector, _counts; a null text counts as empty."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=WORD_BUCKETS, binary=True)
-    return Pipeline(stages=[words, counts, LogisticRegression(maxIter=50, regParam=0.01, featuresCol="_counts", labelCol="_label")]).fit(rows)
+    return counts.transform(words.transform(rows.withColumn("_text", F.coalesce(text, F.lit(""))))).drop("_text", "_words")
 
 
-def score_words(model: PipelineModel | None, rows: DataFrame, name: str = "bert_score", text: str = "text") -> DataFrame:
-    """Rows with the text model's probability of label 1; zeros without a model, and a null text counts as empty."""
+def fit_words(rows: DataFrame, label: str) -> PipelineModel:
+    """A regression over the hashed words of labelled rows, which with_words gave."""
+    rows = rows.where(F.col(label).isNotNull()).select("_counts", F.col(label).cast("double").alias("_label"))
+    return Pipeline(stages=[LogisticRegression(maxIter=50, regParam=0.01, featuresCol="_counts", labelCol="_label")]).fit(rows)
+
+
+def score_words(model: PipelineModel | None, rows: DataFrame, name: str = "bert_score") -> DataFrame:
+    """Rows with the text model's probability of label 1; zeros without a model."""
     if model is None:
         return rows.withColumn(name, F.lit(0.0))
-    scored = model.transform(rows.withColumn("_text", F.coalesce(text, F.lit(""))))
-    return scored.withColumn(name, F.get(vector_to_array("probability"), 1)).drop("_text", "_words", "_counts", "rawPrediction", "probability", "prediction")
+    return model.transform(rows).withColumn(name, F.get(vector_to_array("probability"), 1)).drop("rawPrediction", "probability", "prediction")
 
 
 def cross_fitted(rows: DataFrame, fit: Callable[[DataFrame], PipelineModel], score: Callable[[PipelineModel | None, DataFrame], DataFrame], label: str, fold: str, folds: int) -> DataFrame:
@@ -55,7 +59,7 @@ def cross_fitted(rows: DataFrame, fit: Callable[[DataFrame], PipelineModel], sco
 def blended_scores(rows: DataFrame, label: str = "is_fake", key: str = "doc_id", folds: int = 3, kind: str = "forest") -> DataFrame:
     """rows (key, text, rating, label) with fold, xgboost_score (a model of features), bert_score (one of words), and the
     ensemble of both: no score comes from a model that saw the row, its copies of one key included."""
-    rows = staged(training.with_features(rows.withColumn("fold", fold_of(key, folds))))
+    rows = staged(with_words(training.with_features(rows.withColumn("fold", fold_of(key, folds)))))  # texts are read once
     by_features = cross_fitted(rows, lambda df: training.fit(df, kind, label), training.scores_or_zero, label, "fold", folds)
     both = cross_fitted(by_features, lambda df: fit_words(df, label), score_words, label, "fold", folds)
-    return reviews.ensemble(both)
+    return reviews.ensemble(both.drop("_counts"))

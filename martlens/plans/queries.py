@@ -9,6 +9,7 @@ from ..functions import fixed, prices, text
 from ..operators import catalog, export, lifecycle, matching, monitoring, reviews, stats, training
 from ..operators.ranks import quantiles, with_quantiles
 from ..sources import pages
+from ..sources.shared import staged
 from ..sources.tables import OFFERS_SQL, REVIEWS_SQL, RUNS_SQL, SCORES_SQL, TITLES_SQL, VERSIONS_SQL, offers, scores, table, titles, versions
 from ..sources.tables import reviews as review_rows
 from ..sources.tables import runs as run_rows
@@ -490,13 +491,16 @@ def model_metrics(spark, sf):
 
 
 def _trained(spark, sf, kind: str):
+    """The model and its rows, whose features are written once: fitting reads them again and again."""
     rows = training.with_features(reviews.stratified_split(review_rows(spark, sf), "doc_id", "is_fake"))
+    rows = staged(rows.select("doc_id", "part", "is_fake", *training.FEATURES))
     return training.fit(rows.where("part = 'train'"), kind, "is_fake"), rows
 
 
 def _held_out_metrics(spark, sf, kind: str) -> DataFrame:
     model, rows = _trained(spark, sf, kind)
-    return reviews.metrics(training.predict(model, rows.where("part = 'test'")), "is_fake", "predicted", "score")
+    answers = staged(training.predict(model, rows.where("part = 'test'")).select("is_fake", "predicted", "score"))
+    return reviews.metrics(answers, "is_fake", "predicted", "score")
 
 
 @query()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml import Pipeline
 
-from martlens.operators import matching
+from martlens.operators import matching, reviews, training
+from martlens.plans.queries import QUERIES
 from martlens.sources.tables import offers, shop_rows
 
 
@@ -27,3 +29,16 @@ def test_equal_rows_go_through_the_cascade_once(spark, monkeypatch):
     want = {0: first, 1: (8, 100.0, "fuzzy", "high"), 3: (18, 100.0, "fuzzy", "high")}
     assert got == {i * 2 + 3: want[i % 5] for i in range(35) if i % 5 in want}
     assert met == [(5, 4)]
+
+
+@pytest.mark.parametrize(("run", "models"), [("rf_train", 1), ("cross_fitted_metrics", 6)])
+def test_texts_are_read_once_for_models(spark, sf, monkeypatch, run, models):
+    """What is fitted on, and what is measured, is a written table: no text is read again for it."""
+    plans = []
+    note = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    fit, measure = Pipeline.fit, reviews.metrics
+    monkeypatch.setattr(Pipeline, "fit", lambda self, rows: note(rows) or fit(self, rows))
+    monkeypatch.setattr(reviews, "metrics", lambda df, *names: note(df) or measure(df, *names))
+    monkeypatch.setitem(training.ESTIMATORS, "forest", training.ESTIMATORS["logreg"])
+    assert QUERIES[run](spark, sf).count() == 1 and len(plans) == models + 1
+    assert not any(word in p for p in plans for word in ("text#", "UDF(", "Join", "Window"))
