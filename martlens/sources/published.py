@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import staged
+from .shared import new_folder
 
 POINTER = "_newest"
 #: Buckets of a table, fixed when it is first published.
@@ -73,29 +73,36 @@ def read_newest(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, state)
 
 
-def _write(df: DataFrame, folder: str, stamp: str, key: str, buckets: int) -> list[int]:
-    """Write rows as buckets of a version; the buckets, of which there is one entry each."""
-    rows = df.withColumn("bucket", bucket_of(key, buckets))
+def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows with their bucket, after one shuffle: a bucket lies in a few tasks, and a slice of its keys whole in one."""
+    slices = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    return df.withColumns({"bucket": bucket_of(key, buckets), "_slice": F.pmod(F.hash(key), F.lit(slices))}).repartition("bucket", "_slice")
+
+
+def _write(rows: DataFrame, folder: str, stamp: str) -> list[int]:
+    """Write rows that are dealt to buckets as a version; the buckets, of which there is one entry each."""
     at = f"{folder}/{stamp}"
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+    rows.drop("_slice").write.mode("overwrite").partitionBy("bucket").parquet(at)
     from .files import listed
 
-    return sorted(int(n.removeprefix("bucket=")) for n in listed(df.sparkSession, at) if n.startswith("bucket="))
+    return sorted(int(n.removeprefix("bucket=")) for n in listed(rows.sparkSession, at) if n.startswith("bucket="))
 
 
 def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def newest(df: DataFrame, key: str, time: str, ties: Sequence[str] = ()) -> DataFrame:
+def newest(df: DataFrame, key: str, time: str, ties: Sequence[str] = (), near: Sequence[str] = ()) -> DataFrame:
     """One row for each key: that of the latest time, null times last, then of the least ties; all of its columns.
 
     Rows without a key are left out. This is an aggregate that tasks begin before the shuffle, so a key that holds very many
-    rows costs no task more than others, and newest(newest(a) + b) is newest(a + b).
+    rows costs no task more than others, and newest(newest(a) + b) is newest(a + b). ``near`` are columns that the key
+    decides; where rows lie together by them already, as after a join, they are not shuffled again.
     """
     late = F.coalesce(-F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**63 - 1))
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, F.struct(late, *[F.col(t) for t in ties])).alias("_row")).select("_row.*")
+    row = F.struct(*[F.col(c) for c in df.columns if c not in near])
+    best = df.where(F.col(key).isNotNull()).groupBy(*near, key).agg(F.min_by(row, F.struct(late, *[F.col(t) for t in ties])).alias("_row"))
+    return best.select(*near, "_row.*").select(*df.columns)
 
 
 def publish(df: DataFrame, folder: str, stamp: str, key: str, buckets: int = BUCKETS) -> None:
@@ -103,11 +110,11 @@ def publish(df: DataFrame, folder: str, stamp: str, key: str, buckets: int = BUC
     spark = df.sparkSession
     state = _pointer(spark, folder)
     _new(state, stamp)
-    homes = {str(b): stamp for b in _write(df, folder, stamp, key, buckets)}
+    homes = {str(b): stamp for b in _write(_dealt(df, key, buckets), folder, stamp)}
     _point(spark, folder, {"version": stamp, "buckets": buckets, "key": key, "schema": df.schema.jsonValue(), "homes": homes})
 
 
-def merge(scrape: DataFrame, folder: str, stamp: str, key: str, time: str, ties: Sequence[str] = (), buckets: int = BUCKETS) -> int:
+def merge(scrape: DataFrame, folder: str, stamp: str, key: str, time: str, ties: Sequence[str] = (), buckets: int = BUCKETS, unique: bool = False) -> int:
     """Bring a scrape into the published table, newest row of each key first, as version ``stamp``; the number of buckets
     that were written.
 
@@ -115,21 +122,30 @@ def merge(scrape: DataFrame, folder: str, stamp: str, key: str, time: str, ties:
     result has the rows of newest() over all scrapes so far, in whatever order they came. Columns that only one side has
     are null on the other. Rows that are invalid but newest stay, for a product that became invalid must not come back;
     readers filter. There is one writer at a time. An empty scrape writes no bucket, and into no table makes an empty one.
+
+    Of a ``unique`` scrape there is one row for each key already. Both sides are so when they meet: a key has two rows at
+    most, and they are shuffled once, by bucket.
     """
     spark = scrape.sparkSession
     state = _pointer(spark, folder)
     _new(state, stamp)
-    fresh = newest(scrape, key, time, ties)
+    fresh = scrape.where(F.col(key).isNotNull()) if unique else newest(scrape, key, time, ties)
     if state is None:
         publish(fresh, folder, stamp, key, buckets)
         return len(_pointer(spark, folder)["homes"])
     if state["key"] != key:
         raise ValueError(f"{folder} is kept by {state['key']}, not by {key}")
-    fresh = staged(fresh)
-    touched = {r[0] for r in fresh.select(bucket_of(key, state["buckets"]).alias("b")).distinct().collect()}  # numbers of buckets
-    rows = newest(_read(spark, folder, state, touched).unionByName(fresh, allowMissingColumns=True), key, time, ties)
-    changed = _write(rows, folder, stamp, key, state["buckets"]) if touched else []
-    _point(spark, folder, state | {"version": stamp, "schema": rows.schema.jsonValue(), "homes": state["homes"] | {str(b): stamp for b in changed}})
+    at = new_folder(spark, "scrape")  # computed once, and packed
+    fresh = fresh.withColumn("bucket", bucket_of(key, state["buckets"]))
+    fresh.write.parquet(at)
+    written = spark.read.schema(fresh.schema).parquet(at)
+    touched = {r[0] for r in written.select("bucket").distinct().collect()}  # numbers of buckets
+    both = _read(spark, folder, state, touched).unionByName(written.drop("bucket"), allowMissingColumns=True)
+    rows = newest(_dealt(both, key, state["buckets"]), key, time, ties, near=["bucket", "_slice"])
+    changed = _write(rows, folder, stamp) if touched else []
+    _point(spark, folder, state | {"version": stamp, "schema": both.schema.jsonValue(), "homes": state["homes"] | {str(b): stamp for b in changed}})
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(changed)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from martlens.plans.queries import QUERIES
 from martlens.sources import files, published
 from martlens.sources.shared import new_folder
 
@@ -57,6 +59,18 @@ def test_only_touched_buckets_are_written_and_old_versions_stay(spark):
     assert {r[0]: r[1] for r in found} == {"same": 199, "changed": 1}
 
 
+def test_rows_are_shuffled_once_by_their_bucket(spark, sf, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k))
+    folder = new_folder(spark, "t")
+    for i in range(2):
+        merge(rows(spark, [(f"u{n}", float(i), f"2024-01-0{i + 1} 00:00:00", n) for n in range(50)]), folder, f"v{i}")
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 1, 1]
+    plans.clear()
+    assert QUERIES["products_merged"](spark, sf).count() > 0
+    assert plans and not [p for p in plans if "Exchange hashpartitioning(product_url" in p]
+
+
 def test_a_failed_write_leaves_the_version_before(spark):
     folder = new_folder(spark, "t")
     merge(rows(spark, [("a", 1.0, "2024-01-01 00:00:00", 0)]), folder, "v0")
