@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,22 +132,58 @@ def t_test(df: DataFrame, value: str, flag: Column) -> DataFrame:
     return _pooled(df, value, flag).selectExpr("round(ma, 4) as mean_a", "round(mb, 4) as mean_b", "round(t, 4) as t", "freedom", f"{p_value_sql(summed)} as p_value")
 
 
+#: Left texts of one task's group, right texts that a group meets at a time, and pairs that are counted at once.
+LEFT_TEXTS, RIGHT_TEXTS, PAIRS_AT_ONCE = 2048, 1024, 1 << 22
+
+
 def token_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> DataFrame:
     """(left_key, right_key, similarity): pairs of texts whose sets of words have a Jaccard similarity of at least ``least``.
 
-    Texts meet at words: a left text is listed at the words of the right table only, and pairs are counted, so a pair
-    costs its common words. A pair needs a share of its words in common, so words held by very many texts may be left to
-    the check at the end: of each right text, its rarest words are looked up, as many as a similar pair cannot do without.
+    Groups of left texts meet groups of right texts, both of bounded size, and the common words of all pairs of a group are
+    counted through lists of the right texts that hold a word. So no pair is written before it is known to be similar, no
+    word gathers the texts that hold it, and each left text is shuffled once for each group of right texts. Texts that
+    have too many words to be like the largest of the other side do not get there. Repeated and missing keys are kept.
     """
-    words = lambda df, key: df.select(key, F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words")).where(F.size("words") > 0)
-    x, y = words(left, left_key), words(right, right_key)
-    known = y.select(F.explode("words").alias("word")).distinct()
-    counts = x.select(F.explode("words").alias("word")).join(known, "word").groupBy("word").agg(F.count("*").alias("c"))
-    ordered = y.select(right_key, F.size("words").alias("n"), F.explode("words").alias("word")).join(counts, "word", "left")
-    listed = ordered.groupBy(right_key, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))).alias("ws"))  # the words of one text
-    prefix = listed.select(right_key, F.explode(F.slice("ws", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9).cast("int") + 1)).alias("w")).select(right_key, F.col("w.word").alias("word"))
-    pairs = x.select(left_key, F.explode("words").alias("word")).join(prefix, "word").select(left_key, right_key).distinct()
-    both = pairs.join(x.withColumnRenamed("words", "a"), left_key).join(y.withColumnRenamed("words", "b"), right_key)
-    common = F.size(F.array_intersect("a", "b"))
-    share = common / (F.size("a") + F.size("b") - common)
-    return both.select(left_key, right_key, share.alias("s")).where(F.col("s") >= least).select(left_key, right_key, F.round("s", 6).alias("similarity"))
+    words = lambda df, key: df.select(F.col(key).alias("key"), F.array_distinct(F.array_remove(F.split(F.lower("text"), r"\s+"), "")).alias("words")).where(F.size("words") > 0)
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((left, LEFT_TEXTS), (right, RIGHT_TEXTS)))
+    dealt = lambda n, other: [F.pmod(F.xxhash64("key", "words"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))]
+    part, block = dealt(parts, blocks)
+    most = words(right, right_key).agg((F.max(F.size("words")) / F.lit(least)).alias("most"))
+    x = words(left, left_key).crossJoin(F.broadcast(most)).where(F.size("words") <= F.col("most") + 1).select(part.alias("part"), block.alias("block"), "key", "words")  # one row
+    block, part = dealt(blocks, parts)
+    y = words(right, right_key).select(block.alias("block"), part.alias("part"), "key", "words")
+    kinds = [df.schema[k].dataType.simpleString() for df, k in ((left, left_key), (right, right_key))]
+    return x.groupBy("part", "block").cogroup(y.groupBy("part", "block")).applyInArrow(_similar(left_key, right_key, least), f"`{left_key}` {kinds[0]}, `{right_key}` {kinds[1]}, similarity double").withColumn("similarity", F.round("similarity", 6))
+
+
+def _similar(left_key: str, right_key: str, least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (t.combine_chunks().column("words").combine_chunks() for t in (left, right))
+        at, to, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(x) and len(y):
+            a, b = (pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64) for t in (x, y))
+            known = pc.unique(y.flatten())
+            word, item = pc.index_in(y.flatten(), known).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(y)), b)
+            lists = item[np.argsort(word, kind="stable")]  # right texts, word by word
+            held = np.bincount(word, minlength=len(known))
+            first = np.cumsum(held) - held
+            found, owner = pc.index_in(x.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(x)), a)
+            found, owner = found[found >= 0], owner[found >= 0]
+            met = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=held[found], minlength=len(x)).astype(np.int64))])
+            begin = 0
+            while begin < len(x):
+                # as many left texts as fit, at least one
+                end = max(begin + 1, min(int(np.searchsorted(met, met[begin] + PAIRS_AT_ONCE, "right")) - 1, begin + PAIRS_AT_ONCE // len(y)))
+                i, j = np.searchsorted(owner, [begin, end])
+                n = held[found[i:j]]
+                places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[found[i:j]], n)
+                common = np.bincount(np.repeat(owner[i:j] - begin, n) * len(y) + lists[places], minlength=(end - begin) * len(y)).reshape(end - begin, len(y))
+                share = common / (a[begin:end, None] + b[None, :] - common)
+                u, v = np.nonzero((common > 0) & (share >= least))
+                at, to, shares = [*at, u + begin], [*to, v], [*shares, share[u, v]]
+                begin = end
+        pick = lambda t, rows: t.column("key").take(pa.array(np.concatenate(rows)))
+        return pa.table({left_key: pick(left, at), right_key: pick(right, to), "similarity": pa.array(np.concatenate(shares), pa.float64())})
+
+    return run
+

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.ml import Pipeline
 
-from martlens.operators import matching, reviews, training
+from martlens.operators import matching, reviews, stats, training
 from martlens.plans.queries import QUERIES
 from martlens.sources.tables import offers, shop_rows
 
@@ -42,3 +44,19 @@ def test_texts_are_read_once_for_models(spark, sf, monkeypatch, run, models):
     monkeypatch.setitem(training.ESTIMATORS, "forest", training.ESTIMATORS["logreg"])
     assert QUERIES[run](spark, sf).count() == 1 and len(plans) == models + 1
     assert not {word for p in plans for word in ("regexp_count", "UDF(", "Join", "Window") if word in p}
+
+
+def test_similar_texts_are_found_without_writing_other_pairs(spark, monkeypatch):
+    for name, n in (("LEFT_TEXTS", 64), ("RIGHT_TEXTS", 16), ("PAIRS_AT_ONCE", 100)):
+        monkeypatch.setattr(stats, name, n)
+    rng = random.Random(3)
+    text = lambda: rng.choice([None, "", " ", "The", *[" ".join(rng.choice(["the", "The", *"abcdefghijkl"]) for _ in range(rng.randint(1, 30))) for _ in range(40)]])
+    left, right = ([(rng.choice([None, *range(150)]), text()) for _ in range(n)] for n in (200, 40))
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = stats.token_overlaps(frame(left, "doc_id"), frame(right, "item_id"), "doc_id", "item_id", 0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    words = lambda t: set((t or "").lower().split())
+    want = [(i, j, round(len(a & b) / len(a | b), 6)) for i, s in left for j, t in right for a, b in [(words(s), words(t))] if a & b and len(a & b) / len(a | b) >= 0.2]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 100
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert stats.token_overlaps(frame(left, "doc_id"), frame([], "item_id"), "doc_id", "item_id", 0.2).count() == 0
