@@ -33,20 +33,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with the predicted language as their lang, by which the mix weighs them.
 
     Those go that have no text or letters, or whose score is under the least of labelled texts in the predicted language.
+    The network and the least scores are learned from all labelled texts that are not held out.
     All stay, with their own lang, if no labelled text is there to learn from. Other columns stay as they are.
     """
     bounded_batches(spark)
-    learn = docs.where(~held_out())
-    model = train_language_model(learn)
+    model = train_language_model(docs.where(~held_out()))
     if model is None:
         return docs
-    least = least_scores(learn, model)
     found = free_name(docs, "found")
+    scored = cut(docs.withColumn(found, predict_language(docs, model)))  # the network runs once over each text
+    least = least_scores(scored.where(~held_out()).where(F.col("lang") == F.col(f"{found}.lang")).select("lang", F.col(f"{found}.score").alias("score")))
     lang, score = F.col(f"{found}.lang"), F.col(f"{found}.score")
     enough = F.lit(True)
     for name, s in least.items():
         enough = F.when(lang == name, score >= s).otherwise(enough)
-    kept = docs.withColumn(found, predict_language(docs, model)).where(lang != "und").where(enough)
+    kept = scored.where(lang != "und").where(enough)
     return kept.withColumn("lang", lang).select(*docs.columns)
 
 

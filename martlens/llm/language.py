@@ -2,7 +2,8 @@
 
 The text's UTF-8 bytes are read in windows; a forward and a backward GRU run over each window, every position is
 labelled from both states, and the label probabilities are averaged over all positions of the text. The network is
-trained in numpy by backpropagation through time on windows of a bounded sample of labelled texts.
+trained in numpy by backpropagation through time: windows of a bounded sample of labelled texts give it a start, and from
+there each task goes on over windows of all labelled texts that it reads; what tasks have learned is averaged.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import quantiles
+from .common import cut
 from .shingles import slices
 
 #: State size of each direction, bytes of a window, windows run together.
 HIDDEN, WINDOW, BATCH = 8, 96, 2048
-#: Bounds of the training sample: labelled texts for each language, over all languages, and windows of a text.
+#: Windows of a step over all labelled texts, its rate, and the unit of the sums of what tasks have learned.
+STEP_WINDOWS, STEP_RATE, UNIT = 512, 0.002, 1 << 20
+#: Bounds of the sample for the start: labelled texts for each language, over all languages, and windows of a text.
 SAMPLE_TEXTS, SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 80_000, 6
 #: Share of a language's labelled texts that may fall under its least score.
 LOST_SHARE = 0.005
@@ -79,8 +84,9 @@ class ByteGru:
         p /= p.sum(-1, keepdims=True)
         return p
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over all positions, and its gradients by backpropagation through time."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over all positions, and its gradients by backpropagation through time, of windows of these
+        weights, whose mean is 1."""
         h, total = HIDDEN, x.size
         (sf, kf), (sb, kb) = self.states(x, "f", True), self.states(x, "b", True)
         p = sf @ self.w["of"] + sb @ self.w["ob"] + self.w["bias"]
@@ -91,6 +97,8 @@ class ByteGru:
         loss = float(-np.log(np.maximum(own, 1e-9)).mean())
         p[:, np.arange(x.shape[1]), y] -= 1
         p /= total
+        if weights is not None:
+            p *= weights[None, :, None].astype(np.float32)
         flat = p.reshape(total, -1)
         grads = {"bias": flat.sum(0), "of": sf.reshape(total, h).T @ flat, "ob": sb.reshape(total, h).T @ flat}
         for d, kept in (("f", kf), ("b", kb)):
@@ -117,17 +125,40 @@ class ByteGru:
         """Adam over batches with equal shares of the labels; windows is (windows, bytes)."""
         rng = np.random.default_rng(seed)
         by = [np.flatnonzero(labels == k) for k in range(len(self.labels))]
+        step = self.stepper()
+        for i in range(1, steps + 1):
+            pick = np.concatenate([rng.choice(of, max(1, batch // len(by))) for of in by if len(of)])
+            step(windows[pick], labels[pick], rate * min(1.0, 2 * (1 - i / (steps + 1))))
+        return self
+
+    def stepper(self):
+        """Adam's step(windows, labels, rate, weights) with its own moments."""
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(i, max(1, batch // len(by))) for i in by if len(i)])
-            _, grads = self.gradients(np.ascontiguousarray(windows[pick].T), labels[pick])
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+        steps = 0
+
+        def step(windows: np.ndarray, labels: np.ndarray, rate: float, weights: np.ndarray | None = None) -> None:
+            nonlocal steps
+            steps += 1
+            _, grads = self.gradients(np.ascontiguousarray(windows.T), labels, weights)
             for k, g in grads.items():
                 a, b = m[k]
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
-                self.w[k] -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-        return self
+                self.w[k] = self.w[k] - rate * (a / (1 - 0.9**steps)) / (np.sqrt(b / (1 - 0.99**steps)) + 1e-7)
+
+        return step
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w[k].ravel() for k in sorted(self.w)]).astype(np.float64)
+
+    def moved(self, by: np.ndarray) -> ByteGru:
+        """The network with its weights moved by a flat array."""
+        out, at = ByteGru(self.labels), 0
+        for k in sorted(self.w):
+            n = self.w[k].size
+            out.w[k] = (self.w[k] + by[at : at + n].reshape(self.w[k].shape)).astype(np.float32)
+            at += n
+        return out
 
     def pooled(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, last + 1, mean label probabilities of each text) of runs of texts."""
@@ -169,14 +200,18 @@ def sample_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS, rows: int = SAMPLE_
     return found.orderBy("i", "h", "doc_id", "lang").limit(rows).select("doc_id", "lang")
 
 
+def spread_windows() -> Column:
+    """Different windows spread over the whole text."""
+    n = F.octet_length("text")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.lit(0), n - WINDOW) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW))))
+
+
 def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, index of each window's language) from docs (doc_id, text, lang): windows spread over each whole
     text of the sample. Of rows that repeat an id and language the least list of windows counts."""
     chosen = sample_texts(docs, texts, rows)
-    n = F.octet_length("text")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(F.col("text").cast("binary"), (F.greatest(F.lit(0), n - WINDOW) * i / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)))
     # one row for each of the sample, at most ``rows`` of bounded size
-    found = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.array_distinct(spread).alias("w")).groupBy("doc_id", "lang").agg(F.min("w").alias("w")).select("lang", "w").collect()
+    found = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", spread_windows().alias("w")).groupBy("doc_id", "lang").agg(F.min("w").alias("w")).select("lang", "w").collect()
     found.sort(key=lambda r: (r[0], r[1]))
     labels = sorted({r[0] for r in found})
     index = {name: i for i, name in enumerate(labels)}
@@ -186,9 +221,53 @@ def training_windows(docs: DataFrame, texts: int = SAMPLE_TEXTS, rows: int = SAM
 
 
 def train_language_model(docs: DataFrame, **bounds) -> ByteGru | None:
-    """A network fitted on docs (doc_id, text, lang); None if no text has a language."""
+    """A network fitted on all rows of docs (doc_id, text, lang) with a language; None if no text has one."""
     labels, windows, index = training_windows(docs, **bounds)
-    return ByteGru(labels).fit(windows, index) if len(windows) else None
+    return learn_from_all(docs, ByteGru(labels).fit(windows, index)) if len(windows) else None
+
+
+def learn_from_all(docs: DataFrame, start: ByteGru) -> ByteGru:
+    """The network after one pass over windows of all labelled texts of docs (text, lang).
+
+    Each task takes steps from the start over what it reads, in which languages weigh alike by their numbers of texts, and
+    gives back by how much it moved each weight; the mean of these, by windows, is as many rows as there are weights,
+    however many tasks there are. Sums are of whole numbers, so they do not depend on an order.
+    """
+    known = docs.where(F.col("text") != "").where(F.col("lang").isin(start.labels))
+    texts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    if not texts:
+        return start
+    weight = np.array([sum(texts.values()) / len(texts) / texts.get(name, np.inf) for name in start.labels])
+    held = docs.sparkSession.sparkContext.broadcast((start, weight))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, weight = held.value
+        own, index = start.moved(np.zeros(len(start.flat()))), {name: i for i, name in enumerate(start.labels)}
+        step, seen, pieces, labels = own.stepper(), 0, [], []
+
+        def take() -> None:
+            y = np.array(labels, np.int64)
+            step(np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, WINDOW), y, STEP_RATE, weight[y] / weight[y].mean())
+            pieces.clear()
+            labels.clear()
+
+        for batch in batches:
+            for lang, spread in zip(batch.column("lang").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                pieces += [w.ljust(WINDOW, b"\n") for w in spread]
+                labels += [index[lang]] * len(spread)
+                seen += len(spread)
+                if len(labels) >= STEP_WINDOWS:
+                    take()
+        if labels:
+            take()
+        if seen:
+            moved = np.rint((own.flat() - start.flat()) * UNIT).astype(np.int64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(moved))), pa.array(np.concatenate([[seen], moved]))], ["at", "moved"])
+
+    sums = known.select("lang", spread_windows().alias("w")).mapInArrow(learn, "at long, moved long").groupBy("at").agg(F.sum("moved").alias("moved"))
+    found = dict(map(tuple, sums.collect()))  # one row for each weight
+    seen = found.pop(-1)
+    return start.moved(np.array([found[i] for i in range(len(found))]) / seen / UNIT)
 
 
 def predict_language(docs: DataFrame, model: ByteGru | None, text: str = "text") -> Column:
@@ -212,13 +291,11 @@ def predict_language(docs: DataFrame, model: ByteGru | None, text: str = "text")
     return predict.asNondeterministic()(docs[text])
 
 
-def least_scores(docs: DataFrame, model: ByteGru, share: float = LOST_SHARE, texts: int = SAMPLE_TEXTS) -> dict[str, float]:
-    """For each language the score that all but ``share`` of its rightly predicted texts in the sample of docs (doc_id, text,
-    lang) reach; a language without such texts is left out."""
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(sample_texts(docs, texts)), ["doc_id", "lang"])
-    scores = sample.select("lang", predict_language(sample, model).alias("p")).where("p.lang = lang")
+def least_scores(scored: DataFrame, share: float = LOST_SHARE) -> dict[str, float]:
+    """For each lang of scored (lang, score), labelled texts that were rightly predicted, the score that all but ``share`` of
+    them reach: an exact quantile of all rows. A language without such texts is left out."""
     # less a little, for scores of one value differ in their last digits
-    return {lang: least - 1e-6 for lang, least in scores.groupBy("lang").agg(F.percentile("p.score", F.lit(share))).collect()}
+    return {lang: least - 1e-6 for lang, least in quantiles(cut(scored.select("lang", "score")), "score", [share], ["lang"]).collect()}
 
 
 def identify_languages(docs: DataFrame, learn: DataFrame) -> DataFrame:
