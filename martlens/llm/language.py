@@ -46,79 +46,93 @@ class ByteGru:
         self.w["bias"] = np.zeros(k, np.float32)
 
     def states(self, x: np.ndarray, d: str, keep: bool = False):
-        """States after each step of (steps, windows) bytes in one direction; with keep also what the way back needs."""
-        h, steps = HIDDEN, range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        wx, u = self.w[f"x{d}"], self.w[f"u{d}"]
-        uzr, uc = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-        out = np.empty((*x.shape, h), np.float32)
-        s, kept = np.zeros((x.shape[1], h), np.float32), []
-        for t in steps:
-            a = wx[x[t]]
-            g = s @ uzr
-            g += a[:, : 2 * h]
-            g *= 0.5
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            z, r = g[:, :h], g[:, h:]
-            c = (r * s) @ uc
-            c += a[:, 2 * h :]
-            np.tanh(c, out=c)
-            new = out[t]
-            np.subtract(c, s, out=new)
-            new *= z
-            new += s
-            if keep:
-                kept.append((t, s, z, r, c))
-            s = new
-        return (out, kept) if keep else out
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return self.states(x, "f") @ self.w["of"] + self.states(x, "b") @ self.w["ob"] + self.w["bias"]
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Label probabilities (steps, windows, labels)."""
-        p = self.logits(x)
-        p -= p.max(-1, keepdims=True)
+        """States after each step of (steps, windows) bytes in one direction, (steps, state, windows); with keep also the
+        states before each step, update, reset and candidate.
+
+        Windows lie side by side in memory. Of exp(-a) + 1 a gate is the inverse, and exp(2 a) gives the tanh of the
+        candidate, at a third of the time that tanh takes itself; past the range of floats both end where they should.
+        """
+        h, n, steps = HIDDEN, x.shape[1], range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
+        scale = np.repeat(np.array([-1, -1, 2], np.float32), h)
+        wx, u = (np.ascontiguousarray((self.w[f"{k}{d}"] * scale).T, np.float32) for k in "xu")
+        path, kept = np.empty((len(x) + 1, h, n), np.float32), np.empty((len(x) if keep else 1, 3 * h, n), np.float32)
+        before, out = (path[:-1], path[1:]) if d == "f" else (path[1:], path[:-1])
+        s = path[0 if d == "f" else -1]
+        s[:] = 0
+        a, held = np.empty((3 * h, n), np.float32), np.empty((h, n), np.float32)
+        x = x.astype(np.intp)
+        with np.errstate(over="ignore"):
+            for t in steps:
+                np.take(wx, x[t], axis=1, out=a, mode="clip")
+                own = kept[t if keep else 0]
+                g, c = own[: 2 * h], own[2 * h :]
+                np.matmul(u[: 2 * h], s, out=g)
+                g += a[: 2 * h]
+                np.exp(g, out=g)
+                g += 1
+                np.divide(s, g[h:], out=held)
+                np.matmul(u[2 * h :], held, out=c)
+                c += a[2 * h :]
+                np.exp(c, out=c)
+                c += 1
+                np.divide(-2, c, out=c)
+                c += 1
+                new = out[t]
+                np.subtract(c, s, out=new)
+                new /= g[:h]
+                new += s
+                s = new
+        if not keep:
+            return out
+        np.reciprocal(kept[:, : 2 * h], out=kept[:, : 2 * h])
+        return out, before, kept[:, :h], kept[:, h : 2 * h], kept[:, 2 * h :]
+
+    def _softmax(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """Label probabilities (steps, labels, windows) from the states of both directions."""
+        p = np.matmul(self.w["of"].T, forward)
+        p += np.matmul(self.w["ob"].T, backward)
+        p += self.w["bias"][:, None]
+        p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(-1, keepdims=True)
+        p /= p.sum(1, keepdims=True)
         return p
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Label probabilities (steps, labels, windows)."""
+        return self._softmax(self.states(x, "f"), self.states(x, "b"))
+
     def gradients(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over all positions, and its gradients by backpropagation through time, of windows of these
         weights, whose mean is 1."""
-        h, total = HIDDEN, x.size
-        (sf, kf), (sb, kb) = self.states(x, "f", True), self.states(x, "b", True)
-        p = sf @ self.w["of"] + sb @ self.w["ob"] + self.w["bias"]
-        p -= p.max(-1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(-1, keepdims=True)
-        own = p[:, np.arange(x.shape[1]), y]
-        loss = float(-np.log(np.maximum(own, 1e-9)).mean())
-        p[:, np.arange(x.shape[1]), y] -= 1
+        h, total, windows = HIDDEN, x.size, np.arange(x.shape[1])
+        kept = {d: self.states(x, d, True) for d in "fb"}
+        p = self._softmax(kept["f"][0], kept["b"][0])
+        loss = float(-np.log(np.maximum(p[:, y, windows], 1e-9)).mean())
+        p[:, y, windows] -= 1
         p /= total
         if weights is not None:
-            p *= weights[None, :, None].astype(np.float32)
-        flat = p.reshape(total, -1)
-        grads = {"bias": flat.sum(0), "of": sf.reshape(total, h).T @ flat, "ob": sb.reshape(total, h).T @ flat}
-        for d, kept in (("f", kf), ("b", kb)):
-            u, out = self.w[f"u{d}"], p @ self.w[f"o{d}"].T
-            gu, da = np.zeros_like(u), np.empty((*x.shape, 3 * h), np.float32)
-            ds = np.zeros((x.shape[1], h), np.float32)
-            for t, s, z, r, c in reversed(kept):
-                ds = ds + out[t]
-                dc = ds * z * (1 - c * c)
-                drs = dc @ u[:, 2 * h :].T
-                dz = ds * (c - s) * z * (1 - z)
-                dr = drs * s * r * (1 - r)
-                da[t] = np.concatenate([dz, dr, dc], 1)
-                gu[:, : 2 * h] += s.T @ da[t][:, : 2 * h]
-                gu[:, 2 * h :] += (r * s).T @ dc
-                ds = ds * (1 - z) + drs * r + da[t][:, : 2 * h] @ u[:, : 2 * h].T
-            grads[f"u{d}"] = gu
-            gx = np.zeros_like(self.w[f"x{d}"])
-            np.add.at(gx, x.ravel(), da.reshape(total, 3 * h))
-            grads[f"x{d}"] = gx
+            p *= weights.astype(np.float32)
+        over = lambda a, b: np.matmul(a, b.transpose(0, 2, 1)).sum(0)  # noqa: E731  of all positions
+        grads = {"bias": p.sum((0, 2))}
+        for d in "fb":
+            state, before, z, r, c = kept[d]
+            grads[f"o{d}"] = over(state, p)
+            u, out, da = self.w[f"u{d}"], np.matmul(self.w[f"o{d}"], p), np.empty((3 * h, *x.shape), np.float32)
+            by_c, by_z, by_r, stays = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+            ds = np.zeros((h, x.shape[1]), np.float32)
+            for t in range(len(x) - 1, -1, -1) if d == "f" else range(len(x)):
+                ds += out[t]
+                np.multiply(ds, by_c[t], out=da[2 * h :, t])
+                drs = u[:, 2 * h :] @ da[2 * h :, t]
+                np.multiply(ds, by_z[t], out=da[:h, t])
+                np.multiply(drs, by_r[t], out=da[h : 2 * h, t])
+                ds *= stays[t]
+                drs *= r[t]
+                ds += drs
+                ds += u[:, : 2 * h] @ da[: 2 * h, t]
+            by_step = da.transpose(1, 0, 2)
+            grads[f"u{d}"] = np.concatenate([over(before, by_step[:, : 2 * h]), over(r * before, by_step[:, 2 * h :])], 1)
+            grads[f"x{d}"] = np.stack([np.bincount(x.ravel(), row.ravel(), 256) for row in da], 1).astype(np.float32)
         return loss, grads
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 260, batch: int = 192, rate: float = 0.03, seed: int = 9) -> ByteGru:
@@ -178,8 +192,8 @@ class ByteGru:
                 x = np.where(inside, data[np.minimum(at, len(data) - 1)], 10)
                 p = self.probabilities(x)
                 if not inside.all():
-                    p *= inside[:, :, None]
-                sums[w] = p.sum(0, dtype=np.float64)
+                    p *= inside[:, None, :]
+                sums[w] = p.sum(0, dtype=np.float64).T
             total = np.add.reduceat(sums, np.cumsum(many) - many, axis=0)
             yield first, last, total / n[:, None]
 
