@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_keys
+from .common import WrittenTables, cut, row_keys
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -344,7 +344,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
 
 def row_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, hot: int = HOT) -> DataFrame:
     """ngram_jaccard_components of rows that doc_id tells apart: no two have the same, none lacks it."""
-    named = docs.where("text is not null")
+    named = docs.select("doc_id", "text").where("text is not null")
     sets = cut(set_digests(docs, k))
     bits = sketch_bits(sets.agg(F.sum("n_shingles")).first()[0] or 0)
     sketch = docs.sparkSession.sparkContext.broadcast(shingle_sketch(named, k, bits))
@@ -355,11 +355,15 @@ def row_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, h
     lists = prefixes.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_list_rows(num, den, hot), _PAIR)
     lists = cut(lists.groupBy("a", "b", F.when(F.col("b").isNull(), F.col("token")).alias("token")).agg(F.min("least").alias("least"), F.min("n").alias("n"), F.count("*").alias("shared")).where("b is null or shared >= least"))
     pairs = lists.where("b is not null").select("a", "b").join(reps.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y").where("x <> y")
-    texts = pairs.join(named.select(F.col("doc_id").alias("x"), F.col("text").alias("text_a")), "x").join(named.select(F.col("doc_id").alias("y"), F.col("text").alias("text_b")), "y")
-    cold = texts.select(F.col("x").alias("a"), F.col("y").alias("b"), "text_a", "text_b").mapInArrow(_verify_rows(k, num, den), "a long, b long")
-    hot_rows = lists.where("b is null").select(F.col("a").alias("cls"), "n", "token")
-    links = cold.unionByName(_hot_links(hot_rows, reps, named, k, num, den))
-    found = connected_components(links).withColumnRenamed("id", "rep")
+    met = lists.select(F.col("a").alias("cls")).unionByName(lists.where("b is not null").select(F.col("b").alias("cls"))).distinct()
+    with WrittenTables(docs.sparkSession) as tables:
+        # most texts meet no other: all are shuffled once, and only those of pairs and hot lists again
+        texts = tables.write(named.join(reps.join(met, "cls").select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+        both = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("text_a")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("text_b")), "y")
+        cold = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "text_a", "text_b").mapInArrow(_verify_rows(k, num, den), "a long, b long")
+        hot_rows = lists.where("b is null").select(F.col("a").alias("cls"), "n", "token")
+        links = cold.unionByName(_hot_links(hot_rows, reps, texts, k, num, den))
+        found = connected_components(links).withColumnRenamed("id", "rep")
     return (
         sets.join(classes.select("digest", "rep"), "digest", "left")
         .join(found, "rep", "left")
