@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices
-from ..sources.shared import staged
+from ..sources.shared import few, staged
 from . import name_index
 from .name_index import NameBits  # noqa: F401
 from .ranks import beside
@@ -130,30 +131,45 @@ def _best_specs(above: int):
     return run
 
 
-#: What the cascade reads of a row; and how many kinds of left rows are taken to their rows by a broadcast.
-_READ, FEW_KINDS = ["signature", "name", "brand", "_form"], 1 << 14
+#: What the cascade reads of a row.
+_READ = ["signature", "name", "brand", "_form"]
 
 
 def _with_form(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_form", F.to_json(F.array_sort(F.map_entries("specs"))))
+    """Specifications as text: the JSON object that they come from (column ``form``), or one made of the map ``specs``."""
+    return rows.withColumn("_form", F.col("form") if "form" in rows.columns else F.to_json(F.array_sort(F.map_entries("specs"))))
 
 
 def _kinds(rows: DataFrame, key: str) -> DataFrame:
     """One row for each kind of rows that the cascade can't tell apart, with their least id."""
-    return staged(_with_form(rows).groupBy(*_READ).agg(F.min(key).alias(key), F.first("specs").alias("specs")))
+    by = _with_form(rows).groupBy(*_READ)
+    if "form" in rows.columns:
+        return staged(by.agg(F.min(key).alias(key)).withColumn("specs", F.from_json("_form", "map<string,string>")))
+    return staged(by.agg(F.min(key).alias(key), F.first("specs").alias("specs")))
 
 
-def match_cascade(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, score, method, confidence): exact, else the better of fuzzy and, where fuzzy is under 85, specifications.
+def found_by_kinds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(signature, name, brand, _form, right_id, score, method, confidence): what each kind of left rows finds, if anything.
 
-    Ids are unique on their side. Shops list equal products again and again, and of equal right rows only the one of the
-    least id can be found, so kinds of rows go through the cascade, and left rows get what their kind has found.
+    Exact, else the better of fuzzy and, where fuzzy is under 85, specifications. Ids are unique on their side. Shops list
+    equal products again and again, and of equal right rows only the one of the least id can be found, so kinds of rows go
+    through the cascade. Rows have ``specs``, a map, or ``form``, their JSON object, which is read once for each kind.
     """
     kinds = _kinds(left, "left_id")
     best = _best_of_levels(kinds, _kinds(right, "right_id"))
-    found = staged(kinds.drop("specs").join(best, "left_id").drop("left_id"))
-    found = F.broadcast(found) if found.count() <= FEW_KINDS else found
-    return beside(_with_form(left).select("left_id", *_READ), found, _READ).select("left_id", "right_id", "score", "method", "confidence")
+    return few(staged(kinds.drop("specs").join(best, "left_id").drop("left_id")))
+
+
+def match_cascade(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, method, confidence): left rows with what their kinds have found."""
+    return beside(_with_form(left).select("left_id", *_READ), found_by_kinds(left, right), _READ).select("left_id", "right_id", "score", "method", "confidence")
+
+
+def unmatched_left(left: DataFrame, found: DataFrame) -> DataFrame:
+    """Left rows whose kinds have found nothing."""
+    kinds, rows = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(_READ)]), _with_form(left)
+    on = [rows[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(_READ)]
+    return rows.join(kinds, on, "left_anti").drop("_form")
 
 
 def _best_of_levels(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -173,6 +189,7 @@ def confidence(score):
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """Rows without a match, by their ids."""
     return rows.join(matches.select(key).distinct(), key, "left_anti")
 
 
@@ -180,15 +197,16 @@ def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
 METHODS = {"exact": "exact_signature", "fuzzy": "fuzzy_string", "specs": "specs_based"}
 
 
-def compare_prices(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def compare_prices(found: DataFrame, left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """The price comparison of matched products: one flat row for each match, with both prices in euros.
 
-    matches is match_cascade's; left and right have left_id / right_id, product_id, product_name, price_value, source and
-    product_url, prices of the left in dinars and of the right in euros.
+    found is found_by_kinds's; left and right have what it read and product_id, product_name, price_value, source and
+    product_url, prices of the left in dinars and of the right in euros. Kinds are joined with the right rows that they have
+    found, and left rows with their kinds. ``also`` names columns of the left that go along.
     """
-    side = lambda df, key, p: df.select(key, *[F.col(c).alias(f"{p}_{c}") for c in ("product_id", "product_name", "price_value", "source", "product_url")])
-    hit = right.join(matches.select("right_id").distinct(), "right_id", "left_semi")  # often few, of many matches each
-    rows = matches.join(side(left, "left_id", "tn"), "left_id").join(side(hit, "right_id", "fr"), "right_id")
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("product_id", "product_name", "price_value", "source", "product_url")]
+    kinds = few(staged(right.select("right_id", *side("fr")).join(found, "right_id")))
+    rows = beside(_with_form(left).select(*_READ, *also, *side("tn")), kinds, _READ)
     rate = prices.rate(F.lit("TND"), "EUR")
     rows = rows.withColumn("eur", F.col("tn_price_value") * rate)
     compared = prices.comparison(F.col("eur"), F.col("fr_price_value"))
@@ -212,6 +230,7 @@ def compare_prices(matches: DataFrame, left: DataFrame, right: DataFrame) -> Dat
         "confidence",
         method.alias("match_method"),
         rate.alias("exchange_rate"),
+        *also,
     )
 
 

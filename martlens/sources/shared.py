@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _set(spark: SparkSession) -> str:
@@ -31,3 +32,20 @@ def staged(df: DataFrame) -> DataFrame:
     a lost executor costs no recomputation."""
     _set(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as Parquet under spark.checkpoint.dir, for a wide table of which readers take a few columns each. Joins
+    with it are by shuffle unless the other side is marked for a broadcast: its files say too little of its size."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).hint("merge")
+
+
+#: Rows that are taken to a large table by a broadcast.
+FEW = 1 << 14
+
+
+def few(written: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it has no more than FEW rows, else for a join by shuffle."""
+    return F.broadcast(written) if written.limit(FEW + 1).count() <= FEW else written.hint("merge")
