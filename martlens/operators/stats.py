@@ -19,9 +19,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def counts_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(columns..., n, pct): rows of each combination and their share of all rows, whose number is a single row beside."""
+    """(columns..., n, pct): rows of each combination and their share of all rows, added up from the counts: a single row beside."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).select(*columns, "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("pct"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select(*columns, "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("pct"))
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
