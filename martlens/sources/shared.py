@@ -38,7 +38,7 @@ def packed(df: DataFrame, name: str) -> DataFrame:
     """The same rows as Parquet under spark.checkpoint.dir, for a wide table of which readers take a few columns each. Joins
     with it are by shuffle unless the other side is marked for a broadcast: its files say too little of its size."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(folder).hint("merge")
 
 
@@ -46,6 +46,7 @@ def packed(df: DataFrame, name: str) -> DataFrame:
 FEW = 1 << 14
 
 
-def few(written: DataFrame) -> DataFrame:
-    """A written table, marked for a broadcast if it has no more than FEW rows, else for a join by shuffle."""
-    return F.broadcast(written) if written.limit(FEW + 1).count() <= FEW else written.hint("merge")
+def few(written: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for a broadcast if it has no more than ``most`` rows (FEW), else for a join by shuffle."""
+    most = FEW if most is None else most
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written.hint("merge")
