@@ -197,20 +197,29 @@ def unmatched(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
 METHODS = {"exact": "exact_signature", "fuzzy": "fuzzy_string", "specs": "specs_based"}
 
 
-def compare_prices(found: DataFrame, left: DataFrame, right: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-    """The price comparison of matched products: one flat row for each match, with both prices in euros.
+def price_differences(found: DataFrame, left: DataFrame, right: DataFrame, also: Sequence[str] = (), sides: Sequence[str] = ()) -> DataFrame:
+    """One row for each match: both prices, the left one in euros too, how they differ, confidence and match_method.
 
-    found is found_by_kinds's; left and right have what it read and product_id, product_name, price_value, source and
-    product_url, prices of the left in dinars and of the right in euros. Kinds are joined with the right rows that they have
-    found, and left rows with their kinds. ``also`` names columns of the left that go along.
+    found is found_by_kinds's; left and right have what it read and price_value, of the left in dinars and of the right in
+    euros. Kinds are joined with the right rows that they have found, and left rows with their kinds. ``also`` names columns
+    of the left that go along, ``sides`` those of both, as tn_ and fr_.
     """
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("product_id", "product_name", "price_value", "source", "product_url")]
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("price_value", *sides)]
     kinds = few(staged(right.select("right_id", *side("fr")).join(found, "right_id")))
     rows = beside(_with_form(left).select(*_READ, *also, *side("tn")), kinds, _READ)
-    rate = prices.rate(F.lit("TND"), "EUR")
-    rows = rows.withColumn("eur", F.col("tn_price_value") * rate)
-    compared = prices.comparison(F.col("eur"), F.col("fr_price_value"))
+    rows = rows.withColumn("eur", F.col("tn_price_value") * prices.rate(F.lit("TND"), "EUR"))
     method = F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("method"))
+    compared = prices.comparison(F.col("eur"), F.col("fr_price_value"))
+    told = ["eur", "score", "confidence", *[f"{p}_{c}" for p in ("tn", "fr") for c in ("price_value", *sides)], *also]
+    return rows.select(*told, *[c.alias(k) for k, c in compared.items()], method.alias("match_method"))
+
+
+def compare_prices(found: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The price comparison of matched products: one flat row for each match, with both prices in euros.
+
+    found, left and right are as price_differences has them, with product_id, product_name, source and product_url.
+    """
+    rows = price_differences(found, left, right, sides=["product_id", "product_name", "source", "product_url"])
     return rows.select(
         F.concat(F.lit("match_"), "tn_product_id", F.lit("_"), "fr_product_id").alias("match_id"),
         "tn_product_id",
@@ -224,13 +233,15 @@ def compare_prices(found: DataFrame, left: DataFrame, right: DataFrame, also: Se
         F.col("fr_price_value").alias("fr_price_eur"),
         "fr_source",
         F.col("fr_product_url").alias("fr_url"),
-        *[c.alias(k) for k, c in compared.items()],
+        "price_diff_eur",
+        "price_diff_pct",
+        "cheaper_country",
+        "savings_eur",
         F.round(F.abs(F.col("eur") - F.col("fr_price_value")) * prices.rate(F.lit("EUR"), "TND"), 2).alias("savings_tnd"),
         F.round(F.col("score") / 100, 3).alias("match_score"),
         "confidence",
-        method.alias("match_method"),
-        rate.alias("exchange_rate"),
-        *also,
+        "match_method",
+        prices.rate(F.lit("TND"), "EUR").alias("exchange_rate"),
     )
 
 

@@ -27,12 +27,18 @@ def shuffled(spark, run) -> int:
     return sum(n for i, n in stages(spark).items() if i > last)
 
 
-@pytest.mark.parametrize(("name", "most"), [("products_unified", 85), ("product_documents", 85), ("price_comparison", 85)])
+@pytest.mark.parametrize(("name", "most"), [("products_unified", 85), ("product_documents", 85), ("price_comparison", 85), ("match_tiers_and_rate", 70), ("matches_by_method", 70), ("price_diff_histogram", 70)])
 def test_bytes_shuffled_for_each_line_item(spark, sf, name, most):
     lines = tables.table(spark, sf, "lineitem").count()
     assert shuffled(spark, lambda: QUERIES[name](spark, sf)) / lines < most
 
 
+@pytest.mark.parametrize("name", ["match_tiers_and_rate", "matches_by_method", "price_diff_histogram", "price_diff_stats"])
+def test_counted_matches_need_no_numbers(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(catalog, "range_marks", None)
+    assert spark_rows(QUERIES[name](spark, sf)) == sql_rows(connect(sf), ORACLE_SQL[name])
+
+
 @pytest.fixture(scope="module")
 def odd(spark, sf, tmp_path_factory) -> str:
     """Parts that repeat or are not there; suppliers and prices that lack; listings of one url at one time."""
